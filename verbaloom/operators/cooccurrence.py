@@ -131,9 +131,8 @@ def _ordered_pairs(terms: DataFrame, window: int, by_sent: bool, piece_rows: int
 def _following(terms: DataFrame, group: list[str], order: list[Column], window: int) -> DataFrame:
     """Each term with the ``window`` terms after it in its group."""
     ahead = W.partitionBy(*group).orderBy(*order).rowsBetween(1, window)
-    return terms.select(
-        F.col("term").alias("a"), F.explode(F.collect_list("term").over(ahead)).alias("b")
-    )
+    ranked = terms.select(F.col("term").alias("a"), F.collect_list("term").over(ahead).alias("next"))
+    return ranked.select("a", F.explode("next").alias("b"))
 
 
 def _pairs_in_pieces(
@@ -160,7 +159,10 @@ def _pairs_in_pieces(
         (F.col("pos") < first_pos + window) | (F.col("pos") > F.col("last_pos") - window)
     )
     ahead = W.partitionBy(*group).orderBy("pos").rowsBetween(1, window)
-    across = edges.select(
-        "piece", "term", F.explode(F.collect_list(F.struct("piece", "term")).over(ahead)).alias("next")
-    ).where(F.col("next.piece") != F.col("piece"))
+    neighbours = edges.select(
+        "piece", "term", F.collect_list(F.struct("piece", "term")).over(ahead).alias("next")
+    )
+    across = neighbours.select("piece", "term", F.explode("next").alias("next")).where(
+        F.col("next.piece") != F.col("piece")
+    )
     return inside.unionByName(across.select(F.col("term").alias("a"), F.col("next.term").alias("b")))

@@ -6,10 +6,12 @@ through the driver.  A task opens a model once per language it meets.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,9 @@ from pyspark.sql import types as T
 from verbaloom.functions.layers import normalise_layers
 from verbaloom.schemas import DOCUMENT_LAYERS, ENTITY, WORD
 
+# Send this package's code along with a task, so that executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules["verbaloom"])
+
 # Documents per call of the model, and per table handed back to Spark: bounds the memory
 # that annotated documents take, which is many times that of their text.
 TEXTS_PER_CALL = 16
