@@ -78,7 +78,7 @@ words AS (
     coalesce(l_tag, CASE
       WHEN regexp_matches(form, {text(NUMBER_PATTERN)}) THEN 'NUM'
       WHEN regexp_matches(form, {text(SYMBOL_PATTERN)}) THEN 'PUNCT'
-      WHEN regexp_matches(form, {text(CAPITAL_PATTERN)})
+      WHEN regexp_matches(form, {text(CAPITAL_PATTERN)}) AND form <> lower(form)
         AND lang NOT IN ({', '.join(text(x) for x in NO_CAPITAL_RULE)})
         AND tok_ix IS DISTINCT FROM opening THEN 'PROPN'
       ELSE 'NOUN' END) AS upos

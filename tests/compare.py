@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+spark_done = 0.0
 DATA = Path("/root/testdata")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -26,7 +27,7 @@ def rows_of(spark_df, con, sql):
     spark_table = spark_df.toArrow()
     columns = sorted(spark_table.column_names)
     con.register("spark_side", spark_table.select(columns))
-    global spark_done
+    global spark_done  # for the report of ``main``
     spark_done = time.time()
     con.execute(f"CREATE OR REPLACE TEMP TABLE duck_side AS {sql}")
     duck_columns = sorted(r[0] for r in con.execute("DESCRIBE duck_side").fetchall())

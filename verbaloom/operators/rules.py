@@ -22,6 +22,7 @@ from verbaloom.schemas import ENTITY
 NUMBER_PATTERN = r"^\p{N}+$"
 SYMBOL_PATTERN = r"^[^\p{L}\p{N}]+$"
 CAPITAL_PATTERN = r"^\p{Lu}"
+LETTER_PATTERN = r"\p{L}"
 OPENING_PATTERN = r"^[^\p{L}\p{M}\p{N}_]*"
 BLANK_PATTERN = r"[\p{Z}\p{Cc}]"
 # German writes every noun with a capital, so a capital says nothing about names there.
@@ -37,20 +38,29 @@ OTHER_RELATION = "dep"
 OTHER_NAME_TYPE = "MISC"
 
 
-def _lookup(table: dict[tuple[str, str], Column], lang: Column, form: Column) -> Column:
-    """Value for ``(lang, form)`` in a constant table, null when it is not there.
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
-    The membership test is a hash lookup, so the linear search of a map only runs for
-    forms that some language knows.
+
+def _lookup(table: dict[tuple[str, str], str], form: str) -> str:
+    """SQL for the value of ``(lang, form)`` in a constant table, null when it is not there.
+
+    ``form`` and the table's values are SQL.  The membership test is a hash lookup, so the
+    linear search of a map only runs for forms that some language knows.
     """
-    by_lang: dict[str, list[Column]] = {}
+    if not table:
+        return "NULL"
+    by_lang: dict[str, list[str]] = {}
     for (code, key), value in table.items():
-        by_lang.setdefault(code, []).extend([F.lit(key), value])
-    found = None
-    for code, entries in by_lang.items():
-        value = F.try_element_at(F.create_map(*entries), form)
-        found = F.when(lang == code, value) if found is None else found.when(lang == code, value)
-    return F.when(form.isin(sorted({key for _, key in table})), found)
+        by_lang.setdefault(code, []).append(f"{_text(key)}, {value}")
+    cases = " ".join(
+        f"WHEN {_text(code)} THEN try_element_at(map({', '.join(entries)}), {form})"
+        for code, entries in by_lang.items()
+    )
+    known = ", ".join(_text(key) for key in sorted({key for _, key in table}))
+    return f"CASE WHEN {form} IN ({known}) THEN CASE lang {cases} END END"
 
 
 def annotate_with_rules(
@@ -68,14 +78,14 @@ def annotate_with_rules(
     """
     wanted = set(normalise_layers(layers)[0].split(","))
     lexicon = lexicon or Lexicon()
-    lang = F.col("lang")
     tagged = bool(wanted & {"pos", "depparse", "ner"})
 
     step = split_sentences(docs).withColumn("toks", token_array(F.col("text")))
     step = step.withColumn("tok_low", F.transform("toks", F.lower))
     step = _with_words(step, lexicon.contractions if "mwt" in wanted else {})
     if tagged:
-        step = step.withColumn("tags", _tags(lang, lexicon))
+        step = step.withColumn("opening", F.array_repeat(_opening(), F.size("form")))
+        step = step.withColumn("tags", _tags(lexicon))
     if "depparse" in wanted:
         step = step.withColumn("root", _root(F.col("tags")))
     if "ner" in wanted:
@@ -87,15 +97,15 @@ def annotate_with_rules(
     missing = F.array_repeat(strings, n)
     lemma, upos, head, deprel = missing, missing, F.array_repeat(ints, n), missing
     if "lemma" in wanted:
-        lemmas = {key: F.lit(value) for key, (value, _) in lexicon.tags.items()}
-        lemma = F.transform("low", lambda low: F.coalesce(_lookup(lemmas, lang, low), low))
+        lemmas = {key: _text(value) for key, (value, _) in lexicon.tags.items()}
+        lemma = F.expr(f"transform(low, l -> coalesce({_lookup(lemmas, 'l')}, l))")
     if "pos" in wanted:
         upos = F.col("tags")
     if "depparse" in wanted:
         root = F.col("root")
         head = F.concat(F.array_repeat(root, root - 1), F.array(F.lit(0)),
                         F.array_repeat(root, n - root))
-        relation = F.transform("tags", _relation)
+        relation = F.expr(_relations())
         deprel = F.concat(F.slice(relation, F.lit(1), root - 1), F.array(F.lit("root")),
                           F.slice(relation, root + 1, n - root))
     words = F.arrays_zip(
@@ -117,7 +127,7 @@ def annotate_with_rules(
 
 def _with_words(step: DataFrame, contractions: dict[tuple[str, str], list[str]]) -> DataFrame:
     """Add one array per word property; a contraction becomes several words."""
-    lang, toks, low = F.col("lang"), F.col("toks"), F.col("tok_low")
+    toks, low = F.col("toks"), F.col("tok_low")
     n = F.size(toks)
     plain = {
         "tok_ix": F.sequence(F.lit(1).cast("long"), n.cast("long")),
@@ -128,20 +138,20 @@ def _with_words(step: DataFrame, contractions: dict[tuple[str, str], list[str]])
     }
     if not contractions:
         return step.select(*step.columns, *[c.alias(name) for name, c in plain.items()])
-    table = {key: F.array(*[F.lit(p) for p in parts]) for key, parts in contractions.items()}
-    known = F.array(*[F.lit(token) for token in sorted({token for _, token in contractions})])
+    table = {
+        key: f"array({', '.join(_text(part) for part in parts)})" for key, parts in contractions.items()
+    }
+    known = ", ".join(_text(token) for token in sorted({token for _, token in contractions}))
     # One struct per word; only sentences with a contraction pay for it.
-    split = F.flatten(F.transform(
-        F.arrays_zip(toks.alias("tok"), low.alias("low")),
-        lambda t, i: F.transform(
-            F.coalesce(_lookup(table, lang, t["low"]), F.array(t["tok"])),
-            lambda form, j: F.struct(
-                (i + 1).cast("long").alias("tok_ix"), (j + 1).alias("part"),
-                t["tok"].alias("tok_form"), form.alias("form"), F.lower(form).alias("low"),
-            ),
-        ),
-    ))
-    step = step.withColumn("split", F.when(F.arrays_overlap(low, known), split))
+    split = F.expr(f"""
+        CASE WHEN arrays_overlap(tok_low, array({known})) THEN flatten(transform(
+            arrays_zip(toks, tok_low),
+            (t, i) -> transform(
+                coalesce({_lookup(table, "t.tok_low")}, array(t.toks)),
+                (f, j) -> struct(CAST(i + 1 AS BIGINT) AS tok_ix, j + 1 AS part,
+                                 t.toks AS tok_form, f AS form, lower(f) AS low)))) END
+    """)
+    step = step.withColumn("split", split)
     kept = [name for name in step.columns if name != "split"]
     return step.select(*kept, *[
         F.when(F.col("split").isNull(), column).otherwise(F.col(f"split.{name}")).alias(name)
@@ -155,32 +165,27 @@ def _first_parts(values: Column) -> Column:
     return F.filter(pairs, lambda pair: pair["part"] == 1)["value"]
 
 
-def _tags(lang: Column, lexicon: Lexicon) -> Column:
-    """Part of speech: the lexicon first, then the shape of the word."""
-    table = {key: F.lit(tag) for key, (_, tag) in lexicon.tags.items()}
+def _opening() -> Column:
+    """Token index of the opening word: the first token that is not a lone symbol."""
+    symbols = F.regexp_extract("text", OPENING_PATTERN, 0)
+    return F.length(F.regexp_replace(symbols, BLANK_PATTERN, "")) + 1
 
-    def tag(w: Column) -> Column:
-        named = (
-            F.rlike(w["form"], F.lit(CAPITAL_PATTERN))
-            & ~F.coalesce(lang.isin(NO_CAPITAL_RULE), F.lit(False))
-            & (w["tok_ix"] != w["opening"])
-        )
-        shape = (
-            F.when(F.rlike(w["form"], F.lit(NUMBER_PATTERN)), "NUM")
-            .when(F.rlike(w["form"], F.lit(SYMBOL_PATTERN)), "PUNCT")
-            .when(named, "PROPN")
-            .otherwise("NOUN")
-        )
-        return F.coalesce(_lookup(table, lang, w["low"]), shape) if table else shape
 
-    # The opening word is the first token that is not a lone symbol.
-    symbols = F.regexp_extract("text", OPENING_PATTERN, 0)
-    opening = F.length(F.regexp_replace(symbols, BLANK_PATTERN, "")) + 1
-    return F.transform(
-        F.arrays_zip(F.col("form"), F.col("low"), F.col("tok_ix"),
-                     F.array_repeat(opening, F.size("form")).alias("opening")),
-        tag,
-    )
+def _tags(lexicon: Lexicon) -> Column:
+    """Part of speech: the lexicon first, then the shape of the word."""
+    table = {key: _text(tag) for key, (_, tag) in lexicon.tags.items()}
+    no_names = ", ".join(_text(code) for code in NO_CAPITAL_RULE)
+    return F.expr(f"""
+        transform(arrays_zip(form, low, tok_ix, opening),
+            w -> coalesce({_lookup(table, "w.low")}, CASE
+                WHEN w.form rlike r'{LETTER_PATTERN}' THEN CASE
+                    WHEN w.form <> w.low AND w.form rlike r'{CAPITAL_PATTERN}'
+                        AND w.tok_ix <> w.opening AND coalesce(lang NOT IN ({no_names}), true) THEN 'PROPN'
+                    ELSE 'NOUN' END
+                WHEN w.form rlike r'{NUMBER_PATTERN}' THEN 'NUM'
+                WHEN w.form rlike r'{SYMBOL_PATTERN}' THEN 'PUNCT'
+                ELSE 'NOUN' END))
+    """)
 
 
 def _root(tags: Column) -> Column:
@@ -193,9 +198,10 @@ def _root(tags: Column) -> Column:
     ).cast("int")
 
 
-def _relation(tag: Column) -> Column:
-    relations = F.create_map(*[F.lit(part) for item in RELATION_BY_TAG.items() for part in item])
-    return F.coalesce(F.try_element_at(relations, tag), F.lit(OTHER_RELATION))
+def _relations() -> str:
+    """SQL for the relation of every tag's word to the root."""
+    entries = ", ".join(f"{_text(tag)}, {_text(name)}" for tag, name in RELATION_BY_TAG.items())
+    return f"transform(tags, t -> coalesce(try_element_at(map({entries}), t), {_text(OTHER_RELATION)}))"
 
 
 def _entities(lexicon: Lexicon) -> Column:
@@ -214,14 +220,14 @@ def _entities(lexicon: Lexicon) -> Column:
         )
         return F.array_compact(places)
 
-    names = [F.lit(part) for item in lexicon.names.items() for part in item]
+    names = ", ".join(f"{_text(name)}, {_text(kind)}" for name, kind in lexicon.names.items())
 
     def entity(span: Column, index: Column, toks: Column) -> Column:
         length = (span["end"] - span["start"] + 1).cast("int")
         text = F.array_join(F.slice(toks, span["start"].cast("int"), length), " ")
         kind = F.lit(OTHER_NAME_TYPE)
         if names:
-            kind = F.coalesce(F.try_element_at(F.create_map(*names), F.lower(text)), kind)
+            kind = F.coalesce(F.try_element_at(F.expr(f"map({names})"), F.lower(text)), kind)
         return F.struct(
             (index + 1).alias("ent_ix"), kind.alias("type"), text.alias("text"),
             span["start"].alias("tok_start"), span["end"].alias("tok_end"),
