@@ -157,16 +157,20 @@ def _random_tokens(seed, sentences, longest):
     }
 
 
+@pytest.mark.parametrize("nested", [True, False])
 @pytest.mark.parametrize("by_sent", [True, False])
 @pytest.mark.parametrize("window", [1, 3, 9])
-@pytest.mark.parametrize("longest", [5, 90])
-def test_large_documents_in_pieces(spark, by_sent, window, longest):
+@pytest.mark.parametrize("longest", [2, 90])
+def test_large_documents_in_pieces(spark, nested, by_sent, window, longest):
     """One document holds nearly all rows; pieces are shorter than some windows."""
     data = _random_tokens(window, 60, longest)
     df = spark.createDataFrame(
         [(d, s, t, w, w) for (d, s), seq in data.items() for t, w in enumerate(seq, 1)],
         "doc_id long, sent_ix long, tok_ix long, FORM string, LEMMA string",
     ).repartition(5)
+    if nested:
+        word = F.struct(F.lit(1).alias("part"), "tok_ix", F.col("FORM").alias("tok_form"), F.col("LEMMA").alias("lemma"))
+        df = df.groupBy("doc_id", "sent_ix").agg(F.sort_array(F.collect_list(F.struct("tok_ix", word.alias("w"))))["w"].alias("words"))
     if by_sent:
         sequences = list(data.values())
     else:

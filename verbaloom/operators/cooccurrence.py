@@ -39,9 +39,10 @@ def cooccurrences(
 ) -> DataFrame:
     """``left, right, count`` with ``left <= right``, the most frequent pairs first.
 
-    On the sentences table, pairs inside sentences are formed in the sentence's own row
-    and only counted pairs move.  A flat token table, or ``by_sent=False``, needs the
-    reading order of the document: see ``_ordered_pairs``.  No ``top``, or 0, means all.
+    On the sentences table, pairs inside a sentence are formed in the sentence's own row
+    and only counted pairs move; with ``by_sent=False`` the ends of each sentence move as
+    well, to meet the next one's.  A flat token table has to be put in reading order: see
+    ``_ordered_pairs``.  No ``top``, or 0, means all.
     """
     if window < 0:
         raise ValueError("the window must not be negative")
@@ -50,8 +51,13 @@ def cooccurrences(
     check_top(top)
     listed = exclude if exclude is None or isinstance(exclude, DataFrame) else set(exclude)
     inline = listed is None or (isinstance(listed, set) and len(listed) <= INLINE_WORDS)
-    if is_nested(df) and by_sent and inline:
-        pairs = _row_pairs(df, window, lowercase, listed, use_lemma)
+    if is_nested(df) and inline:
+        rows = _sequences(df, lowercase, listed, use_lemma)
+        pairs = _row_pairs(rows, window)
+        if not by_sent:
+            pairs = pairs.unionByName(
+                _ordered_pairs(_sentence_ends(rows, window), ["doc_id"], window, piece_rows, "sent_ix")
+            )
     else:
         if is_nested(df):
             df = token_view(df, ["sent_ix", "tok_ix", "FORM", "LEMMA"])
@@ -61,7 +67,8 @@ def cooccurrences(
         terms = without_terms(terms, F.col("term"), listed, lowercase)
         if by_sent:
             terms = terms.where(F.col("sent_ix").isNotNull())
-        pairs = _ordered_pairs(terms, window, by_sent, piece_rows)
+        group = ["doc_id", "sent_ix"] if by_sent else ["doc_id"]
+        pairs = _ordered_pairs(terms, group, window, piece_rows)
     counted = pairs.groupBy(
         F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")
     ).agg((F.count(F.lit(1)) * 2).alias("count"))
@@ -69,10 +76,10 @@ def cooccurrences(
     return ordered.limit(top) if top else ordered
 
 
-def _row_pairs(
-    sentences: DataFrame, window: int, lowercase: bool, exclude: set[str] | None, use_lemma: bool
+def _sequences(
+    sentences: DataFrame, lowercase: bool, exclude: set[str] | None, use_lemma: bool
 ) -> DataFrame:
-    """Pairs ``a, b`` from arrays: the sequence beside itself, shifted by each distance."""
+    """``doc_id, sent_ix, seq``: the terms of each sentence that are left, in order."""
     part, value = F.col("words.part"), F.col("words.lemma" if use_lemma else "words.tok_form")
     zipped = F.arrays_zip(part.alias("part"), value.alias("value"))
     one_each = F.coalesce(F.array_max(part), F.lit(1)) == 1
@@ -83,7 +90,11 @@ def _row_pairs(
     if exclude:
         words = sorted({word.lower() if lowercase else word for word in exclude})
         seq = F.filter(seq, lambda v: ~v.isin(words))
-    rows = sentences.select(seq.alias("seq")).where(F.size("seq") >= 2)
+    return sentences.select("doc_id", "sent_ix", seq.alias("seq"))
+
+
+def _row_pairs(rows: DataFrame, window: int) -> DataFrame:
+    """Pairs ``a, b`` from arrays: the sequence beside itself, shifted by each distance."""
     farthest = F.least(F.lit(window), F.size("seq") - 1)
     # A row per distance, so that a long sentence and a wide window never build one
     # array of all their pairs.
@@ -94,19 +105,36 @@ def _row_pairs(
     )).alias("pair")).select("pair.a", "pair.b")
 
 
+def _sentence_ends(rows: DataFrame, window: int) -> DataFrame:
+    """The terms that can be near another sentence: ``window`` at either end of their own.
+
+    A pair across sentences has only such terms between its two, so their distance among
+    these rows is their distance in the document.
+    """
+    n = F.size("seq")
+    placed = F.arrays_zip(F.sequence(F.lit(1), n).alias("tok_ix"), F.col("seq").alias("term"))
+    ends = F.when(n <= 2 * window, placed).otherwise(
+        F.concat(F.slice(placed, 1, window), F.slice(placed, n - (window - 1), F.lit(window)))
+    )
+    return rows.where(n > 0).select("doc_id", "sent_ix", F.explode(ends).alias("end")).select(
+        "doc_id", "sent_ix", "end.tok_ix", "end.term"
+    )
+
+
 def _up_to(last: Column) -> Column:
     """``[1 .. last]``, empty when ``last`` is below 1."""
     return F.when(last >= 1, F.sequence(F.lit(1), last))
 
 
-def _ordered_pairs(terms: DataFrame, window: int, by_sent: bool, piece_rows: int) -> DataFrame:
-    """Pairs from the reading order of a flat table.
+def _ordered_pairs(
+    terms: DataFrame, group: list[str], window: int, piece_rows: int, apart: str | None = None
+) -> DataFrame:
+    """Pairs from the reading order of flat rows, without those that agree in ``apart``.
 
     Documents of ordinary size go through one window per group.  A document that is too
     large for one task is sorted across tasks and cut into pieces; pairs that cross a cut
     come from the rows next to it.
     """
-    group = ["doc_id", "sent_ix"] if by_sent else ["doc_id"]
     if window == 0:
         return terms.select(F.col("term").alias("a"), F.col("term").alias("b")).where(F.lit(False))
     sizes = terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
@@ -114,7 +142,7 @@ def _ordered_pairs(terms: DataFrame, window: int, by_sent: bool, piece_rows: int
     limit = max(4 * piece_rows, (total or 0) // MOST_LARGE_DOCUMENTS)
     order = [F.asc_nulls_last("sent_ix"), F.asc_nulls_last("tok_ix"), F.asc("term")]
     if (biggest or 0) <= limit:
-        return _following(terms, group, order, window)
+        return _following(terms, group, order, window, apart)
     # At most MOST_LARGE_DOCUMENTS ids, as each has more than that share of all rows.
     large_sizes = sizes.where(F.col("rows") > limit)
     large_rows = large_sizes.agg(F.sum("rows")).first()[0]
@@ -123,21 +151,29 @@ def _ordered_pairs(terms: DataFrame, window: int, by_sent: bool, piece_rows: int
     is_large = F.col("doc_id").eqNullSafe(F.col("large_id"))
     small = terms.join(large_ids, is_large, "left_anti")
     large = terms.join(large_ids, is_large, "left_semi")
-    return _following(small, group, order, window).unionByName(
-        _pairs_in_pieces(large, group, order, window, piece_rows, partitions)
+    return _following(small, group, order, window, apart).unionByName(
+        _pairs_in_pieces(large, group, order, window, apart, piece_rows, partitions)
     )
 
 
-def _following(terms: DataFrame, group: list[str], order: list[Column], window: int) -> DataFrame:
-    """Each term with the ``window`` terms after it in its group."""
+def _following(
+    terms: DataFrame, group: list[str], order: list[Column], window: int, *apart: str | None
+) -> DataFrame:
+    """Each term with the ``window`` terms after it in its group that differ in ``apart``."""
+    labels = [name for name in apart if name]
     ahead = W.partitionBy(*group).orderBy(*order).rowsBetween(1, window)
-    ranked = terms.select(F.col("term").alias("a"), F.collect_list("term").over(ahead).alias("next"))
-    return ranked.select("a", F.explode("next").alias("b"))
+    ranked = terms.select(
+        *labels, "term", F.collect_list(F.struct(*labels, "term")).over(ahead).alias("next")
+    )
+    pairs = ranked.select(*labels, "term", F.explode("next").alias("next"))
+    for name in labels:
+        pairs = pairs.where(F.col(f"next.{name}") != F.col(name))
+    return pairs.select(F.col("term").alias("a"), F.col("next.term").alias("b"))
 
 
 def _pairs_in_pieces(
-    terms: DataFrame, group: list[str], order: list[Column], window: int, piece_rows: int,
-    partitions: int,
+    terms: DataFrame, group: list[str], order: list[Column], window: int, apart: str | None,
+    piece_rows: int, partitions: int,
 ) -> DataFrame:
     """Exact pairs of groups of any size.
 
@@ -150,7 +186,7 @@ def _pairs_in_pieces(
     placed = checkpoint(ranged.withColumn("pos", F.monotonically_increasing_id()))
     bits = piece_rows.bit_length() - 1
     placed = placed.withColumn("piece", F.shiftright("pos", bits))
-    inside = _following(placed, [*group, "piece"], [F.asc("pos")], window)
+    inside = _following(placed, [*group, "piece"], [F.asc("pos")], window, apart)
     # The first and last rows of each piece.  Between two of them in neighbouring pieces
     # there are only such rows, so their distance is right; pairs within a piece are done.
     ends = placed.groupBy("piece").agg(F.max("pos").alias("last_pos"))
@@ -158,11 +194,5 @@ def _pairs_in_pieces(
     edges = placed.join(ends, "piece").where(
         (F.col("pos") < first_pos + window) | (F.col("pos") > F.col("last_pos") - window)
     )
-    ahead = W.partitionBy(*group).orderBy("pos").rowsBetween(1, window)
-    neighbours = edges.select(
-        "piece", "term", F.collect_list(F.struct("piece", "term")).over(ahead).alias("next")
-    )
-    across = neighbours.select("piece", "term", F.explode("next").alias("next")).where(
-        F.col("next.piece") != F.col("piece")
-    )
-    return inside.unionByName(across.select(F.col("term").alias("a"), F.col("next.term").alias("b")))
+    across = _following(edges, group, [F.asc("pos")], window, "piece", apart)
+    return inside.unionByName(across)
