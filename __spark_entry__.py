@@ -8,7 +8,7 @@ call the same operators on the stored table.
 from __future__ import annotations
 
 import sys
-import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -65,7 +65,7 @@ def _tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written in the shared folder and read back, so the file is what is compared."""
     ensure_checkpoint_dir(spark)
     folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/tokens-{next(tempfile._get_candidate_names())}"
+    path = f"{folder}/tokens-{uuid.uuid4().hex}"
     write_tokens(annotate(_documents(spark, sf_dir)), path)
     return read_tokens(spark, path).withColumn("doc_id", F.col("doc_id").cast("long"))
 

@@ -7,6 +7,7 @@ import pytest
 from golden import rows, two_sentences
 from pyspark.sql import functions as F
 
+from verbaloom import session
 from verbaloom.functions import clean_field, pad_left, sheet_name, slug, time_stamp, value_or
 from verbaloom.operators import frequencies, views
 from verbaloom.plans import annotate, chart_pack, export_all, stats_pack, store_annotation, summary_pack
@@ -198,12 +199,18 @@ def test_corpora_from_tables(spark):
     assert ids == ["a~1b/c", "a/b~1c", "a~0/~1"]
 
 
-def test_few_files_are_spread(spark, tmp_path):
+def test_few_small_files_are_spread(spark, tmp_path, monkeypatch):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("x").alias("text"))
     docs.coalesce(1).write.parquet(str(tmp_path / "one"))
     docs.repartition(20).write.parquet(str(tmp_path / "many"))
-    assert "Exchange" in spread(spark.read.parquet(str(tmp_path / "one")), "doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in spread(spark.read.parquet(str(tmp_path / "many")), "doc_id")._jdf.queryExecution().executedPlan().toString()
+
+    def moves(name):
+        df = spread(spark.read.parquet(str(tmp_path / name)), "doc_id")
+        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+    assert moves("one") and not moves("many")
+    monkeypatch.setattr(session, "SPREAD_BYTES", 1)
+    assert not moves("one")
 
 
 def test_checkpoint_folder_of_the_session_is_kept(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbaloom.operators.filters import with_min_length, without_terms
@@ -50,31 +50,41 @@ def sentence_length_histogram(df: DataFrame, bins: int = 10) -> DataFrame:
     if bins < 1:
         raise ValueError("a histogram needs at least one bin")
     lengths = tally(sentence_lengths(df), "length")
-    least = lengths.agg(F.min("length").cast("double")).scalar()
-    most = lengths.agg(F.max("length").cast("double")).scalar()
-    slack = F.when(least == most, 0.5).otherwise(0.0)
-    low, width = least - slack, most - least + slack * 2
-
-    def edge(index):
+    # The total is not used: it keeps the counted lengths as this subquery's input, whose
+    # shuffle is then shared, where a bare minimum would read the corpus again.
+    ends = lengths.agg(F.struct(
+        F.min("length").cast("double").alias("least"), F.max("length").cast("double").alias("most"),
+        F.sum("count").alias("total"),
+    ).alias("ends")).scalar()
+
+    def with_range(table: DataFrame) -> DataFrame:
+        least, most = F.col("ends.least"), F.col("ends.most")
+        slack = F.when(least == most, 0.5).otherwise(0.0)
+        return table.withColumn("ends", ends).where(least.isNotNull()).select(
+            *table.columns, (least - slack).alias("low"), (most - least + slack * 2).alias("width")
+        )
+
+    def edge(index: Column) -> Column:
         """Left edge of a 0-based bin, as evenly spaced points are computed."""
-        return F.when(index == bins, low + width).otherwise(index * (width / bins) + low)
+        last = F.col("low") + F.col("width")
+        return F.when(index == bins, last).otherwise(index * (F.col("width") / bins) + F.col("low"))
 
-    value = F.col("length").cast("double")
-    guess = F.least(F.floor((value - low) / width * bins), F.lit(bins - 1))
-    binned = lengths.withColumn("guess", guess)
+    value, guess = F.col("length").cast("double"), F.col("guess")
+    binned = with_range(lengths).withColumn("guess", F.least(
+        F.floor((value - F.col("low")) / F.col("width") * bins), F.lit(bins - 1)
+    ))
     # A quotient can fall just beside an edge: compare with the edges themselves.
     index = (
-        F.when(value < edge(F.col("guess")), F.col("guess") - 1)
-        .when((value >= edge(F.col("guess") + 1)) & (F.col("guess") != bins - 1), F.col("guess") + 1)
-        .otherwise(F.col("guess"))
+        F.when(value < edge(guess), guess - 1)
+        .when((value >= edge(guess + 1)) & (guess != bins - 1), guess + 1)
+        .otherwise(guess)
     )
     counts = binned.groupBy((index + 1).alias("bin")).agg(F.sum("count").alias("count"))
-    every = df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"))
-    joined = every.join(counts, "bin", "left").select(
+    every = with_range(df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin")))
+    return every.join(counts, "bin", "left").select(
         "bin", edge(F.col("bin") - 1).alias("low"), edge(F.col("bin")).alias("high"),
         F.coalesce("count", F.lit(0).cast("long")).alias("count"),
-    )
-    return joined.where(F.col("low").isNotNull()).orderBy("bin")
+    ).orderBy("bin")
 
 
 def wordcloud_weights(

@@ -116,9 +116,8 @@ def _sentence_ends(rows: DataFrame, window: int) -> DataFrame:
     ends = F.when(n <= 2 * window, placed).otherwise(
         F.concat(F.slice(placed, 1, window), F.slice(placed, n - (window - 1), F.lit(window)))
     )
-    return rows.where(n > 0).select("doc_id", "sent_ix", F.explode(ends).alias("end")).select(
-        "doc_id", "sent_ix", "end.tok_ix", "end.term"
-    )
+    exploded = rows.select("doc_id", "sent_ix", F.explode(F.when(n > 0, ends)).alias("end"))
+    return exploded.select("doc_id", "sent_ix", "end.tok_ix", "end.term")
 
 
 def _up_to(last: Column) -> Column:

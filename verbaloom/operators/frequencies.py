@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verbaloom.functions.text import half_even_2
 from verbaloom.operators.filters import with_upos, without_outside
-from verbaloom.operators.views import first_words, tokens_of
+from verbaloom.operators.views import tokens_of
 from verbaloom.schemas import is_nested, key_columns, require_columns
 
 
@@ -102,9 +102,9 @@ def sentence_lengths(df: DataFrame, ordered: bool = False) -> DataFrame:
     has sentences, so it is only sorted on request.
     """
     if is_nested(df):
-        forms = F.filter(first_words(F.col("words"))["tok_form"], lambda form: form.isNotNull())
-        lengths = df.where(F.size("words") > 0).select(
-            "doc_id", "sent_ix", F.size(forms).cast("long").alias("length")
+        tokens = F.size(F.filter(F.col("words.part"), lambda part: part == 1)).cast("long")
+        lengths = df.where(F.size("words.part") > 0).select(
+            "doc_id", "sent_ix", tokens.alias("length")
         )
     else:
         require_columns(df, "sent_ix", "FORM")

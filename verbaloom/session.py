@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+# Two file splits of the default size.
+SPREAD_BYTES = 256 * 1024 * 1024
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the checkpoint folder the cluster names; pick one only on a local master."""
@@ -28,16 +31,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """Spread rows over the cluster when the input has too few files to keep it busy.
+    """Spread rows over the cluster when the input is too small to keep it busy.
 
-    A Parquet row group is read by one task, so a corpus in a handful of files would be
-    tokenised by a handful of tasks.  A corpus of many files is left where it is: moving
-    raw text through a shuffle costs more than it gains.
+    A Parquet row group is read by one task, so a corpus in a handful of small files would
+    be tokenised by a handful of tasks.  A corpus of many files, or of more bytes than
+    ``SPREAD_BYTES`` per core, is left where it is: it already splits into enough tasks,
+    and moving raw text through a shuffle costs more than it gains.
     """
     if df.isStreaming:
         return df
-    wanted = df.sparkSession.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
     files = len(df.inputFiles())
-    if files == 0 or files >= wanted:
+    if files == 0 or files >= cores:
         return df
-    return df.repartition(4 * wanted, *keys)
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(4 * cores, *keys) if estimate <= cores * SPREAD_BYTES else df
