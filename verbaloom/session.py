@@ -44,5 +44,5 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     files = len(df.inputFiles())
     if files == 0 or files >= cores:
         return df
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(4 * cores, *keys) if estimate <= cores * SPREAD_BYTES else df
