@@ -73,6 +73,7 @@ def main() -> None:
             df = query(spark, sf_dir)
             problem = compare(df, con, oracle[name]) if name in oracle else f"no SQL; {df.count()} rows"
         except Exception as error:  # report and go on with the next query
+            globals()["spark_done"] = time.time()
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += bool(problem)
         print(f"{name:28s} {spark_done - start:6.1f}s {time.time() - spark_done:6.1f}s  {problem or 'equal'}", flush=True)

@@ -41,7 +41,7 @@ def test_hostile_token_table(spark, tmp_path):
         "1\t2\tNA\tnull\tNOUN\t_\tx\tdep\tO",
         "x\t3\t007\t\tNUM\t_\t2.7\t\t",
         "2\t4.0\t sp \tNone\t\t\t-1\tdep\tB-X",
-        "2\tna\\x\t#x\tnan\tX\t_\t\tdep\tO",
+        "9007199254740993\tna\\x\t#x\tnan\tX\t_\tinf\tdep\tO",
     ]
     (tmp_path / "t.tsv").write_text("\n".join(lines) + "\n", encoding="utf-8")
     got = read_tokens(spark, str(tmp_path / "t.tsv"))
@@ -52,7 +52,7 @@ def test_hostile_token_table(spark, tmp_path):
         (1, 2, "NA", "null", "NOUN", "_", 0, "dep", "O"),
         (None, 3, "007", "_", "NUM", "_", 2, "_", "O"),
         (2, 4, " sp ", "None", "_", None, -1, "dep", "B-X"),
-        (2, None, "#x", "nan", "X", "_", 0, "dep", "O"),
+        (9007199254740993, None, "#x", "nan", "X", "_", 0, "dep", "O"),
     ]
     raw = read_tokens(spark, str(tmp_path / "t.tsv"), fill=False)
     assert ("_", 1) not in rows(frequencies.summary_lemma_freqs(raw))
@@ -101,6 +101,13 @@ def test_conllu_round_trip(spark, sentences, tmp_path):
     assert words == expected and ("3", "el") in {w[:2] for w in words}
 
 
+def test_line_breaking_characters_in_conllu(spark):
+    s = annotate(corpus_from_text(spark, "Hola mundo", "es"), "tokenize")
+    word = F.transform("words", lambda w: w.withField("form", F.concat(w["form"], F.lit("\t\n"))))
+    lines = rows(conllu_blocks(s.withColumn("words", word)))[0][2].split("\n")
+    assert lines[-2:] == ["1\tHola  \t_\t_\t_\t_\t0\t_\t_\t_", "2\tmundo  \t_\t_\t_\t_\t0\t_\t_\t_"]
+
+
 def test_missing_layers_in_conllu(spark):
     block = rows(conllu_blocks(annotate(corpus_from_text(spark, "Hola", "es"), "tokenize")))[0][2]
     assert block.split("\n")[-1] == "1\tHola\t_\t_\t_\t_\t0\t_\t_\t_"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Quoting is off on both sides, so a quote mark is a token like any other, and only the
@@ -16,6 +16,12 @@ TSV_OPTIONS = {
 FILLS = {"UPOS": "_", "LEMMA": "_", "NER": "O", "DEPREL": "_", "FORM": "_"}
 
 
+def _whole(name: str, kind: str) -> Column:
+    """A number without its fraction, null for anything else or out of range."""
+    column = F.col(name)
+    return F.coalesce(column.try_cast(kind), column.try_cast("double").try_cast(kind))
+
+
 def fill_tokens(tokens: DataFrame) -> DataFrame:
     """Fill missing fields and turn the index columns into numbers.
 
@@ -24,9 +30,9 @@ def fill_tokens(tokens: DataFrame) -> DataFrame:
     """
     filled = tokens.na.fill({name: v for name, v in FILLS.items() if name in tokens.columns})
     numbers = {
-        "sent_ix": F.col("sent_ix").try_cast("double").cast("long"),
-        "tok_ix": F.col("tok_ix").try_cast("double").cast("long"),
-        "HEAD": F.coalesce(F.col("HEAD").try_cast("double").cast("int"), F.lit(0)),
+        "sent_ix": _whole("sent_ix", "long"),
+        "tok_ix": _whole("tok_ix", "long"),
+        "HEAD": F.coalesce(_whole("HEAD", "int"), F.lit(0)),
     }
     return filled.withColumns({name: c for name, c in numbers.items() if name in tokens.columns})
 
