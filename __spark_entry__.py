@@ -22,7 +22,7 @@ from verbaloom.functions import sheet_name, slug, time_stamp  # noqa: E402
 from verbaloom.operators import chartdata, frequencies, matrix, segment, views  # noqa: E402
 from verbaloom.operators.cooccurrence import cooccurrences  # noqa: E402
 from verbaloom.operators.whitespace import WhitespaceAnnotator  # noqa: E402
-from verbaloom.plans import annotate  # noqa: E402
+from verbaloom.plans import annotate, store_annotation  # noqa: E402
 from verbaloom.schemas import UPOS_TAGS  # noqa: E402
 from verbaloom.session import ensure_checkpoint_dir  # noqa: E402
 from verbaloom.sinks import conllu_blocks, report_lines, sentence_objects, write_tokens  # noqa: E402
@@ -61,11 +61,23 @@ def _on(layers: str, operator: Callable[[DataFrame], DataFrame], corpus=_documen
     return run
 
 
+def _shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all executors see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _on_stored(layers: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """As ``_on`` for operators that read the annotation several times: it is stored first."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sentences = annotate(_documents(spark, sf_dir), layers)
+        return operator(store_annotation(sentences, _shared_path(spark, "annotation")))
+    return run
+
+
 def _tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written in the shared folder and read back, so the file is what is compared."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/tokens-{uuid.uuid4().hex}"
+    path = _shared_path(spark, "tokens")
     write_tokens(annotate(_documents(spark, sf_dir)), path)
     return read_tokens(spark, path).withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -132,10 +144,10 @@ def queries() -> dict[str, Query]:
         "sentence_lengths": _on("tokenize", frequencies.sentence_lengths),
         "sentence_length_histogram": _on("tokenize", chartdata.sentence_length_histogram),
         "cooc_sent": _on(lemma, cooccurrences),
-        "cooc_sent_flat": _on(lemma, lambda s: cooccurrences(views.token_view(s, flat))),
+        "cooc_sent_flat": _on_stored(lemma, lambda s: cooccurrences(views.token_view(s, flat))),
         "cooc_sent_all": _on(lemma, lambda s: cooccurrences(s, 1, top=None)),
-        "cooc_doc": _on(lemma, lambda s: cooccurrences(s, 3, by_sent=False)),
-        "cooc_doc_in_pieces": _on(lemma, lambda s: cooccurrences(s, 3, by_sent=False, piece_rows=512)),
+        "cooc_doc": _on_stored(lemma, lambda s: cooccurrences(s, 3, by_sent=False)),
+        "cooc_doc_in_pieces": _on_stored(lemma, lambda s: cooccurrences(s, 3, by_sent=False, piece_rows=512)),
         "cooc_excluding": _on(lemma, lambda s: cooccurrences(s, 4, exclude=duckdb_checks.EXCLUDED)),
         "cooc_form_cased": _on("tokenize", lambda s: cooccurrences(s, use_lemma=False, lowercase=False)),
         "dep_matrix_long": _on(parse, matrix.dependency_role_cells),
