@@ -120,7 +120,9 @@ def annotate_with_rules(
     # Unpacking a one-element array changes nothing but stops the optimizer from moving a
     # later condition on words below the steps above, where it would repeat all of them.
     # Conditions on the keys still reach the scan.
-    layers = F.array(F.struct(words.alias("words"), entities.alias("entities")))
+    step = step.select("doc_id", "lang", "sent_ix", "text", words.alias("words"),
+                       entities.alias("entities"))
+    layers = F.array(F.struct("words", "entities"))
     sealed = step.select("doc_id", "lang", "sent_ix", "text", F.explode(layers).alias("layers"))
     return sealed.select("doc_id", "lang", "sent_ix", "text", "layers.words", "layers.entities")
 

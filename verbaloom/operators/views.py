@@ -85,8 +85,10 @@ def token_view(sentences: DataFrame, columns: list[str] | None = None) -> DataFr
     sources = {
         "tok_ix": word["tok_ix"], "FORM": word["tok_form"], "LEMMA": word["lemma"],
         "UPOS": word["upos"], "XPOS": word["xpos"], "HEAD": word["head"],
-        "DEPREL": word["deprel"], "NER": _word_tags(word["tok_ix"]),
+        "DEPREL": word["deprel"], "NER": F.col("ner_tags"),
     }
+    if "NER" in columns:  # a step of its own, so that the rest is unpacked by generated code
+        sentences = sentences.withColumn("ner_tags", _word_tags(word["tok_ix"]))
     picked = [name for name in columns if name in sources]
     zipped = F.arrays_zip(word["part"].alias("part"), *[sources[p].alias(p) for p in picked])
     exploded = sentences.select("doc_id", "lang", "sent_ix", F.explode(zipped).alias("x"))
