@@ -139,11 +139,6 @@ def _word_list(words: list[str]) -> str:
     return ", ".join(text(word) for word in words)
 
 
-_PADDED = {
-    "form": "form", "lemma": "lemma", "upos": "upos",
-}
-
-
 def _pad(column: str, width: int) -> str:
     return f"CASE WHEN length({column}) < {width} THEN lpad({column}, {width}, ' ') ELSE {column} END"
 
@@ -235,7 +230,9 @@ def statements() -> dict[str, str]:
         "words_mwt": base + "SELECT doc_id, lang, sent_ix, word_id, tok_ix, tok AS TOK_FORM, form AS FORM FROM words",
         "token_view_tagged": base + "SELECT * FROM tokens",
         "tsv_roundtrip": base + "SELECT * FROM tokens",
-        "words_tagged": base + "SELECT doc_id, lang, sent_ix, word_id, form AS FORM, lemma AS LEMMA, upos AS UPOS, head AS HEAD, deprel AS DEPREL FROM parsed",
+        "words_tagged": base + (
+            "SELECT doc_id, lang, sent_ix, word_id, form AS FORM, lemma AS LEMMA, upos AS UPOS, "
+            "head AS HEAD, deprel AS DEPREL FROM parsed"),
         "entities": base + "SELECT doc_id, lang, sent_ix, ent_ix, type, text, tok_start, tok_end FROM entities",
         "bio_tags": base + bio_tags,
         "bio_tags_joined": base + bio_tags,

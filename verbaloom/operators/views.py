@@ -143,8 +143,9 @@ def head_forms(sentences: DataFrame) -> DataFrame:
 def join_head_forms(words: DataFrame) -> DataFrame:
     """``head_forms`` for a flat word table.
 
-    The join key holds the head's word id, so the words of one huge sentence spread over
-    the cluster instead of meeting in one task.
+    The key names the head, so the words of a huge sentence spread over the cluster by
+    head.  Should most of them share one head, adaptive execution splits that key: the
+    heads' side has one row for it and the words' side of a left join may be split.
     """
     require_columns(words, "sent_ix", "word_id", "FORM", "HEAD")
     sentence = [*key_columns(words), "sent_ix"]
