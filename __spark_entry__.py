@@ -28,6 +28,14 @@ from verbaloom.session import ensure_checkpoint_dir  # noqa: E402
 from verbaloom.sinks import conllu_blocks, report_lines, sentence_objects, write_tokens  # noqa: E402
 from verbaloom.sources import corpus_from_table, decode_text, read_tokens, without_markup  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from verbaloom.llm import registry as llm
+except ModuleNotFoundError as missing:  # the training-data subpackage may be left out
+    if missing.name not in {"corpus_pipeline", "verbaloom.llm"}:
+        raise
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +121,12 @@ def _heads_joined(sentences: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    if llm is None:
+        return _own_queries()
+    return {**_own_queries(), **llm.queries(), "pipeline": corpus_pipeline.run}
+
+
+def _own_queries() -> dict[str, Query]:
     every = "tokenize,mwt,pos,lemma,depparse,ner"
     pos, lemma, both = "tokenize,mwt,pos", "tokenize,mwt,lemma", "tokenize,mwt,pos,lemma"
     ner, parse = "tokenize,mwt,pos,ner", "tokenize,mwt,pos,depparse"
@@ -178,7 +192,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return duckdb_checks.statements()
+    own = duckdb_checks.statements()
+    if llm is None:
+        return own
+    piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**own, **llm.oracle_sql(), **piped}
 
 
 def entry(spark: SparkSession) -> DataFrame:
