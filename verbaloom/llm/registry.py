@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbaloom.llm import quality_hosts
+from verbaloom.llm import chat_formatting, quality_hosts, source_mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_source_mix": source_mixing.op3_source_mix,
         "op6_host_quality": quality_hosts.op6_host_quality,
+        "op9_chat_format": chat_formatting.op9_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_source_mix": source_mixing.OP3_SQL,
         "op6_host_quality": quality_hosts.OP6_SQL,
+        "op9_chat_format": chat_formatting.OP9_SQL,
     }
