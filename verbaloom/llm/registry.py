@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbaloom.llm import chat_formatting, quality_hosts, source_mixing
+from verbaloom.llm import chat_formatting, decontamination, quality_hosts, source_mixing, token_ledger, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_source_mix": source_mixing.op3_source_mix,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_host_quality": quality_hosts.op6_host_quality,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_chat_format": chat_formatting.op9_chat_format,
+        "op10_token_totals": token_ledger.op10_token_totals,
     }
 
 
@@ -23,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_source_mix": source_mixing.OP3_SQL,
         "op6_host_quality": quality_hosts.OP6_SQL,
+        "op8_decontamination": decontamination.OP8_SQL,
         "op9_chat_format": chat_formatting.OP9_SQL,
     }
