@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbaloom.llm import chat_formatting, decontamination, quality_hosts, source_mixing, token_ledger, toxicity
+from verbaloom.llm import (
+    chat_formatting,
+    decontamination,
+    html_extraction,
+    quality_hosts,
+    secret_scan,
+    source_mixing,
+    token_ledger,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_secret_scan": secret_scan.op2_secret_scan,
         "op3_source_mix": source_mixing.op3_source_mix,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_html_text": html_extraction.op5_html_text,
         "op6_host_quality": quality_hosts.op6_host_quality,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_chat_format": chat_formatting.op9_chat_format,
