@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verbaloom.llm import (
     chat_formatting,
+    dart_minhash,
     decontamination,
     html_extraction,
     quality_hosts,
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_duplicates": dart_minhash.op1_near_duplicates,
         "op2_secret_scan": secret_scan.op2_secret_scan,
         "op3_source_mix": source_mixing.op3_source_mix,
         "op4_toxicity": toxicity.op4_toxicity,
