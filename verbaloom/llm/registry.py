@@ -14,6 +14,7 @@ from verbaloom.llm import (
     quality_hosts,
     secret_scan,
     source_mixing,
+    suffix_dedup,
     token_ledger,
     toxicity,
 )
@@ -29,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_html_text": html_extraction.op5_html_text,
         "op6_host_quality": quality_hosts.op6_host_quality,
+        "op7_repeated_bytes": suffix_dedup.op7_repeated_bytes,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_chat_format": chat_formatting.op9_chat_format,
         "op10_token_totals": token_ledger.op10_token_totals,
