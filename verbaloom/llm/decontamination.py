@@ -8,9 +8,8 @@ benchmark hashes; the windows of the documents that were hit are then compared a
 what stands is either reported, or its words are cut out, or the document is dropped.
 
 The hash set is broadcast if it has at most ``MAX_BROADCAST`` rows of one long, which is
-counted first; a larger one is joined by shuffle on the hash, which spreads evenly.  No text
-moves in the first step.  Hits are keyed by id and text hash and stored; their true size
-decides whether texts move in the second.
+counted first; only the texts of documents that were hit move then.  A larger one is joined by
+shuffle on the hash.  Hits are keyed by id and text hash.
 
 Defined cases: null or empty texts have no words and no hits; items without words have no
 windows.  Repeated rows get the same result each.  Windows that several items share count for
@@ -59,28 +58,37 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
 
 
 def candidate_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """``id, key, spots`` of documents with a window whose hash is in the set; ``docs`` has ``id, key, text``."""
+    """``id, key, text, spots`` of documents with a window whose hash is in the set; ``docs`` has ``id, key, text``.
+
+    With a broadcast set the text goes along as a reference and is copied for hits only: the
+    hashes are an array column first, so that the explode and the lookup are one generated
+    loop.  With a larger set windows move by hash, and texts join their hits afterwards.
+    """
     hashes = windows.select("width", "hash").distinct()
     sizes = [(r["width"], r["n"]) for r in hashes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()]  # WIDTH rows at most
+    small = sum(n for _, n in sizes) <= MAX_BROADCAST
+    carried = ["id", "key", "text"] if small else ["id", "key"]
     found = []
-    for width, count in sorted(sizes):
+    for width, _ in sorted(sizes):
         known = hashes.filter(F.col("width") == width).select("hash")
-        known = F.broadcast(known) if count <= MAX_BROADCAST else known
         per_word = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
         per_window = let(per_word, lambda h: F.transform(
             _starts(F.size(h), width), lambda i: F.xxhash64(F.slice(h, i, width))))
-        rows = docs.select("id", "key", F.posexplode(per_window).alias("at", "hash")).join(known, "hash", "left_semi")
-        found.append(rows.select("id", "key", F.struct((F.col("at") + 1).alias("at"), F.lit(width).alias("width")).alias("spot")))
+        rows = docs.select(*carried, per_window.alias("hashes")).select(*carried, F.posexplode("hashes").alias("at", "hash"))
+        rows = rows.join(F.broadcast(known) if small else known, "hash", "left_semi")
+        found.append(rows.select(*carried, F.struct((F.col("at") + 1).alias("at"), F.lit(width).alias("width")).alias("spot")))
     if not found:
-        return docs.select("id", "key", F.array().cast("array<struct<at:int,width:int>>").alias("spots")).limit(0)
-    return functools.reduce(DataFrame.unionByName, found).groupBy("id", "key").agg(F.collect_set("spot").alias("spots"))
+        return docs.select("id", "key", "text", F.array().cast("array<struct<at:int,width:int>>").alias("spots")).limit(0)
+    rows = functools.reduce(DataFrame.unionByName, found).groupBy("id", "key")
+    if small:
+        return rows.agg(F.first("text").alias("text"), F.collect_set("spot").alias("spots"))
+    spots = rows.agg(F.collect_set("spot").alias("spots")).withColumnsRenamed({"id": "hit_id", "key": "hit_key"})
+    return docs.join(spots.hint("merge"), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key"))).drop("hit_id", "hit_key")
 
 
 def verified_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """``id, key, hit_words`` (their numbers, from 1) and ``items`` of contaminated documents."""
-    spots = stored(candidate_hits(docs, windows), "window-hits")
-    texts = docs.join(spots.withColumnsRenamed({"id": "hit_id", "key": "hit_key"}),
-                      F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")))
+    texts = candidate_hits(docs, windows)
     read = let(words(F.col("text")), lambda w: F.transform("spots", lambda s: F.struct(
         s["at"].alias("at"), s["width"].alias("width"), F.array_join(F.slice(w, s["at"], s["width"]), " ").alias("window"))))
     claimed = texts.select("id", "key", F.explode(read).alias("hit")).select("id", "key", "hit.*")
@@ -106,7 +114,8 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     own_id, own_key, spots = (free_name(docs, n) for n in ("hit_id", "hit_key", "hit_words"))
     hits = stored(verified_hits(keyed(docs, doc_id, text), windows).select(
         F.col("id").alias(own_id), F.col("key").alias(own_key), F.col("hit_words").alias(spots)), "verified-hits")
-    joined = docs.join(hits, F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_key)), "left")
+    # The same plan at every size: rows with their texts move once, by the whole key.
+    joined = docs.join(hits.hint("merge"), F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_key)), "left")
     if drop_documents:
         return joined.filter(F.col(spots).isNull()).select(*docs.columns)
     lead = F.regexp_extract(text, f"^[^{LETTERS}]*", 0)
