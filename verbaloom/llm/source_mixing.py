@@ -88,7 +88,7 @@ def _round_level(units: DataFrame, p: str, running: Column | None, order: list[s
     carried = F.col(f"{p}_sum") - part
     both = (carried - F.floor(carried)) + part
     units = units.withColumn(f"{p}_over", (both >= 1).cast("int")).withColumn(
-        f"{p}_took", F.col(f"{p}_draw") < F.when(both < 1, part / both).otherwise((1 - part) / (2 - both)))
+        f"{p}_took", F.col(f"{p}_draw") < F.when(both < 1, F.try_divide(part, both)).otherwise((1 - part) / (2 - both)))
     over = f"PARTITION BY `{p}_source`, `{p}_block` ORDER BY {', '.join(f'`{c}`' for c in order)}"
     following = F.expr(f"lead(IF(`{p}_took`, `{p}_over`, NULL)) IGNORE NULLS OVER ({over})")
     last = F.max(f"{p}_sum").over(Window.partitionBy(f"{p}_source", f"{p}_block"))
