@@ -1,0 +1,166 @@
+import re
+
+import numpy as np
+from llm_tables import SMALL, no_docs, odd_docs, odd_rows, prose, with_clashes
+
+from verbaloom.llm import decontamination, html_extraction, labelled_pages, secret_scan, toxicity
+from verbaloom.llm.labelled_findings import labelled_findings
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    scored = toxicity.op4_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    assert len(scored) > 50
+    # Some 280 labels are there to learn from; with thousands the share is above 0.99.
+    assert np.mean([r["predicted"] == r["toxic"] for r in scored]) > 0.9
+    low, high = [[r["score"] for r in scored if r["toxic"] == y] for y in (0, 1)]
+    assert np.median(high) > 0.9 > 0.1 > np.median(low)
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs, label = odd_docs(spark), "doc_id long, quality int, toxic int"
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (2, 1, 0), (7, None, None), (None, 1, 1), (9, 0, 1), (10, 0, 0)], label)
+    model = toxicity.train(docs, labels)
+    wide = with_clashes(docs)
+    scored = toxicity.score_texts(wide, model)
+    assert set(scored.columns) == {*wide.columns, "predicted"}
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in scored.collect())
+    assert scored.count() == len(odd_rows())
+    for none in (spark.createDataFrame([], label), labels.filter("toxic = 1")):
+        assert toxicity.score_texts(docs, toxicity.train(docs, none)).count() == len(odd_rows())
+    assert toxicity.score_texts(no_docs(spark), toxicity.train(no_docs(spark), labels)).collect() == []
+
+
+def test_extraction_of_held_out_pages():
+    model = html_extraction.fit(list(labelled_pages.labelled_pages(400)))
+    right = total = 0
+    for page, texts in labelled_pages.labelled_pages(200, seed=123):
+        want = "\n".join(" ".join(html_extraction.html.unescape(t).split()) for t in texts)
+        right, total = right + (model.main_text(page) == want), total + 1
+    assert right / total > 0.93
+
+
+def test_extraction_of_given_pages(spark):
+    def by_markup(page):
+        inner = page[page.index("<article>") + 9:].split("</article>")[0]
+        parts = [re.sub(r"<[^>]*>", "", p.replace("<br>", " ")) for p in re.split(r"</?(?:h1|p)>", inner)]
+        parts = [" ".join(html_extraction.html.unescape(p).split()) for p in parts]
+        return "\n".join(p for p in parts if p)
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    got = html_extraction.op5_html_text(spark, SMALL).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r["text"] == by_markup(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
+def test_blocks_of_broken_markup():
+    blocks = html_extraction.leaf_blocks
+    assert blocks("") == [] and [t for t, _ in blocks("plain &amp; simple")] == ["plain & simple"]
+    assert [t for t, _ in blocks("<p>one<p>two<b>bold</i> on<div>three</p></div>four")] == ["one", "twobold on", "three", "four"]
+    assert [t for t, _ in blocks("<p>a < b &lt; c</p><!-- x <p>no</p> --><script>var t='</p>';</script><p>d")] == ["a < b < c", "d"]
+    assert [t for t, _ in blocks("<p>kept</p><script>never closed <p>no</p>")] == ["kept"]
+    assert [t for t, _ in blocks('<p title="a>b">x</p><p title="open>y</p><p cla')][:1] == ["x"]
+    assert len(blocks("<div>" * 3000 + "deep" + "</div>" * 3000)) == 1
+    model = html_extraction.ChainModel({}, 1.0, [[0, 0], [0, 0]])
+    assert model.main_text(None) == "" and model.main_text("<p>x</p>") == "x"
+
+
+def test_viterbi_finds_the_best_path():
+    import itertools
+    draw = np.random.default_rng(2)
+    for _ in range(50):
+        weights = {f"f{i}": float(draw.normal()) for i in range(5)}
+        steps = draw.normal(size=(2, 2)).tolist()
+        model = html_extraction.ChainModel(weights, 0.1, steps)
+        blocks = [("t", {f"f{i}" for i in range(5) if draw.random() < 0.5}) for _ in range(7)]
+
+        def score(path):
+            own = sum((0.1 + sum(weights[f] for f in blocks[i][1])) * y for i, y in enumerate(path))
+            return own + sum(steps[a][b] for a, b in itertools.pairwise(path))
+        best = max(itertools.product((0, 1), repeat=7), key=score)
+        assert abs(score(model.labels(blocks)) - score(best)) < 1e-9
+
+
+def test_secrets_are_told_from_mistakes(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    describer, forest = secret_scan.scanner(spark, docs)
+    rows = list(labelled_findings(1000, ["alpha", "beta", "gamma"], seed=77))
+    x = np.array([describer.features(t, a, b) for t, a, b, _ in rows])
+    y = np.array([r[3] for r in rows])
+    assert np.mean((forest.scores(x) >= 0.5) == y) > 0.95
+    key, sha = "c80fd45a66f8564ae70609f7b2a26100e64e830e", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'abc token = "{key}" def', f"see commit {sha} for this", "call +1 (017) 555-7713 or 9807915762804490", 'api_key = "YOUR_API_KEY_HERE1"',
+             f'é\U0001f600 token = "{key}"', None, "", f'token = "{key}" token = "{sha}"']
+    frame = with_clashes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "length(text) AS n_chars"))
+    masked = secret_scan.redact(frame, describer, forest)
+    assert masked.columns == frame.columns
+    got = {r["doc_id"]: r for r in masked.collect()}
+    assert got[0]["text"] == 'abc token = "[SECRET]" def' and got[0]["n_chars"] == len(got[0]["text"])
+    assert [got[i]["text"] for i in (1, 2, 3, 5, 6)] == [texts[i] for i in (1, 2, 3, 5, 6)]
+    assert got[4]["text"] == 'é\U0001f600 token = "[SECRET]"' and got[7]["text"] == 'token = "[SECRET]" token = "[SECRET]"'
+    assert secret_scan.redact(odd_docs(spark), describer, forest).count() == len(odd_rows())
+    assert secret_scan.redact(no_docs(spark), *secret_scan.scanner(spark, no_docs(spark))).collect() == []
+
+
+def test_candidates_do_not_overlap():
+    text = 'k="abc123def456ghi789", token=zzz111yyy222xxx https://e.com/a1b2c3d4e5f6?id=12345678901234 end. 12 1.5'
+    spans = secret_scan.candidates(text)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert "abc123def456ghi789" in [text[a:b] for a, b in spans] and "zzz111yyy222xxx" in [text[a:b] for a, b in spans]
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower_words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def slow_hits(text, items):
+    words, hit, names = lower_words(text), set(), set()
+    for item, body in items:
+        own = lower_words(body)
+        width = min(10, len(own))
+        windows = {tuple(own[i:i + width]) for i in range(len(own) - width + 1)} if own else set()
+        for i in range(len(words) - width + 1):
+            if tuple(words[i:i + width]) in windows:
+                hit |= set(range(i, i + width))
+                names.add(str(item))
+    return len(words), len(hit), sorted(names), hit
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    items = [(1, prose(1, 30)), (2, prose(2, 10)), (3, "Three Ünique words"), (4, None), (5, ""), (6, prose(1, 30)), (12, prose(7, 25) + " Z")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    passage, other = prose(1, 30).split(), prose(7, 25)
+    texts = [prose(50, 40), prose(51, 20) + ". " + " ".join(passage[5:19]).upper() + "! " + prose(52, 20), " ".join(passage[:9]), None, "",
+             "-- three, ÜNIQUE: words", "-- three, üNIQUE: words!", prose(2, 10) + "\n" + other, "zz " + other + " z qq", other]
+    rows = list(enumerate(texts)) + [(7, texts[7]), (None, texts[1]), (3, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (10_000, 0):
+        monkeypatch.setattr(decontamination, "MAX_BROADCAST", bound)
+        windows = decontamination.benchmark_windows(bench)
+        found = {(r["id"], r["key"]): r for r in decontamination.verified_hits(decontamination.keyed(docs), windows).collect()}
+        keys = [(r["id"], r["key"]) for r in decontamination.keyed(docs).collect()]
+        for key, (_, text) in zip(keys, rows, strict=True):
+            _, n, names, hit = slow_hits(text, items)
+            assert (key in found) == (n > 0)
+            if n:
+                assert found[key]["items"] == names and {w - 1 for w in found[key]["hit_words"]} == hit
+        wide = with_clashes(docs.selectExpr("*", "length(text) AS n_chars"))
+        clean = decontamination.without_hits(wide, bench)
+        assert clean.columns == wide.columns
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, tuple(lower_words(r["text"])), r["n_chars"]) for r in clean.collect())
+        want = []
+        for doc, text in rows:
+            words, hit = lower_words(text), slow_hits(text, items)[3]
+            left = tuple(w for i, w in enumerate(words) if i not in hit)
+            if not hit or left:
+                want.append((doc is None, doc or 0, left))
+        assert [g[:3] for g in got] == sorted(want)
+        untouched = {r["doc_id"]: r["text"] for r in clean.collect()}
+        assert untouched[0] == texts[0] and untouched[3] is None or untouched[4] == ""
+        dropped = decontamination.without_hits(wide, bench, drop_documents=True)
+        assert dropped.count() == sum(not slow_hits(t, items)[1] for _, t in rows)
+    assert decontamination.without_hits(no_docs(spark), bench).collect() == []
+    assert decontamination.without_hits(docs, bench.limit(0)).count() == len(rows)

@@ -85,10 +85,14 @@ def _round_level(units: DataFrame, p: str, running: Column | None, order: list[s
     else:
         total = running * F.row_number().over(group)
     units = units.withColumn(f"{p}_sum", total)
-    carried = F.col(f"{p}_sum") - part
-    both = (carried - F.floor(carried)) + part
-    units = units.withColumn(f"{p}_over", (both >= 1).cast("int")).withColumn(
-        f"{p}_took", F.col(f"{p}_draw") < F.when(both < 1, F.try_divide(part, both)).otherwise((1 - part) / (2 - both)))
+    # Whether a whole number is passed is read off the same two sums here and at the next unit,
+    # so that rounding can't lose or add a copy.
+    before = F.coalesce(F.lag(f"{p}_sum").over(group), F.lit(0.0))
+    units = units.withColumn(f"{p}_before", before)
+    passed = F.floor(f"{p}_sum") > F.floor(f"{p}_before")
+    both = F.col(f"{p}_before") - F.floor(f"{p}_before") + part
+    units = units.withColumn(f"{p}_over", passed.cast("int")).withColumn(
+        f"{p}_took", F.col(f"{p}_draw") < F.when(passed, (1 - part) / (2 - both)).otherwise(F.try_divide(part, both)))
     over = f"PARTITION BY `{p}_source`, `{p}_block` ORDER BY {', '.join(f'`{c}`' for c in order)}"
     following = F.expr(f"lead(IF(`{p}_took`, `{p}_over`, NULL)) IGNORE NULLS OVER ({over})")
     last = F.max(f"{p}_sum").over(Window.partitionBy(f"{p}_source", f"{p}_block"))
@@ -178,15 +182,16 @@ WITH d AS (
     ('0x' || substr(md5('draw|1|' || coalesce(doc_id::VARCHAR, '') || '|' || size), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS draw,
     ('0x' || substr(md5('last|' || coalesce(doc_id::VARCHAR, '') || '|' || size), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS last
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
-), r AS (SELECT *, p * row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS run FROM u
-), k AS (SELECT *, ((run - p) - floor(run - p)) + p AS both_parts, max(run) OVER (PARTITION BY source) AS top FROM r
+), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS rn FROM u
+), k AS (SELECT *, p * rn AS run, p * (rn - 1) AS run_before, max(p * rn) OVER (PARTITION BY source) AS top FROM r
 ), m AS (
-  SELECT *, (both_parts >= 1)::INT AS is_over,
-    draw < CASE WHEN both_parts < 1 THEN p / both_parts ELSE (1 - p) / (2 - both_parts) END AS took FROM k
+  SELECT *, (floor(run) > floor(run_before))::INT AS is_over, run_before - floor(run_before) + p AS both_parts FROM k
+), m2 AS (
+  SELECT *, draw < CASE WHEN is_over = 1 THEN (1 - p) / (2 - both_parts) ELSE p / both_parts END AS took FROM m
 ), z AS (
   SELECT *, CASE WHEN p = 0 THEN 0 WHEN took THEN coalesce(
       lead(CASE WHEN took THEN is_over END IGNORE NULLS) OVER (PARTITION BY source ORDER BY size, doc_id),
-      (last < top - floor(top))::INT) ELSE is_over END AS won FROM m
+      (last < top - floor(top))::INT) ELSE is_over END AS won FROM m2
 )
 SELECT doc_id, size, total AS source_size, target, (size * (whole + won))::BIGINT AS taken, (whole + won)::BIGINT AS copies FROM z
 """
