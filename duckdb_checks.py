@@ -20,6 +20,25 @@ from verbaloom.operators.segment import INK_PATTERN, SENTENCE_PATTERN, SPACES, T
 from verbaloom.schemas import UPOS_TAGS
 from verbaloom.sinks import report
 
+# A flat token table with tags in variety, some unknown or missing, out of order, and words and
+# spans of the same table: expressions that both engines read.
+FLAT_COLUMNS = """l_suppkey AS doc_id;
+CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_partkey % 5 END AS sent_ix;
+CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS tok_ix;
+CASE WHEN l_linenumber = 5 THEN NULL WHEN l_linenumber = 6 THEN '' ELSE concat('f', l_partkey % 13) END AS FORM;
+CASE WHEN l_linenumber = 3 THEN NULL ELSE concat('L', l_partkey % 9) END AS LEMMA;
+CASE l_linenumber WHEN 1 THEN 'NOUN' WHEN 2 THEN 'VERB' WHEN 3 THEN 'ZZZ' WHEN 4 THEN NULL WHEN 5 THEN l_returnflag ELSE 'X' END AS UPOS;
+CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE concat('rel', l_partkey % 7) END AS DEPREL;
+CASE l_returnflag WHEN 'R' THEN 'B-PER' WHEN 'A' THEN 'I-LOC' ELSE NULL END AS NER"""
+WORD_COLUMNS = """l_orderkey AS doc_id;1 AS sent_ix;CAST(l_linenumber AS INT) AS word_id;concat('f', l_partkey % 13) AS FORM;
+CAST(l_partkey % 8 AS INT) AS HEAD;lower(l_returnflag) AS DEPREL"""
+SPAN_COLUMNS = """l_orderkey AS doc_id;1 AS sent_ix;l_partkey * 10 + l_linenumber AS ent_ix;l_linestatus AS type;
+CAST(l_linenumber AS INT) AS tok_start;CAST(l_linenumber + l_partkey % 3 AS INT) AS tok_end"""
+_FLAT = ("WITH raw AS (SELECT " + FLAT_COLUMNS.replace(";", ",") + """ FROM lineitem),
+tokens AS (SELECT doc_id, sent_ix, tok_ix, coalesce(nullif(FORM, ''), '_') AS FORM, coalesce(LEMMA, '_') AS LEMMA,
+  coalesce(UPOS, '_') AS UPOS, coalesce(DEPREL, '_') AS DEPREL, coalesce(NER, 'O') AS NER FROM raw)
+""")
+
 STOPWORDS = ["the", "of", "de", "la", "der", "die", "und", "le", "et"]
 EXCLUDED = [".", ",", "%", "$", "#", "*", "&", "The"]
 
@@ -144,10 +163,10 @@ def _pad(column: str, width: int) -> str:
 
 
 _HEAD_FORMS = """, heads AS (
-  SELECT d.doc_id, d.lang, d.sent_ix, d.word_id, d.form AS dep_form, d.head, d.deprel,
-    coalesce(h.form, 'ROOT') AS head_form
-  FROM parsed d LEFT JOIN parsed h
-    ON h.doc_id = d.doc_id AND h.sent_ix = d.sent_ix AND h.word_id = d.head)
+  SELECT doc_id, lang, sent_ix, word_id, form AS dep_form, head, deprel,
+    CASE WHEN head = 0 THEN 'ROOT' ELSE coalesce(forms[head], 'ROOT') END AS head_form
+  FROM (SELECT *, list(form) OVER (PARTITION BY doc_id, sent_ix ORDER BY word_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS forms FROM parsed))
 """
 
 _HISTOGRAM = """, lens AS (SELECT count(*) AS v FROM tokens GROUP BY doc_id, sent_ix),
@@ -179,7 +198,7 @@ SELECT doc_id, sent_ix, row_number() OVER (PARTITION BY doc_id, sent_ix ORDER BY
 _CONLLU = """, lines AS (SELECT doc_id, sent_ix, string_agg(concat_ws(chr(9), word_id, form, lemma, upos,
     '_', '_', head, deprel, '_', '_'), chr(10) ORDER BY word_id) AS body FROM parsed GROUP BY ALL)
 SELECT s.doc_id, s.sent_ix, CASE WHEN s.sent_ix = 1 THEN '# newdoc id = ' || s.doc_id || chr(10) ELSE '' END
-  || '# sent_id = ' || s.sent_ix || chr(10) || '# text = ' || translate(s.text, chr(9) || chr(13) || chr(10), '   ')
+  || '# doc_id = ' || s.doc_id || chr(10) || '# sent_id = ' || s.sent_ix || chr(10) || '# text = ' || translate(s.text, chr(9) || chr(13) || chr(10), '   ')
   || chr(10) || body AS block
 FROM sentences s JOIN lines l ON l.doc_id = s.doc_id AND l.sent_ix = s.sent_ix"""
 
@@ -201,6 +220,12 @@ shares AS (SELECT DEPREL, UPOS, n AS "count", {percent} AS percent FROM
   (SELECT *, sum(n) OVER (PARTITION BY DEPREL) AS total FROM cells))
 """.replace("{percent}", half_even("n::DOUBLE / total::DOUBLE * 100"))
 
+_PAIRS_OF_SENTENCES = "{pairs}"
+
+_WIDE_CELLS = _CELLS.replace(
+    "SELECT DEPREL, UPOS, count(*) AS n", f"SELECT DEPREL, CASE WHEN UPOS IN ({', '.join(text(t) for t in UPOS_TAGS)}) "
+    "THEN UPOS ELSE 'other' END AS UPOS, count(*) AS n").replace("GROUP BY ALL", "GROUP BY 1, 2", 1)
+
 _SLUG = (
     r"lower(trim(regexp_replace(regexp_replace(p_name, '[^a-zA-Z0-9._-]+', '-', 'g'), "
     r"'-{2,}', '-', 'g'), '-'))"
@@ -217,7 +242,7 @@ def statements() -> dict[str, str]:
     tokens = "SELECT doc_id, sent_ix, tok_ix, lower(LEMMA) AS term FROM tokens"
     by_sent = ("tok_ix", "doc_id, sent_ix")
     wide = ", ".join(
-        f"coalesce(max(percent) FILTER (UPOS = {text(tag)}), 0.0)::DOUBLE AS \"{tag}\"" for tag in UPOS_TAGS
+        f"coalesce(max(percent) FILTER (UPOS = {text(tag)}), 0.0)::DOUBLE AS \"{tag}\"" for tag in [*UPOS_TAGS, "other"]
     )
     share = half_even('"count"::DOUBLE / (sum("count") OVER ())::DOUBLE * 100')
     count_of = "SELECT {0}, count(*) AS \"count\" FROM tokens {1} GROUP BY 1"
@@ -259,7 +284,7 @@ QUALIFY row_number() OVER (PARTITION BY UPOS ORDER BY count(*) DESC, LEMMA) <= 2
             *by_sent, f"SELECT * FROM ({tokens}) WHERE term NOT IN ({_word_list([w.lower() for w in EXCLUDED])})", 4, 200),
         "cooc_form_cased": base + _pairs(*by_sent, "SELECT doc_id, sent_ix, tok_ix, FORM AS term FROM tokens", 2, 200),
         "dep_matrix_long": base + _CELLS + "SELECT * FROM shares",
-        "dep_matrix_wide": base + _CELLS + f"SELECT DEPREL, {wide} FROM shares GROUP BY DEPREL",
+        "dep_matrix_wide": base + _WIDE_CELLS + f"SELECT DEPREL, {wide} FROM shares GROUP BY DEPREL",
         "wordcloud_weights": base + f"""SELECT LEMMA, "count", "count"::DOUBLE / (max("count") OVER ())::DOUBLE AS weight
 FROM (SELECT LEMMA, count(*) AS "count" FROM tokens WHERE lower(LEMMA) NOT IN ({_word_list(STOPWORDS)})
   AND length(LEMMA) >= 2 GROUP BY 1) ORDER BY 2 DESC, 1 LIMIT 200""",
@@ -277,12 +302,49 @@ FROM (SELECT LEMMA, count(*) AS "count" FROM tokens WHERE lower(LEMMA) NOT IN ({
         "time_stamps": "SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS stamp FROM events",
         "decode_bytes": r"""SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS from_utf8,
   regexp_replace(regexp_replace(text, '[^\x00-\xff]', '?', 'g'), '\r\n?', chr(10), 'g') AS from_latin1 FROM documents""",
-        "plugin_annotate": r"""WITH lines AS (SELECT doc_id, lang, list_filter(string_split(text, chr(10)),
-    lambda l: regexp_matches(l, '[^\p{Z}\p{Cc}]')) AS ls FROM documents),
-sents AS (SELECT doc_id, lang, unnest(range(1, len(ls) + 1)) AS sent_ix,
-  regexp_extract_all(unnest(ls), '[^\p{Z}\t\n\r\f\x0b\x1c-\x1f\x85]+') AS ts FROM lines),
-toks AS (SELECT doc_id, lang, sent_ix, unnest(range(1, len(ts) + 1)) AS tok_ix, unnest(ts) AS FORM FROM sents)
-SELECT doc_id, lang, sent_ix, tok_ix, FORM, lower(FORM) AS LEMMA, 'X' AS UPOS, '_' AS XPOS,
-  CASE WHEN tok_ix = 1 THEN 0 ELSE 1 END AS HEAD, CASE WHEN tok_ix = 1 THEN 'root' ELSE 'dep' END AS DEPREL,
-  'O' AS NER FROM toks""",
+        "cooc_long_exclude": base + ", listed AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, "
+            + text(TOKEN_PATTERN) + "))) AS w FROM benchmark)" + _pairs(
+                *by_sent, f"SELECT * FROM ({tokens}) WHERE term NOT IN (SELECT w FROM listed)", 2, 200),
+        "conllu_file": base + _CONLLU,
+        "report_file": base + "SELECT doc_id, sent_ix FROM sentences",
+        "export_all_readback": base + """SELECT 'tsv' AS export, doc_id, count(*) AS "rows" FROM tokens GROUP BY doc_id
+UNION ALL SELECT e, doc_id, count(*) FROM sentences, (VALUES ('conllu'), ('report'), ('json')) AS x(e) GROUP BY ALL""",
+        "stats_pack_long": base + _PAIRS_OF_SENTENCES.format(pairs=_pairs(*by_sent, tokens, 2, 200).split("SELECT least", 1)[0])
+            + _CELLS + f"""SELECT 'pos' AS pack_table, UPOS AS key, NULL::VARCHAR AS key2, "count"::DOUBLE AS v1, {share} AS v2, NULL::DOUBLE AS v3
+  FROM ({count_of.format("UPOS", "")})
+UNION ALL SELECT * FROM (SELECT 'lemmas', LEMMA, NULL, count(*), NULL, NULL FROM tokens GROUP BY 2 ORDER BY 4 DESC, 2 LIMIT 50)
+UNION ALL SELECT 'ner', NER, NULL, count(*), NULL, NULL FROM tokens WHERE NER <> 'O' GROUP BY 2
+UNION ALL SELECT 'deprel', DEPREL, NULL, count(*), NULL, NULL FROM tokens GROUP BY 2
+UNION ALL SELECT 'lengths', doc_id::VARCHAR, NULL, sent_ix, count(*), NULL FROM tokens GROUP BY doc_id, sent_ix
+UNION ALL SELECT * FROM (SELECT 'cooc', least(a.term, b.term) AS x, greatest(a.term, b.term) AS y, 2 * count(*) AS n, NULL, NULL FROM shifted a
+  JOIN seq b ON a.doc_id = b.doc_id AND a.sent_ix = b.sent_ix AND b.rn = a.other_rn GROUP BY 2, 3 ORDER BY n DESC, x, y LIMIT 200)
+UNION ALL SELECT 'dep_matrix_pct', DEPREL, UPOS, percent, NULL, NULL FROM shares WHERE percent <> 0""",
+        "chart_pack_long": base + _HISTOGRAM.replace("{bins}", "10").replace("SELECT bin, low", ", bins AS (SELECT bin, low") + f""")
+SELECT 'upos' AS pack_table, UPOS AS key, NULL::VARCHAR AS key2, count(*)::DOUBLE AS v1, NULL::DOUBLE AS v2, NULL::DOUBLE AS v3 FROM tokens GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'lemmas', LEMMA, NULL, count(*), NULL, NULL FROM tokens GROUP BY 2 ORDER BY 4 DESC, 2 LIMIT 20)
+UNION ALL SELECT 'ner', NER, NULL, count(*), NULL, NULL FROM tokens WHERE NER <> 'O' GROUP BY 2
+UNION ALL SELECT 'deprel', DEPREL, NULL, count(*), NULL, NULL FROM tokens GROUP BY 2
+UNION ALL SELECT 'sentlen', bin::VARCHAR, NULL, low, high, "count" FROM bins
+UNION ALL SELECT * FROM (SELECT 'wordcloud', LEMMA, NULL, "count", "count"::DOUBLE / (max("count") OVER ())::DOUBLE, NULL
+  FROM (SELECT LEMMA, count(*) AS "count" FROM tokens WHERE length(LEMMA) >= 2 GROUP BY 1) ORDER BY 4 DESC, 2 LIMIT 200)""",
+        "summary_pack_long": base + """SELECT 'tokens' AS pack_table, FORM AS key, LEMMA AS key2, sent_ix::DOUBLE AS v1, tok_ix::DOUBLE AS v2, NULL::DOUBLE AS v3 FROM tokens
+UNION ALL SELECT 'pos_counts', UPOS, NULL, count(*), NULL, NULL FROM tokens GROUP BY 2
+UNION ALL SELECT 'lemma_freqs', LEMMA, NULL, count(*), NULL, NULL FROM tokens GROUP BY 2
+UNION ALL SELECT 'ner_counts', NER, NULL, count(*), NULL, NULL FROM tokens GROUP BY 2""",
+        "flat_cooc_sent": _FLAT + _pairs("tok_ix, term", "doc_id, sent_ix", f"{tokens} WHERE sent_ix IS NOT NULL", 3, None),
+        "flat_cooc_doc": _FLAT + _pairs("sent_ix NULLS LAST, tok_ix, term", "doc_id", tokens, 3, None),
+        "flat_pos_counts": _FLAT + f'SELECT UPOS, "count", {share} AS percent FROM ({count_of.format("UPOS", "")})',
+        "flat_lemma_freqs": _FLAT + count_of.format("LEMMA", ""),
+        "flat_ner_counts": _FLAT + count_of.format("NER AS NER_tag", "WHERE NER <> 'O'"),
+        "flat_deprel_counts": _FLAT + count_of.format("DEPREL", ""),
+        "flat_dep_matrix": _FLAT + _CELLS + "SELECT * FROM shares",
+        "flat_dep_matrix_wide": _FLAT + _WIDE_CELLS + f"SELECT DEPREL, {wide} FROM shares GROUP BY DEPREL",
+        "flat_lengths": _FLAT + "SELECT doc_id, sent_ix, count(*) AS length FROM tokens WHERE sent_ix IS NOT NULL GROUP BY ALL",
+        "flat_head_forms": f"""WITH w AS (SELECT {WORD_COLUMNS.replace(";", ",")} FROM lineitem)
+SELECT w.*, coalesce(h.FORM, 'ROOT') AS head_form FROM w LEFT JOIN w h ON h.doc_id = w.doc_id AND h.word_id = w.HEAD""",
+        "flat_bio_tags": f"""WITH w AS (SELECT {WORD_COLUMNS.replace(";", ",")} FROM lineitem),
+s AS (SELECT {SPAN_COLUMNS.replace(";", ",")} FROM lineitem WHERE l_quantity < 20),
+c AS (SELECT doc_id, ent_ix, unnest(range(tok_start, tok_end + 1)) AS p, type, tok_start FROM s),
+b AS (SELECT doc_id, p, arg_max(CASE WHEN p = tok_start THEN 'B-' ELSE 'I-' END || type, ent_ix) AS tag FROM c GROUP BY doc_id, p)
+SELECT w.doc_id, w.sent_ix, word_id AS tok_ix, FORM, coalesce(tag, 'O') AS NER FROM w LEFT JOIN b ON b.doc_id = w.doc_id AND p = word_id""",
     }

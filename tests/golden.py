@@ -1,5 +1,8 @@
 """Small inputs whose results were worked out by hand."""
 
+from collections import Counter
+from itertools import combinations
+
 COLUMNS = (
     "doc_id long, sent_ix long, tok_ix long, FORM string, LEMMA string, UPOS string, "
     "XPOS string, HEAD int, DEPREL string, NER string"
@@ -30,12 +33,10 @@ def rows(df):
 
 
 def brute_pairs(sequences, window):
-    """Each position with every other one at most ``window`` away, from both ends."""
-    counts = {}
+    """Two for each pair of places that are at most ``window`` apart."""
+    counts = Counter()
     for seq in sequences:
-        for i, a in enumerate(seq):
-            for j in range(max(0, i - window), min(len(seq), i + window + 1)):
-                if j != i:
-                    key = tuple(sorted((a, seq[j])))
-                    counts[key] = counts.get(key, 0) + 1
-    return counts
+        for (i, a), (j, b) in combinations(enumerate(seq), 2):
+            if j - i <= window:
+                counts[min(a, b), max(a, b)] += 2
+    return dict(counts)

@@ -95,9 +95,9 @@ def test_later_entities_overwrite_earlier_ones(spark):
 
 
 def test_names_and_openings(spark):
-    s = sentences_of(spark, "¡Ayer hablé con María en San José sobre el proyecto LESCO!\n¿Qué más?")
+    s = sentences_of(spark, "¡Ayer llegó con Anna de Buenos Aires para un curso UNESCO!\n¿Qué más?")
     assert rows(views.entity_view(s).select("type", "text", "tok_start", "tok_end")) == [
-        ("PER", "María", 5, 5), ("LOC", "San José", 7, 8), ("ORG", "LESCO", 12, 12)]
+        ("PER", "Anna", 5, 5), ("LOC", "Buenos Aires", 7, 8), ("ORG", "UNESCO", 12, 12)]
     tags = rows(views.token_view(s, ["sent_ix", "tok_ix", "UPOS"]).select("UPOS"))
     assert tags[1] == ("ADV",) and ("PROPN",) not in tags[13:]
 
@@ -129,7 +129,7 @@ def test_empty_documents_have_no_sentences(spark):
     ("tokenize,lemma", ["UPOS", "DEPREL"]), ("depparse", ["LEMMA", "UPOS"]), ("ner", ["LEMMA", "UPOS", "DEPREL"]),
 ])
 def test_layers_that_were_not_asked_for(spark, layers, empty):
-    s = sentences_of(spark, "Voy al cine con María.", layers=layers)
+    s = sentences_of(spark, "Voy al parque con Anna.", layers=layers)
     view = views.token_view(s)
     assert view.count() == 6
     for name in ("LEMMA", "UPOS", "DEPREL"):

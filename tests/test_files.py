@@ -12,11 +12,12 @@ from verbaloom.functions import clean_field, pad_left, sheet_name, slug, time_st
 from verbaloom.operators import frequencies, views
 from verbaloom.plans import annotate, chart_pack, export_all, stats_pack, store_annotation, summary_pack
 from verbaloom.schemas import TOKEN_COLUMNS
-from verbaloom.session import ensure_checkpoint_dir, spread
+from verbaloom.session import ensure_checkpoint_dir
+from verbaloom.sinks import read_report
 from verbaloom.sinks import conllu_blocks, report_lines, write_conllu, write_json, write_report, write_tables, write_tokens
 from verbaloom.sources import corpus_from_table, corpus_from_text, read_text_files, read_tokens
 
-TEXT = "Ayer hablé con María en San José. Voy al cine \"NA\" 007.\n% null"
+TEXT = "Ayer llegó con Anna de Buenos Aires. Voy al cine \"NA\" 007.\n% null"
 
 
 @pytest.fixture()
@@ -93,8 +94,8 @@ def _parse_conllu(path):
 def test_conllu_round_trip(spark, sentences, tmp_path):
     write_conllu(sentences, str(tmp_path / "c"))
     blocks = _parse_conllu(tmp_path / "c")
-    assert blocks[0][0] == ["# newdoc id = 0", "# sent_id = 1", "# text = Ayer hablé con María en San José."]
-    assert [b[0][0] for b in blocks[1:]] == ["# sent_id = 2", "# sent_id = 3"]
+    assert blocks[0][0] == ["# newdoc id = 0", "# doc_id = 0", "# sent_id = 1", "# text = Ayer llegó con Anna de Buenos Aires."]
+    assert [b[0][:2] for b in blocks[1:]] == [["# doc_id = 0", "# sent_id = 2"], ["# doc_id = 0", "# sent_id = 3"]]
     words = [tuple(w) for _, ws in blocks for w in ws]
     view = views.word_view(sentences).orderBy("sent_ix", "word_id")
     expected = [(str(r.word_id), r.FORM, r.LEMMA, r.UPOS, "_", "_", str(r.HEAD), r.DEPREL, "_", "_") for r in view.collect()]
@@ -118,9 +119,9 @@ def test_json_round_trip(spark, sentences, tmp_path):
     lines = [json.loads(l) for p in sorted((tmp_path / "j").glob("*.json")) for l in p.read_text(encoding="utf-8").splitlines()]
     first = lines[0]
     assert list(first) == ["doc_id", "lang", "index", "text", "tokens", "entities", "dependencies"]
-    assert first["entities"] == [{"type": "PER", "text": "María"}, {"type": "LOC", "text": "San José"}]
-    assert first["tokens"][1] == {"tok_ix": 2, "form": "hablé", "lemma": "hablar", "upos": "VERB", "xpos": "_", "head": 0, "deprel": "root"}
-    assert first["dependencies"][0] == {"head_form": "hablé", "dep_form": "Ayer", "deprel": "advmod", "head": 2, "dep": 1}
+    assert first["entities"] == [{"type": "PER", "text": "Anna"}, {"type": "LOC", "text": "Buenos Aires"}]
+    assert first["tokens"][1] == {"tok_ix": 2, "form": "llegó", "lemma": "llegar", "upos": "VERB", "xpos": "_", "head": 0, "deprel": "root"}
+    assert first["dependencies"][0] == {"head_form": "llegó", "dep_form": "Ayer", "deprel": "advmod", "head": 2, "dep": 1}
     assert sum(len(s["tokens"]) for s in lines) == views.token_view(sentences, ["FORM"]).count()
     assert lines[2]["entities"] == []
 
@@ -140,7 +141,9 @@ def test_report(spark, tmp_path):
     assert lines[-2:] == ["Entidades NER:", "[MISC] «María Internacionalísima»"]
     assert any(l.startswith("Internacionalísima  internacionalísima") for l in lines)
     write_report(s, str(tmp_path / "r"))
-    assert "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "r").glob("part-*"))).splitlines() == lines
+    written = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "r").glob("part-*"))).splitlines()
+    assert [l for l in written if not l.startswith("# doc_id = ")] == lines
+    assert sorted(rows(read_report(spark, str(tmp_path / "r")))) == [("0", 1), ("0", 2)]
 
 
 def test_stats_pack_equals_the_single_statistics(spark, sentences, tmp_path):
@@ -206,18 +209,22 @@ def test_corpora_from_tables(spark):
     assert ids == ["a~1b/c", "a/b~1c", "a~0/~1"]
 
 
-def test_few_small_files_are_spread(spark, tmp_path, monkeypatch):
-    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("x").alias("text"))
-    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
-    docs.repartition(20).write.parquet(str(tmp_path / "many"))
+def test_a_corpus_is_dealt_out_on_request_only(spark):
+    table = spark.createDataFrame([(i, "en", "x") for i in range(40)], "doc_id long, lang string, text string").coalesce(1)
+    assert corpus_from_table(table, "doc_id").rdd.getNumPartitions() == 1
+    assert corpus_from_table(table, "doc_id", repartition_to=6).rdd.getNumPartitions() == 6
 
-    def moves(name):
-        df = spread(spark.read.parquet(str(tmp_path / name)), "doc_id")
-        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
 
-    assert moves("one") and not moves("many")
-    monkeypatch.setattr(session, "SPREAD_BYTES", 1)
-    assert not moves("one")
+def test_a_file_with_another_column_order_is_refused(spark, tmp_path):
+    lines = {"a": "sent_ix\ttok_ix\tFORM\n1\t1\tx\n", "b": "sent_ix\tFORM\ttok_ix\n1\ty\t2\n"}
+    for name, body in lines.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "t.tsv").write_text(body)
+    columns = ["sent_ix", "tok_ix", "FORM"]
+    assert [r["FORM"] for r in read_tokens(spark, str(tmp_path / "a"), columns=columns).collect()] == ["x"]
+    both = [str(tmp_path / "a"), str(tmp_path / "b")]
+    with pytest.raises(Exception, match="CSV header"):
+        read_tokens(spark, both, columns=columns).collect()
 
 
 def test_checkpoint_folder_of_the_session_is_kept(spark):

@@ -32,9 +32,7 @@ def clean_field(column: Column) -> Column:
 
 def slug(column: Column, lower: bool = True) -> Column:
     """A name that is safe as a file, partition or table name."""
-    out = F.regexp_replace(column, r"[^a-zA-Z0-9._-]+", "-")
-    out = F.regexp_replace(out, "-{2,}", "-")
-    out = F.btrim(out, F.lit("-"))
+    out = F.btrim(F.regexp_replace(column, "[^a-zA-Z0-9._]+", "-"), F.lit("-"))
     return F.lower(out) if lower else out
 
 

@@ -6,24 +6,20 @@ its unordered pair of terms.  Distance counts the tokens that are left after exc
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verbaloom.operators.filters import INLINE_WORDS, term, without_terms
+from verbaloom.operators.filters import term, without_terms
 from verbaloom.operators.frequencies import check_top
 from verbaloom.operators.views import token_view
 from verbaloom.schemas import is_nested, require_columns
-from verbaloom.session import checkpoint
 
-# A document above four pieces is cut into pieces of this many rows (a power of two).
-PIECE_ROWS = 1 << 20
-# Large documents are at most this many, whatever the corpus: the limit grows with it.
-MOST_LARGE_DOCUMENTS = 50_000
-# Tasks of the range sort; more rows make larger tasks, which spill, not more of them.
-MOST_SORT_PARTITIONS = 100_000
+# Positions that one window task takes at a time, and rows of a table of offsets as well.
+BLOCK_BITS = 16
 
 
 def cooccurrences(
@@ -35,28 +31,28 @@ def cooccurrences(
     exclude: Iterable[str] | DataFrame | None = None,
     use_lemma: bool = True,
     top: int | None = 200,
-    piece_rows: int = PIECE_ROWS,
+    block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """``left, right, count`` with ``left <= right``, the most frequent pairs first.
 
     On the sentences table, pairs inside a sentence are formed in the sentence's own row
     and only counted pairs move; with ``by_sent=False`` the ends of each sentence move as
     well, to meet the next one's.  A flat token table has to be put in reading order: see
-    ``_ordered_pairs``.  No ``top``, or 0, means all.
+    ``_ordered_pairs``.  So has a sentences table whose ``exclude`` is itself a table.  A
+    missing term is ``_`` either way.  No ``top``, or 0, means all.
     """
     if window < 0:
         raise ValueError("the window must not be negative")
-    if piece_rows < 1 or piece_rows & (piece_rows - 1):
-        raise ValueError("piece_rows must be a power of two")
+    if block_bits < 1:
+        raise ValueError("a block needs two positions at least")
     check_top(top)
     listed = exclude if exclude is None or isinstance(exclude, DataFrame) else set(exclude)
-    inline = listed is None or (isinstance(listed, set) and len(listed) <= INLINE_WORDS)
-    if is_nested(df) and inline:
+    if is_nested(df) and not isinstance(listed, DataFrame):
         rows = _sequences(df, lowercase, listed, use_lemma)
         pairs = _row_pairs(rows, window)
         if not by_sent:
             pairs = pairs.unionByName(
-                _ordered_pairs(_sentence_ends(rows, window), ["doc_id"], window, piece_rows, "sent_ix")
+                _ordered_pairs(_sentence_ends(rows, window), window, block_bits, False, "sent_ix")
             )
     else:
         if is_nested(df):
@@ -67,8 +63,7 @@ def cooccurrences(
         terms = without_terms(terms, F.col("term"), listed, lowercase)
         if by_sent:
             terms = terms.where(F.col("sent_ix").isNotNull())
-        group = ["doc_id", "sent_ix"] if by_sent else ["doc_id"]
-        pairs = _ordered_pairs(terms, group, window, piece_rows)
+        pairs = _ordered_pairs(terms, window, block_bits, by_sent)
     counted = pairs.groupBy(
         F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")
     ).agg((F.count(F.lit(1)) * 2).alias("count"))
@@ -126,72 +121,62 @@ def _up_to(last: Column) -> Column:
 
 
 def _ordered_pairs(
-    terms: DataFrame, group: list[str], window: int, piece_rows: int, apart: str | None = None
+    terms: DataFrame, window: int, block_bits: int, by_sent: bool, apart: str | None = None
 ) -> DataFrame:
     """Pairs from the reading order of flat rows, without those that agree in ``apart``.
 
-    Documents of ordinary size go through one window per group.  A document that is too
-    large for one task is sorted across tasks and cut into pieces; pairs that cross a cut
-    come from the rows next to it.
+    Every row gets its position in its document or sentence, and positions are cut into
+    blocks of fixed length.  A row also goes to the blocks that begin within ``window``
+    positions after it; a pair counts in the block of its second row.  So the plan is the
+    same for all sizes, and one document or sentence with most of the rows is many blocks.
     """
     if window == 0:
         return terms.select(F.col("term").alias("a"), F.col("term").alias("b")).where(F.lit(False))
-    sizes = terms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    total, biggest = sizes.agg(F.sum("rows"), F.max("rows")).first()
-    limit = max(4 * piece_rows, (total or 0) // MOST_LARGE_DOCUMENTS)
-    order = [F.asc_nulls_last("sent_ix"), F.asc_nulls_last("tok_ix"), F.asc("term")]
-    if (biggest or 0) <= limit:
-        return _following(terms, group, order, window, apart)
-    # At most MOST_LARGE_DOCUMENTS ids, as each has more than that share of all rows.
-    large_sizes = sizes.where(F.col("rows") > limit)
-    large_rows = large_sizes.agg(F.sum("rows")).first()[0]
-    partitions = max(2, min(large_rows // limit + 1, MOST_SORT_PARTITIONS))
-    large_ids = F.broadcast(large_sizes.select(F.col("doc_id").alias("large_id")))
-    is_large = F.col("doc_id").eqNullSafe(F.col("large_id"))
-    small = terms.join(large_ids, is_large, "left_anti")
-    large = terms.join(large_ids, is_large, "left_semi")
-    return _following(small, group, order, window, apart).unionByName(
-        _pairs_in_pieces(large, group, order, window, apart, piece_rows, partitions)
-    )
-
-
-def _following(
-    terms: DataFrame, group: list[str], order: list[Column], window: int, *apart: str | None
-) -> DataFrame:
-    """Each term with the ``window`` terms after it in its group that differ in ``apart``."""
-    labels = [name for name in apart if name]
-    ahead = W.partitionBy(*group).orderBy(*order).rowsBetween(1, window)
-    ranked = terms.select(
-        *labels, "term", F.collect_list(F.struct(*labels, "term")).over(ahead).alias("next")
-    )
-    pairs = ranked.select(*labels, "term", F.explode("next").alias("next"))
-    for name in labels:
-        pairs = pairs.where(F.col(f"next.{name}") != F.col(name))
+    placed = _positions(terms, block_bits, by_sent)
+    group = ["doc_id", "sent_ix"] if by_sent else ["doc_id"]
+    own = F.shiftright("pos", block_bits)
+    last = F.shiftright(F.col("pos") + window, block_bits)
+    copied = placed.withColumn("own", own).withColumn("block", F.explode(F.sequence("own", last)))
+    ahead = W.partitionBy(*group, "block").orderBy("pos").rowsBetween(1, window)
+    labels = [apart] if apart else []
+    following = F.collect_list(F.struct("own", *labels, "term")).over(ahead)
+    ranked = copied.select("block", *labels, "term", following.alias("next"))
+    pairs = ranked.select("block", *labels, "term", F.explode("next").alias("next"))
+    pairs = pairs.where(F.col("next.own") == F.col("block"))
+    if apart:
+        pairs = pairs.where(F.col(f"next.{apart}") != F.col(apart))
     return pairs.select(F.col("term").alias("a"), F.col("next.term").alias("b"))
 
 
-def _pairs_in_pieces(
-    terms: DataFrame, group: list[str], order: list[Column], window: int, apart: str | None,
-    piece_rows: int, partitions: int,
-) -> DataFrame:
-    """Exact pairs of groups of any size.
+def _positions(terms: DataFrame, block_bits: int, by_sent: bool) -> DataFrame:
+    """``terms`` with ``pos``, counting from 1 in reading order in the sentence or document.
 
-    After a range sort, row ids rise along the reading order and number the rows of each
-    partition from a multiple of 2^33, so a block of ``piece_rows`` ids is a run of
-    neighbours.  The sort is checkpointed: ids must not change when a task is repeated.
+    Rows are numbered in stretches of 2 ** ``block_bits`` token numbers of one sentence; where
+    a stretch begins is a running sum over the table of stretches, by sentence and, for
+    documents, by groups of sentences and over these groups.  Rows without a token or
+    sentence number come last and are one stretch each.
     """
-    order = [F.asc("doc_id"), *order]
-    ranged = terms.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    placed = checkpoint(ranged.withColumn("pos", F.monotonically_increasing_id()))
-    bits = piece_rows.bit_length() - 1
-    placed = placed.withColumn("piece", F.shiftright("pos", bits))
-    inside = _following(placed, [*group, "piece"], [F.asc("pos")], window, apart)
-    # The first and last rows of each piece.  Between two of them in neighbouring pieces
-    # there are only such rows, so their distance is right; pairs within a piece are done.
-    ends = placed.groupBy("piece").agg(F.max("pos").alias("last_pos"))
-    first_pos = F.shiftleft("piece", bits)
-    edges = placed.join(ends, "piece").where(
-        (F.col("pos") < first_pos + window) | (F.col("pos") > F.col("last_pos") - window)
-    )
-    across = _following(edges, group, [F.asc("pos")], window, "piece", apart)
-    return inside.unionByName(across)
+    stretch = terms.withColumn("run", F.shiftright(F.col("tok_ix").cast("long"), block_bits))
+    place = ["doc_id", "sent_ix", "run"]
+    in_run = W.partitionBy(*place).orderBy(F.asc_nulls_last("tok_ix"), F.asc("term"))
+    numbered = stretch.withColumn("in_run", F.row_number().over(in_run))
+    runs = stretch.groupBy(*place).agg(F.count(F.lit(1)).alias("rows"))
+
+    def before(keys: list[str], *order: str) -> Column:
+        ordered = W.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
+        rows = F.sum("rows").over(ordered.rowsBetween(W.unboundedPreceding, -1))
+        return F.coalesce(rows, F.lit(0))
+
+    if by_sent:
+        starts = runs.withColumn("start", before(["doc_id", "sent_ix"], "run"))
+    else:
+        runs = runs.withColumn("part", F.shiftright(F.col("sent_ix").cast("long"), block_bits))
+        inside = runs.withColumn("start", before(["doc_id", "part"], "sent_ix", "run"))
+        parts = runs.groupBy("doc_id", "part").agg(F.sum("rows").alias("rows"))
+        parts = parts.select(F.col("doc_id").alias("p_doc"), F.col("part").alias("p_part"), before(["doc_id"], "part").alias("base"))
+        same = F.col("doc_id").eqNullSafe(F.col("p_doc")) & F.col("part").eqNullSafe(F.col("p_part"))
+        starts = inside.join(parts, same).withColumn("start", F.col("start") + F.col("base"))
+    starts = starts.select(*[F.col(c).alias(f"s_{c}") for c in place], "start")
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in place])
+    joined = numbered.join(starts, same)
+    return joined.select("doc_id", "sent_ix", "term", (F.col("start") + F.col("in_run")).alias("pos"))

@@ -7,8 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many words an exclusion is a hash set inside the scan; beyond it, a join.
-INLINE_WORDS = 5_000
+from verbaloom.functions.text import value_or
 
 
 def without_outside(tokens: DataFrame) -> DataFrame:
@@ -26,8 +25,8 @@ def with_min_length(tokens: DataFrame, column: str, length: int) -> DataFrame:
 
 
 def term(use_lemma: bool = True, lowercase: bool = True) -> Column:
-    """The string a statistic is about: lemma or form, lower-cased on request."""
-    column = F.col("LEMMA" if use_lemma else "FORM")
+    """The string a statistic is about: lemma or form, ``_`` if missing, lower-cased on request."""
+    column = value_or(F.col("LEMMA" if use_lemma else "FORM"))
     return F.lower(column) if lowercase else column
 
 
@@ -36,19 +35,15 @@ def without_terms(
 ) -> DataFrame:
     """Drop the rows whose ``column`` is among ``words``; a null value stays.
 
-    ``words`` is an iterable, or a one-column table of any size.  Short lists become a
-    constant set.  Longer ones become an anti join, where Spark measures the list before
-    it decides to broadcast it and splits a frequent word's rows when it does not.
+    ``words`` is an iterable, which becomes a constant set of the plan whatever its length,
+    or a one-column table, which becomes an anti join: Spark measures the table before it
+    decides to broadcast it and splits a frequent word's rows when it does not.
     """
     if words is None:
         return df
     if not isinstance(words, DataFrame):
         listed = sorted({word.lower() if lowercase else word for word in words})
-        if not listed:
-            return df
-        if len(listed) <= INLINE_WORDS:
-            return df.where(column.isNull() | ~column.isin(listed))
-        words = df.sparkSession.createDataFrame([(word,) for word in listed], "word string")
+        return df.where(column.isNull() | ~column.isin(listed)) if listed else df
     excluded = F.lower(F.col(words.columns[0])) if lowercase else F.col(words.columns[0])
     listed = words.select(excluded.alias("__excluded")).distinct()
     return df.join(listed, column == F.col("__excluded"), "left_anti")

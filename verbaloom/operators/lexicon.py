@@ -19,7 +19,7 @@ CLOSED_CLASS = {
         "PRON": "it=it he=he she=she they=they we=we i=i you=you",
         "AUX": "is=be are=be was=be were=be be=be will=will can=can",
         "PART": "not=not",
-        "VERB": "have=have has=have said=say spoke=speak agreed=agree send=send",
+        "VERB": "have=have has=have said=say came=come goes=go",
     },
     "es": {
         "DET": "el=el la=el los=el las=el un=uno una=uno",
@@ -29,7 +29,7 @@ CLOSED_CLASS = {
         "PRON": "se=él nos=yo yo=yo ella=él",
         "AUX": "es=ser son=ser fue=ser está=estar",
         "ADV": "no=no ayer=ayer muy=mucho",
-        "VERB": "voy=ir ve=ver come=comer hablé=hablar enviar=enviar quedamos=quedar",
+        "VERB": "voy=ir ve=ver come=comer llegó=llegar tiene=tener",
     },
     "fr": {
         "DET": "le=le la=le les=le un=un une=un",
@@ -64,8 +64,8 @@ CONTRACTIONS = {
 # type -> names in lower case.
 NAMES = {
     "PER": ["maría", "maria", "josé", "anna", "paul"],
-    "LOC": ["san josé", "san jose", "san pedro", "madrid", "paris", "berlin", "london"],
-    "ORG": ["lesco", "ucr"],
+    "LOC": ["buenos aires", "madrid", "paris", "berlin", "london"],
+    "ORG": ["unesco", "nato"],
 }
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from verbaloom.operators.frequencies import share
 from verbaloom.operators.views import tokens_of
 
+OTHER_TAGS = "other"
+
 
 def dependency_role_cells(df: DataFrame, weight: str | None = None) -> DataFrame:
     """``DEPREL, UPOS, count, percent``: the cells that occur, as shares of their row."""
@@ -25,8 +27,15 @@ def dependency_role_matrix(
     """One row per relation, one column of row percentages per part of speech.
 
     Without ``upos_values`` the columns are the tags that occur, in order, which costs a
-    job to find them.  With a list the plan is fixed; shares still refer to the full row.
+    job to find them.  With a list the plan is fixed, and the tags that are not in it share
+    the column ``other``.
     """
-    cells = dependency_role_cells(df, weight)
-    wide = cells.groupBy("DEPREL").pivot("UPOS", upos_values).agg(F.first("percent"))
+    if upos_values is None:
+        cells = dependency_role_cells(df, weight)
+        wide = cells.groupBy("DEPREL").pivot("UPOS").agg(F.first("percent"))
+        return wide.na.fill(0.0).orderBy("DEPREL")
+    tokens = tokens_of(df, "DEPREL", "UPOS")
+    named = F.when(F.col("UPOS").isin(upos_values), F.col("UPOS")).otherwise(OTHER_TAGS)
+    cells = dependency_role_cells(tokens.withColumn("UPOS", named), weight)
+    wide = cells.groupBy("DEPREL").pivot("UPOS", [*upos_values, OTHER_TAGS]).agg(F.first("percent"))
     return wide.na.fill(0.0).orderBy("DEPREL")

@@ -9,6 +9,8 @@ plug-in through ``operators.plugin``, which yields the same table.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ from verbaloom.operators.lexicon import Lexicon
 from verbaloom.operators.segment import split_sentences, token_array
 from verbaloom.schemas import ENTITY
 
+# Entries of a constant map that is searched in full.
+BUCKET_ENTRIES = 8
+
 NUMBER_PATTERN = r"^\p{N}+$"
 SYMBOL_PATTERN = r"^[^\p{L}\p{N}]+$"
 CAPITAL_PATTERN = r"^\p{Lu}"
@@ -47,22 +52,30 @@ def _text(value: str) -> str:
 def _lookup(table: dict[tuple[str, str], str], form: str) -> str:
     """SQL for the value of ``(lang, form)`` in a constant table, null when it is not there.
 
-    ``form`` and the table's values are SQL.  The membership test is a hash lookup, so the
-    linear search of a map only runs for forms that some language knows.
+    ``form`` and the table's values are SQL.  The membership test is a hash lookup.  What it
+    lets pass is looked up in one of many small maps, chosen by the form's checksum, because
+    a map is searched entry by entry.
     """
     if not table:
         return "NULL"
-    by_lang: dict[str, list[str]] = {}
+    by_lang: dict[str, dict[str, str]] = {}
     for (code, key), value in table.items():
-        by_lang.setdefault(code, []).append(f"{_text(key)}, {value}")
-    cases = " ".join(
-        f"WHEN {_text(code)} THEN try_element_at(map({', '.join(entries)}), {form})"
-        for code, entries in by_lang.items()
-    )
+        by_lang.setdefault(code, {})[key] = value
+    cases = " ".join(f"WHEN {_text(code)} THEN {_in_buckets(entries, form)}" for code, entries in by_lang.items())
     known = ", ".join(_text(key) for key in sorted({key for _, key in table}))
     return f"CASE WHEN {form} IN ({known}) THEN CASE lang {cases} END END"
 
 
+def _in_buckets(entries: dict[str, str], form: str) -> str:
+    size = 1 + len(entries) // BUCKET_ENTRIES
+    # No form is empty; the empty key gives a bucket without entries its type.
+    buckets = [[f"'', {next(iter(entries.values()))}"] for _ in range(size)]
+    for key, value in entries.items():
+        buckets[zlib.crc32(key.encode()) % size].append(f"{_text(key)}, {value}")
+    maps = ", ".join(f"map({', '.join(bucket)})" for bucket in buckets)
+    return f"try_element_at(element_at(array({maps}), CAST(crc32(CAST({form} AS BINARY)) % {size} AS INT) + 1), {form})"
+
+
 def annotate_with_rules(
     docs: DataFrame,
     layers: str = "tokenize,mwt,pos,lemma,depparse,ner",

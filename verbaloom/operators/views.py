@@ -15,6 +15,7 @@ from verbaloom.schemas import TOKEN_COLUMNS, WORD, is_nested, key_columns, requi
 
 ROOT_FORM = "ROOT"  # fixed value: shown as the head of a word that has none
 OUTSIDE = "O"  # fixed value: the tag of a token outside every entity
+MISSING_TAGS = {"FORM", "LEMMA", "UPOS", "DEPREL", "NER"}
 
 
 def bio_tags(n_tokens: Column, entities: Column) -> Column:
@@ -92,7 +93,7 @@ def token_view(sentences: DataFrame, columns: list[str] | None = None) -> DataFr
     picked = [name for name in columns if name in sources]
     zipped = F.arrays_zip(word["part"].alias("part"), *[sources[p].alias(p) for p in picked])
     exploded = sentences.select("doc_id", "lang", "sent_ix", F.explode(zipped).alias("x"))
-    defaults = {name: value_or(F.col(f"x.{name}")) for name in ("LEMMA", "UPOS", "XPOS", "DEPREL")}
+    defaults = {name: value_or(F.col(f"x.{name}")) for name in ("FORM", "LEMMA", "UPOS", "XPOS", "DEPREL")}
     defaults["HEAD"] = F.coalesce(F.col("x.HEAD"), F.lit(0))
     return exploded.where(F.col("x.part") == 1).select(
         "doc_id", "lang",
@@ -101,11 +102,18 @@ def token_view(sentences: DataFrame, columns: list[str] | None = None) -> DataFr
 
 
 def tokens_of(df: DataFrame, *columns: str) -> DataFrame:
-    """Token rows with ``columns``, from the sentences table or from a flat token table."""
+    """Token rows with ``columns``, from the sentences table or from a flat token table.
+
+    What a flat table lacks counts as ``_``, or as outside every entity, as in a table that
+    is read from a file.
+    """
     if is_nested(df):
         return token_view(df, list(columns))
     require_columns(df, *columns)
-    return df
+    return df.withColumns({
+        name: value_or(F.col(name), OUTSIDE if name == "NER" else "_")
+        for name in columns if name in MISSING_TAGS
+    })
 
 
 def first_words(words: Column) -> Column:

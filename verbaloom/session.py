@@ -1,13 +1,10 @@
-"""Session-level help: partition counts and the shared folder that cuts lineage."""
+"""Session-level help: the shared folder that cuts lineage."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
-
-# Two file splits of the default size.
-SPREAD_BYTES = 256 * 1024 * 1024
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -28,21 +25,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """Spread rows over the cluster when the input is too small to keep it busy.
-
-    A Parquet row group is read by one task, so a corpus in a handful of small files would
-    be tokenised by a handful of tasks.  A corpus of many files, or of more bytes than
-    ``SPREAD_BYTES`` per core, is left where it is: it already splits into enough tasks,
-    and moving raw text through a shuffle costs more than it gains.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    if files == 0 or files >= cores:
-        return df
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(4 * cores, *keys) if estimate <= cores * SPREAD_BYTES else df

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbaloom.schemas import require_columns
-from verbaloom.session import spread
 
 
 def corpus_from_text(spark: SparkSession, text: str, lang: str) -> DataFrame:
@@ -24,12 +23,14 @@ def corpus_from_table(
     id_columns: str | list[str],
     text: str | Column = "text",
     lang: str | Column = "lang",
+    repartition_to: int | None = None,
 ) -> DataFrame:
     """``doc_id, lang, text`` from any table with an id and a text.
 
     ``lang`` is a column, or a name that is no column and then means that language for
     all rows.  A single id column is kept as it is; several become one string, each part
-    escaped so that different keys never give the same id.
+    escaped so that different keys never give the same id.  ``repartition_to`` deals a table
+    out to that many tasks; it is for corpora in a few small files, as texts are moved for it.
     """
     ids = [id_columns] if isinstance(id_columns, str) else list(id_columns)
     require_columns(table, *ids)
@@ -45,4 +46,4 @@ def corpus_from_table(
         lang = F.col(lang) if lang in table.columns else F.lit(lang)
     text = F.col(text) if isinstance(text, str) else text
     docs = table.select(doc_id.alias("doc_id"), lang.alias("lang"), text.alias("text"))
-    return spread(docs, "doc_id")
+    return docs.repartition(repartition_to) if repartition_to else docs

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbaloom.session import spread
-
 
 def decode_text(content: Column) -> Column:
     """Bytes as text: UTF-8 when they are valid UTF-8, else Latin-1; line ends become ``\\n``."""
@@ -16,14 +14,20 @@ def decode_text(content: Column) -> Column:
 
 
 def read_text_files(
-    spark: SparkSession, path: str | list[str], lang: str, pattern: str = "*.txt"
+    spark: SparkSession, path: str | list[str], lang: str, pattern: str = "*.txt",
+    repartition_to: int | None = None,
 ) -> DataFrame:
-    """``doc_id, lang, text`` with the file's path as the id, which no two files share."""
+    """``doc_id, lang, text`` with the file's path as the id, which no two files share.
+
+    ``repartition_to`` deals the files out to that many tasks.
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true").load(path)
     )
-    return spread(files.select("path", "content"), "path").select(
+    files = files.select("path", "content")
+    files = files.repartition(repartition_to) if repartition_to else files
+    return files.select(
         F.col("path").alias("doc_id"), F.lit(lang).alias("lang"),
         decode_text(F.col("content")).alias("text"),
     )

@@ -37,9 +37,18 @@ def fill_tokens(tokens: DataFrame) -> DataFrame:
     return filled.withColumns({name: c for name, c in numbers.items() if name in tokens.columns})
 
 
-def read_tokens(spark: SparkSession, path: str | list[str], fill: bool = True) -> DataFrame:
-    """Read token tables; a table without ``doc_id`` takes its file's path as the id."""
-    raw = spark.read.options(**TSV_OPTIONS).csv(path)
-    if "doc_id" not in raw.columns:
-        raw = raw.select(F.col("_metadata.file_path").alias("doc_id"), *raw.columns)
+def read_tokens(
+    spark: SparkSession, path: str | list[str], fill: bool = True, columns: list[str] | None = None
+) -> DataFrame:
+    """Read token tables; a table without ``doc_id`` takes its file's path as the id.
+
+    ``columns`` is the header of the files; without it, it is read off the first one.  A file
+    whose header differs, in names or in order, is refused instead of being read by place.
+    """
+    names = list(columns) if columns else spark.read.options(**TSV_OPTIONS).csv(path).columns
+    schema = ", ".join(f"`{name}` string" for name in names)
+    # A column is only compared with the header if it is read, so all of them are.
+    raw = spark.read.options(**TSV_OPTIONS, enforceSchema="false").schema(schema).csv(path)
+    if "doc_id" not in names:
+        raw = raw.select(F.col("_metadata.file_path").alias("doc_id"), *names)
     return fill_tokens(raw) if fill else raw
