@@ -23,6 +23,7 @@ import duckdb_checks  # noqa: E402
 from verbaloom.functions import sheet_name, slug, time_stamp  # noqa: E402
 from verbaloom.operators import chartdata, frequencies, matrix, segment, views  # noqa: E402
 from verbaloom.operators.cooccurrence import cooccurrences  # noqa: E402
+from verbaloom.operators.whitespace import whitespace_tokens  # noqa: E402
 from verbaloom.plans import annotate, chart_pack, export_all, stats_pack, store_annotation, summary_pack  # noqa: E402
 from verbaloom.schemas import TOKEN_COLUMNS, UPOS_TAGS  # noqa: E402
 from verbaloom.session import ensure_checkpoint_dir  # noqa: E402
@@ -272,6 +273,7 @@ def _own_queries() -> dict[str, Query]:
         "time_stamps": lambda spark, d: _table(spark, d, "events").select(
             "event_id", time_stamp(F.col("ts")).alias("stamp")),
         "decode_bytes": _decode_bytes,
+        "plugin_annotate": lambda spark, d: whitespace_tokens(_documents(spark, d)),
         "cooc_long_exclude": _long_exclude,
         "conllu_file": _file_of(write_conllu, read_conllu),
         "report_file": _file_of(write_report, read_report),

@@ -13,8 +13,16 @@ from verbaloom.operators import frequencies, views
 from verbaloom.plans import annotate, chart_pack, export_all, stats_pack, store_annotation, summary_pack
 from verbaloom.schemas import TOKEN_COLUMNS
 from verbaloom.session import ensure_checkpoint_dir
-from verbaloom.sinks import read_report
-from verbaloom.sinks import conllu_blocks, report_lines, write_conllu, write_json, write_report, write_tables, write_tokens
+from verbaloom.sinks import (
+    conllu_blocks,
+    read_report,
+    report_lines,
+    write_conllu,
+    write_json,
+    write_report,
+    write_tables,
+    write_tokens,
+)
 from verbaloom.sources import corpus_from_table, corpus_from_text, read_text_files, read_tokens
 
 TEXT = "Ayer llegó con Anna de Buenos Aires. Voy al cine \"NA\" 007.\n% null"
