@@ -9,11 +9,13 @@ share a coordinate with the probability of their weighted Jaccard similarity, an
 costs little more than one pass over its shingles.
 
 ``BANDS`` bands of ``ROWS`` coordinates are bucket keys.  Texts with equal words are one node.
-A bucket's nodes are not paired with each other: in the first round each is compared with the
-bucket's smallest node; in later rounds, where a bucket still holds several classes, its nodes
-are compared with a drawn set of centres of other classes, ``GROWTH`` times as many in each
-round, until one class is left or every node has been a centre.  So every pair that shares a
-bucket is compared or is already in one class.  Similarities are exact, from the texts.
+A bucket's nodes are not paired with each other: first each is compared with the bucket's
+smallest node, then, where a bucket still holds several classes, with ``CENTRES`` drawn nodes of
+other classes.  What is still outside the class of the bucket's smallest node is compared
+with all nodes of the bucket in blocks: a task holds ``QUERIES`` of the former and ``OTHERS`` of
+the latter on average and returns only the links that join classes.  Nodes are left out only
+if what they have in common with any other node is too little.  So every pair that shares a
+bucket is compared, ruled out, or already in one class.  Similarities are exact.
 
 Classes are connected components, found by contraction on the table of links.  All tables of
 nodes, pairs, links and classes stay distributed; state between rounds is written to the
@@ -32,9 +34,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from verbaloom.llm.common import free_name, stored, table
 
@@ -42,7 +45,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 DARTS = BANDS * ROWS
-GROWTH = 8
+#: Nodes of a bucket that the others are compared with in the second step, on average.
+CENTRES = 8
+#: Nodes in a block of the third step, on average.
+QUERIES, OTHERS = 128, 1024
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -81,9 +87,7 @@ def shingles(words: str | None, width: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
 def dart_sketch(values: np.ndarray, weights: np.ndarray, size: int = DARTS) -> np.ndarray:
     """For each coordinate the earliest dart of a weighted set (whole weights)."""
-    first = np.cumsum(weights) - weights
-    copy = np.arange(int(weights.sum()), dtype=np.uint64) - np.repeat(first, weights).astype(np.uint64)
-    units = _mix(np.repeat(values, weights) + copy * _MIX[4])
+    units = _copies(values, weights)
     reach = size * (math.log(size) + 2) / len(units)
     while True:
         darts, ranks = _darts(units, reach)
@@ -185,15 +189,114 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.filter(text_similarity("words_a", "words_b") >= SIMILARITY).select("a", "b")
 
 
-def _drawn(bucket: Column, node: Column) -> Column:
-    """A number in [0, 1) for a node in a bucket."""
-    return (F.xxhash64(bucket, node) / F.lit(float(1 << 63)) + 1) / 2
+def _drawn(node: Column) -> Column:
+    """A number in [0, 1) for a node, the same in all its buckets."""
+    return (F.xxhash64(node) / F.lit(float(1 << 63)) + 1) / 2
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _units(words: pd.Series) -> pd.Series:
+    return pd.Series([shingles(w)[0].view(np.int64).tolist() for w in words], dtype=object)
+
+
+@F.pandas_udf(LongType())
+def _weight(words: pd.Series) -> pd.Series:
+    return pd.Series([int(shingles(w)[1].sum()) for w in words], dtype="int64")
+
+
+def common_parts(texts: DataFrame) -> DataFrame:
+    """``node, weight, common``: the weight of each node and an upper bound of what it can share.
+
+    A shingle that no other of the nodes has is never shared.  Two nodes are similar only if
+    the smaller of their common parts is 4/9 of the sum of their weights at least, at 0.8.
+    """
+    parts = texts.select(F.xxhash64("node").alias("owner"), F.explode(_units("words")).alias("shingle"))
+    lone = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner")).filter("n = 1")
+    lone = lone.groupBy("owner").agg(F.count(F.lit(1)).alias("lone"))
+    weighed = texts.select("node", F.xxhash64("node").alias("owner"), _weight("words").alias("weight"))
+    return weighed.join(lone, "owner", "left").select("node", "weight", (F.col("weight") - F.coalesce("lone", F.lit(0))).alias("common"))
 
 
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _centre_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of nodes with drawn nodes of other classes in their bucket."""
+    chosen = rest.filter(_drawn(F.col("node")) < F.lit(float(CENTRES)) / F.col("n")).select(
+        "bucket", F.col("node").alias("other"), F.col("label").alias("other_label"),
+        F.col("weight").alias("other_weight"), F.col("common").alias("other_common"))
+    can = 9 * F.least("common", "other_common") >= 4 * (F.col("weight") + F.col("other_weight"))
+    return rest.join(chosen, "bucket").filter((F.col("label") != F.col("other_label")) & can).select(
+        *_ordered("node", "other")).distinct()
+
+
+LINK = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
+
+
+def _block_links(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` between classes, from all nodes outside their bucket's major class and all
+    nodes of the bucket, block by block."""
+    outside = F.col("label") != F.col("major")
+    sizes = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.sum(outside.cast("long")).alias("minor"))
+    sizes = sizes.filter("minor > 0").select(
+        "bucket", F.ceil(F.col("minor") / QUERIES).alias("rows"), F.ceil(F.col("all") / OTHERS).alias("columns"))
+    placed = rest.join(sizes, "bucket").join(texts, "node")
+    queries = placed.filter(outside).withColumn("row", F.pmod(F.xxhash64("node"), "rows")).withColumn(
+        "column", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)))
+    others = placed.withColumn("column", F.pmod(F.xxhash64("node", F.lit(1)), "columns")).withColumn(
+        "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    key, taken = ["bucket", "row", "column"], ["node", "label", "words"]
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        links = block_links([tuple(r.values()) for r in left.select(taken).to_pylist()],
+                            [tuple(r.values()) for r in right.select(taken).to_pylist()])
+        ordered = [(min(p), max(p)) for p in links]
+        return pa.table({"a": pa.array([a for a, _ in ordered], pa.binary()), "b": pa.array([b for _, b in ordered], pa.binary())})
+    left, right = (rows.select(*key, *taken).toDF(*key, *taken).groupBy(*key) for rows in (queries, others))
+    return left.cogroup(right).applyInArrow(compare, LINK).distinct()
+
+
+def block_links(queries: list[tuple], others: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Similar pairs that join classes, from rows (node, label, words): one for each class joined."""
+    if not queries or not others:
+        return []
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    sets = [shingles(words) for _, _, words in others]
+    # One unit for each copy of a shingle, so that a weighted overlap is a count of units.
+    units = [_copies(*s) for s in sets]
+    flat, owner = np.concatenate(units), np.repeat(np.arange(len(units)), [len(u) for u in units])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    weights = np.array([len(u) for u in units])
+    links = []
+    for node, label, words in queries:
+        mine = _copies(*shingles(words))
+        low, high = np.searchsorted(flat, mine), np.searchsorted(flat, mine, side="right")
+        count = high - low
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        shared = np.bincount(owner[at], minlength=len(units))
+        union = len(mine) + weights - shared
+        for j in np.flatnonzero(shared >= SIMILARITY * union).tolist():
+            other, other_label, _ = others[j]
+            x, y = find(label), find(other_label)
+            if other != node and x != y:
+                root[x] = y
+                links.append((node, other))
+    return links
+
+
+def _copies(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    copy = np.arange(int(weights.sum()), dtype=np.uint64) - np.repeat(np.cumsum(weights) - weights, weights).astype(np.uint64)
+    return _mix(np.repeat(values, weights) + copy * _MIX[4])
+
+
 def node_classes(words: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, label`` of nodes that are similar to others; ``words`` has ``node, words`` (repeats allowed)."""
     members = stored(bucket_members(nodes), "bucket-members")
@@ -201,34 +304,31 @@ def node_classes(words: DataFrame, nodes: DataFrame) -> DataFrame:
     # The same plan at every size: texts move once, by node.
     texts = stored(words.join(involved.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "texts")
     pairs = stored(members.filter("node <> centre").select(*_ordered("node", "centre")).distinct(), "pairs")
-    done = [pairs]
     labels = contracted(_verified(pairs, texts))
-    largest = members.agg(F.max("n")).first()[0] or 0
-    centres, covered = GROWTH, 2  # buckets of two are settled by their one pair
-    while covered < largest:
-        labelled = members.filter(F.col("n") > covered).join(labels.toDF("node", "label"), "node", "left").select(
-            "bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    parts = None
+    for step in ("centres", "blocks"):
+        labelled = members.filter("n > 2").join(labels.toDF("node", "label"), "node", "left").select(
+            "bucket", "node", "n", "centre", F.coalesce("label", "node").alias("label"))
         labelled = stored(labelled, "labelled")
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        rest = stored(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
+        mixed = labelled.groupBy("bucket").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"),
+            F.max(F.when(F.col("node") == F.col("centre"), F.col("label"))).alias("major")).filter("low <> high")
+        rest = stored(labelled.join(mixed.select("bucket", "major"), "bucket"), "mixed")
         if rest.isEmpty():
             break
-        chosen = rest.filter(_drawn(F.col("bucket"), F.col("node")) < F.lit(float(centres)) / F.col("n")).select(
-            "bucket", F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-        fresh = rest.join(chosen, "bucket").filter("label <> centre_label").select(*_ordered("node", "centre")).distinct()
-        for old in done:
-            fresh = fresh.join(old, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "pairs")
-        done.append(fresh)
+        if parts is None:  # the next step has fewer nodes, so what is not shared here is not shared there
+            still = texts.join(rest.select("node").distinct().hint("merge"), "node", "left_semi")
+            parts = stored(common_parts(still), "common-parts")
+        # A node whose own bound rules out every partner of at least its common part is settled.
+        rest = rest.join(parts, "node").filter(9 * F.col("common") >= 4 * (F.col("weight") + F.col("common")))
+        found = _verified(_centre_pairs(rest), texts) if step == "centres" else _block_links(rest, texts)
         named = labels.toDF("node", "label")
-        found = _verified(fresh, texts)
         ends = found.join(named.toDF("a", "label_a"), "a", "left").join(named.toDF("b", "label_b"), "b", "left").select(
             F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y"))
         joined = contracted(ends.select(*_ordered("x", "y")).filter("a <> b").distinct())
         kept = labels.join(joined.toDF("new", "newer"), "new", "left").select("old", F.coalesce("newer", "new").alias("new"))
         added = joined.join(labels.select("old"), "old", "left_anti")
         labels = stored(kept.unionByName(added), "labels")
-        covered, centres = centres, centres * GROWTH
     return labels.toDF("node", "label")
 
 
