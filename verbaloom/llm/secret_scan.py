@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -35,6 +35,7 @@ from verbaloom.llm.common import free_name, shared_folder, table
 from verbaloom.llm.labelled_findings import labelled_findings
 
 DICTIONARY = 20_000
+RANKED_IN = 8
 #: Labelled findings that the forest is fitted on.
 MAX_LABELLED = 4_000
 TREES, DEPTH, SEED = 40, 8, 5
@@ -155,10 +156,16 @@ class Forest:
 
 
 def corpus_dictionary(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> list[tuple[str, int]]:
-    """The ``most`` words of four letters or more that are in most documents, with that number."""
+    """The ``most`` words of four letters or more that are in most documents, with that number.
+
+    They are ranked in ``RANKED_IN`` parts first, so the driver gets that many times ``most``
+    words at the most, whatever the number of tasks.
+    """
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\p{L}{4,16}"), F.lit(0)))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    part = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(RANKED_IN))).orderBy(F.desc("n"), "word")
+    best = counts.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= most)
+    return [(r["word"], r["n"]) for r in best.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def train(spark: SparkSession, labelled: Iterable[tuple[str, int, int, int]], describer: Describer) -> Forest:
