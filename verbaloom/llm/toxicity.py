@@ -64,7 +64,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float]:
         return np.zeros(BUCKETS, np.float32), prior
     flat = np.concatenate(rows)
     lengths = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(n), lengths)
+    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
     of_toxic = toxic[owner] > 0
     p = np.bincount(flat[of_toxic], minlength=BUCKETS).astype(np.float64)
     q = np.bincount(flat[~of_toxic], minlength=BUCKETS).astype(np.float64)
