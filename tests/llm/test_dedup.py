@@ -86,6 +86,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert dart_minhash.without_near_duplicates(spark, no_docs(spark), SMALL).collect() == []
 
 
+def test_classes_that_share_an_id_stay_apart(spark):
+    rows = [(None, prose(20 + i, 40)) for i in range(6)] + [(None, prose(20, 40))]
+    rows += [(1, prose(30, 40)), (2, prose(30, 40)), (1, prose(31, 40)), (3, prose(31, 40)), (None, prose(31, 40))]
+    rows += [(4, prose(32, 40)), (None, prose(32, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in dart_minhash.without_near_duplicates(spark, docs, SMALL).collect()]
+    want = [(None, prose(20 + i, 40)) for i in range(6)] + [(1, prose(30, 40)), (1, prose(31, 40)), (4, prose(32, 40))]
+    assert collections.Counter(kept) == collections.Counter(want)
+    members = collections.Counter(r["label"] for r in dart_minhash.near_duplicate_classes(docs).collect())
+    assert sorted(members.values()) == [1, 1, 1, 1, 1, 2, 2, 2, 3]
+
+
 def test_sketches_estimate_weighted_similarity():
     draw, errors = np.random.default_rng(1), []
     for trial in range(60):

@@ -23,8 +23,9 @@ shared folder.
 
 Defined cases: a null text is an empty one.  Texts with equal words, also those without any,
 are one class.  A text of fewer than five words is one shingle.  The class id is the smallest
-document id of the class, null if there is none.  Repeated rows are in one class.  An empty
-table gives an empty result.
+document id of the class, null if there is none; classes can share it where ids are null or
+stand on several texts, so the class label, the hash of one of its texts, tells them apart.
+Repeated rows are in one class.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -333,7 +334,7 @@ def node_classes(words: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, node, class_id, class_size``, one row per row of ``docs``."""
+    """``doc_id, node, class_id, class_size, label``, one row per row of ``docs``; ``label`` names the class."""
     words = docs.select(F.col(doc_id).alias("doc_id"), normal_words(F.col(text)).alias("words")).withColumn("node", node_of(F.col("words")))
     sketched = stored(words.select("doc_id", "node", text_buckets("words").alias("buckets")), "sketches")
     nodes = sketched.groupBy("node").agg(F.first("buckets").alias("buckets"))
@@ -341,19 +342,19 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     members = stored(sketched.select("doc_id", "node").join(classes, "node", "left").select(
         "doc_id", "node", F.coalesce("label", "node").alias("label")), "members")
     names = members.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return members.join(names, "label").select("doc_id", "node", "class_id", "class_size")
+    return members.join(names, "label").select("doc_id", "node", "class_id", "class_size", "label")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest id stays, one row of it."""
+    """Pipeline stage: of each class the document with the smallest id stays, null being last, one row of it."""
     node, key = free_name(docs, "node"), free_name(docs, "kept_id")
-    classes = near_duplicate_classes(docs)
-    first = classes.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias(f"{node}_kept"))
+    first = near_duplicate_classes(docs).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias(key), F.col("first.node").alias(f"{node}_kept")).hint("merge")
     rows = docs.withColumn(node, node_of(normal_words(F.col("text"))))
-    first = first.withColumnRenamed("class_id", key).hint("merge")
-    kept = rows.join(first, rows["doc_id"].eqNullSafe(first[key]) & (rows[node] == first[f"{node}_kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", node]).select(*docs.columns)
+    kept = rows.join(first, (rows[node] == first[f"{node}_kept"]) & rows["doc_id"].eqNullSafe(first[key]), "left_semi")
+    return kept.dropDuplicates([node]).select(*docs.columns)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    classes = near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", F.hex("label").alias("class_label"))
