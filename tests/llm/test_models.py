@@ -65,6 +65,24 @@ def test_blocks_of_broken_markup():
     assert model.main_text(None) == "" and model.main_text("<p>x</p>") == "x"
 
 
+def test_skipped_elements_take_no_text_with_them():
+    def texts(page):
+        return [t for t, _ in html_extraction.leaf_blocks(page)]
+    model = html_extraction.fit(list(labelled_pages.labelled_pages(200)))
+    head, article = "<html><head><title>t</title>", "<article><h1>Name</h1><p>First words here.</p><p>And more of them.</p></article>"
+    want = "Name\nFirst words here.\nAnd more of them."
+    for page in (f"{head}</head><body>{article}", f"{head}<body>{article}", f"{head}{article}", f"{head}<meta charset=x><link href=y>{article}"):
+        assert model.main_text(page) == want
+    drawn = article.replace("First", '<svg class="a>b" />First').replace("more", "more<svg><svg/><title/>no</svg>")
+    assert model.main_text(f"{head}<body>{drawn}") == want
+    assert texts("<p>a <svg><svg>no</svg>no<title/></svg>b<p>c <svg><path>d<p>e <svg>no</svg>f") == ["a b", "c", "d", "e f"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>") == ["let x=2 be"]
+    assert texts("<video src=x><p>kept</p><object><p>kept</p><iframe>no</iframe><video>no</video><title-bar>too</title-bar>") == ["kept", "kept", "too"]
+    assert texts("<p>kept</p><title>never closed <p>no</p>") == ["kept"]
+    assert texts("<p>a</p><!-- <svg> --><script>'</svg><svg>'</script><p>b</p>") == ["a", "b"]
+    assert texts("<video>" * 20_000 + "end") == ["end"]
+
+
 def test_viterbi_finds_the_best_path():
     import itertools
     draw = np.random.default_rng(2)

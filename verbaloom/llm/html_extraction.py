@@ -8,10 +8,12 @@ its Viterbi path.  Blocks that are labelled as main text are joined by line brea
 
 Tags need not be closed: a paragraph ends at the next block, a list item at the next one, and
 an end tag closes what is open inside it.  ``script``, ``style`` and other elements without
-text of their own, comments and declarations are skipped.
+text of their own, comments and declarations are skipped.  ``head`` is none of these, since its
+end tag may be missing.  Formulas belong to the text around them.
 
 Defined cases: null, empty or markup-free pages: no text, or one block of text.  A page that
-ends inside a tag, comment or script loses that last piece.  Repeated pages get the same text
+ends inside a tag, comment, script, style, title or text field loses that last piece; of other
+skipped elements without an end tag only the tag is left out.  Repeated pages get the same text
 each.  An empty table gives an empty result.
 """
 
@@ -39,16 +41,21 @@ STEPS, RATE, PENALTY = 150, 0.1, 1e-3
 
 # Fixed names of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script|style|noscript|template|svg|iframe|head|title|textarea|select|object|audio|video|canvas|math"
+#: Up to their first end tag, or to the end of the page, these hold no markup.
+RAW = set("script style title textarea".split())
+#: Skipped with all that is in them, if they have an end tag.
+SKIPPED = set("noscript template svg iframe select object audio video canvas".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
-             "strike strong sub sup time tt u var wbr".split())
+             "strike strong sub sup time tt u var wbr "
+             "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+             "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
 CLOSES_ITSELF = {"li", "dt", "dd", "tr", "td", "th", "option"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -82,6 +89,38 @@ def _text_features(text: str, linked: int, tag: str) -> set[str]:
     }
 
 
+def _tokens(page: str) -> list[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag, is an end tag, attributes) of what is not text; the tag is None where all of it is skipped."""
+    tokens: list[tuple[int, int, str | None, bool, str]] = []
+    opened: dict[str, list[int]] = {}
+    until: dict[int, int] = {}
+    at = drawings = 0
+    while token := TOKEN.search(page, at):
+        at, name = token.end(), token[2] or token[5]
+        tag, ends, attributes = name and name.lower(), bool(token[1] or token[4]), token[3] or token[6] or ""
+        closed = attributes.endswith("/")
+        if tag in ("svg", "math") and not closed:
+            drawings = max(0, drawings - 1) if ends else drawings + 1
+        if tag in RAW and not ends and not (closed and drawings > 0):
+            end = RAW_END[tag].search(page, at)
+            at, tag = end.end() if end else len(page), None
+        elif tag in SKIPPED:
+            if ends and opened.get(tag):
+                until[opened[tag].pop()] = len(tokens)
+            elif not ends and not (closed and tag == "svg"):
+                opened.setdefault(tag, []).append(len(tokens))
+        tokens.append((token.start(), at, tag, ends, attributes))
+    kept, i = [], 0
+    while i < len(tokens):
+        start, end, tag, ends, attributes = tokens[i]
+        if tag in SKIPPED or tag in RAW:
+            i = until.get(i, i)
+            end, tag = tokens[i][1], None
+        kept.append((start, end, tag, ends, attributes))
+        i += 1
+    return kept
+
+
 def leaf_blocks(page: str) -> list[tuple[str, frozenset[str] | set[str]]]:
     """(text, features) of the leaf blocks in page order."""
     blocks: list[tuple[str, set[str]]] = []
@@ -100,24 +139,22 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset[str] | set[str]]]:
     def close(index: int) -> None:
         del stack[index:]
 
-    for token in TOKEN.finditer(page):
-        if token.start() > at:
-            text = page[at : token.start()]
+    for start, end, tag, ends, attributes in _tokens(page):
+        if start > at:
+            text = page[at:start]
             if owner is None and not text.isspace():
                 owner = next((e for e in reversed(stack) if e.tag not in INLINE), None)
             run.append(text)
             if any(e.tag == "a" for e in stack[-4:]):
                 linked += len(text)
-        at = token.end()
-        name = token[3] or token[6]
-        if name is None:
+        at = end
+        if tag is None:
             continue
-        tag, ends, attributes = name.lower(), bool(token[2] or token[5]), token[4] or token[7] or ""
         if tag not in INLINE:
             flush()
         if tag == "br":
             run.append(" ")
-        if tag in VOID:
+        if tag in VOID or tag == "head":
             continue
         if ends:
             for i in range(len(stack) - 1, -1, -1):
