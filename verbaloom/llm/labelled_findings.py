@@ -18,6 +18,13 @@ KEY_FORMS = [("AKIA", UPPER + DIGITS, 16), ("ghp_", ALNUM, 36), ("sk_live_", ALN
 ASSIGNED = ['token = "{}"', "token: {}", 'api_key = "{}"', "API_KEY={}", '"client_secret": "{}"', "secret = '{}'", 'auth_token="{}"',
             "access_key: {}", "Authorization: Bearer {}", "credentials = {}", 'TOKEN = "{}"', "apikey={}", 'private_key = "{}"']
 PASSWORDS = ['password = "{}"', "passwd: {}", "DB_PASSWORD={}", "pwd='{}'", '"password": "{}"']
+# Values inside addresses and behind prefixes.
+IN_QUERY = ["https://api.site.com/v1?api_key={}", "https://example.org/data?lang=en&access_token={}&page=2", "http://host.net/login?secret={}",
+            "env:API_KEY={}", "config:auth_token={}", "https://www.example.com/cb#id_token={}", "env:TOKEN={}"]
+IN_USER = ["postgres://admin:{}@db.host/app", "https://user:{}@example.com/repo.git", "mysql://root:{}@localhost:3306/shop",
+           "redis://default:{}@cache.example.net:6379", "mongodb://app:{}@mongo.host/data", "amqp://worker:{}@queue.host:5672"]
+PLAIN_QUERY = ["https://shop.example.com/item?id={}", "https://example.org/list?page=2&order={}", "https://cdn.example.net/app.js?v={}&lang=en",
+               "https://example.com/commit?sha={}", "log:request_id={}", "mail:{}@example.com", "https://www.site.com/search?q={}&page=1", "build:version={}"]
 HASHES = ["commit {}", "sha1: {}", "sha256 = {}", 'checksum = "{}"', "git checkout {}", "md5 {}", "digest: {}", "etag={}",
           "https://example.com/files/{}.html", "/objects/{}/data", 'revision "{}"', 'hash = "{}"', "fingerprint {}", "build {}"]
 NAMES = ["id: {}", 'uuid = "{}"', "request {}", "session-id: {}", "/users/{}/edit", "order {}", "{}", "trace {}"]
@@ -44,6 +51,11 @@ def labelled_findings(count: int, words: list[str], seed: int = 11) -> Iterator[
 
     def secret() -> tuple[str, str]:
         kind = pick.random()
+        if pick.random() < 0.1:
+            return pick.choice(IN_USER), chars(ALNUM + "!*_-", pick.randint(8, 24))
+        if pick.random() < 0.12:
+            prefix, alphabet, n = pick.choice([*KEY_FORMS, ("", HEX, 40), ("", ALNUM, 32)])
+            return pick.choice(IN_QUERY), prefix + chars(alphabet, n)
         if kind < 0.35:
             return pick.choice(ASSIGNED), chars(HEX, pick.choice([32, 40, 40, 48, 64]))
         if kind < 0.6:
@@ -57,6 +69,14 @@ def labelled_findings(count: int, words: list[str], seed: int = 11) -> Iterator[
 
     def mistake() -> tuple[str, str]:
         kind = pick.random()
+        if pick.random() < 0.12:
+            return pick.choice(PLAIN_QUERY), pick.choice([joined(), chars(HEX, pick.choice([32, 40])), chars(DIGITS, pick.randint(8, 16)),
+                                                          "-".join(chars(HEX, n) for n in (8, 4, 4, 4, 12))])
+        if pick.random() < 0.08:
+            return pick.choice([*IN_QUERY, *IN_USER]), pick.choice([*PLACEHOLDERS, joined()])
+        if pick.random() < 0.08:
+            form = pick.choice([*IN_QUERY, *IN_USER, *PLAIN_QUERY])
+            return "{}", form.format(pick.choice([joined(), chars(DIGITS, pick.randint(4, 12)), pick.choice(words)]))
         if kind < 0.2:
             return pick.choice(HASHES), chars(HEX, pick.choice([32, 40, 64]))
         if kind < 0.3:

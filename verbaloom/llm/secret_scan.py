@@ -1,7 +1,10 @@
 """Secret scan whose false positives are removed by a random forest.
 
 Candidates of a text are runs without space or quote that hold a digit and are
-``MIN_LENGTH`` long, and values of assignments.  Each is described by its length, its character
+``MIN_LENGTH`` long, and values of assignments; also what lies in one of these as the value of a
+name (``env:KEY=…``, ``?key=…&``), after a ``?``, or as user or password before an ``@``.  All
+are judged.  Of candidates that overlap the innermost that the forest takes for secrets are
+findings, and where it takes none, the outermost is one that is no secret.  Each is described by its length, its character
 classes and transitions, how much of it dictionary words cover, whether it lies in a path or
 address, and the words next to it.  A random forest fitted on labelled findings keeps or
 rejects it.
@@ -18,6 +21,8 @@ empty result, and an empty corpus an empty dictionary.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -49,11 +54,21 @@ SECRET_WORD = re.compile(r"tok|key|secret|passw|pwd|auth|cred|bearer|jwt", re.I)
 PLAIN_WORD = re.compile(r"commit|sha|hash|sum|digest|uuid|\bid\b|md5|etag|checkout|revision|build|version|card|isbn|order|trace|date|fingerprint", re.I)
 FILLER = re.compile(r"your|example|xxxx|change|dummy|sample|insert|placeholder|redact|here|test|environ|\.env\.|1234|0000", re.I)
 ADDRESS = re.compile(r"://|^www\.|^\.{0,2}/|^[A-Za-z]:[/\\]|\.(?:html?|py|js|java|txt|parquet|png|css)\b|@", re.I)
+#: Where the value of a name starts inside a candidate, or what stands behind a question mark.
+INNER_START = re.compile(r"(?:(?<=[?&;:/#@])|^)(?:[A-Za-z_][\w.%-]{0,60}=|[A-Za-z_-]{1,30}:)|(?<=\?)")
+USER_INFO = re.compile(r"(?<=//)([^/@:?#]*+)(?::([^/?#]*))?@")
+BARE_USER = re.compile(r"([^/@:?#]*+):([^/?#]*)@(?=[\w-]+(?:\.[\w-]+)+|localhost\b)")
 LETTERS = re.compile(r"[^\W\d_]{4,}")
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of candidates in order, without overlaps."""
+def _trimmed(text: str, start: int, end: int, least: int) -> tuple[int, int]:
+    while end - start > least and text[end - 1] in ".!?:*#$%&":
+        end -= 1
+    return start, end
+
+
+def _found(text: str) -> list[tuple[int, int]]:
+    """(start, end) of assigned values and of runs with digits in order; where two overlap, one lies in the other."""
     found = []
     for match in ASSIGNMENT.finditer(text):
         found.append(match.span(1))
@@ -65,20 +80,68 @@ def candidates(text: str) -> list[tuple[int, int]]:
         while start > done and not TO_LEFT.match(text, start - 1):
             start -= 1
         end = done = TO_RIGHT.match(text, match.end()).end()
-        while end > start and text[end - 1] in ".!?:*#$%&":
-            end -= 1
+        start, end = _trimmed(text, start, end, 0)
         if end - start >= MIN_LENGTH:
             found.append((start, end))
-    found.sort()
+    return [_trimmed(text, start, end, MIN_ASSIGNED) for start, end in sorted(found)]
+
+
+def _outermost(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     result: list[tuple[int, int]] = []
     for start, end in found:
-        while end > start and text[end - 1] in ".!?:*#$%&" and end - start > MIN_ASSIGNED:
-            end -= 1
         if not result or start >= result[-1][1]:
             result.append((start, end))
     return result
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of outermost candidates in order, without overlaps."""
+    return _outermost(_found(text))
+
+
+def _inside(value: str) -> set[tuple[int, int]]:
+    """(start, end) of values, users and passwords in an outermost candidate; no character is in more than a few."""
+    asked = value.find("?")
+    in_query = asked if "/" in value[: max(0, asked)] else len(value)
+    marks = [m.span() for m in INNER_START.finditer(value) if m[0] or m.start() > in_query]
+    parts = set()
+    for (_, start), (end, _) in itertools.pairwise([(0, 0), *marks, (len(value), 0)]):
+        end -= end < len(value) and end > start
+        if start > in_query:
+            end = min([at for at in (value.find("&", start, end), value.find("#", start, end)) if at >= 0], default=end)
+        parts.add((start, end))
+    for match in [*USER_INFO.finditer(value), *filter(None, [BARE_USER.match(value)])]:
+        parts |= {match.span(1), match.span(2)} - {(-1, -1)}
+    return parts
+
+
+def nested_candidates(text: str) -> list[tuple[int, int]]:
+    """All candidates in order, also those that lie in others."""
+    found = _found(text)
+    spans = set(found)
+    for start, end in _outermost(found):
+        for a, b in _inside(text[start:end]):
+            a, b = _trimmed(text, start + a, start + b, MIN_ASSIGNED)
+            if b - a >= MIN_ASSIGNED:
+                spans.add((a, b))
+    return sorted(spans)
+
+
+def resolved(spans: list[tuple[int, int]], scores: Iterable[float]) -> list[tuple[int, int, float]]:
+    """(start, end, score) in order, without overlaps: the innermost secrets, else the outermost candidates."""
+    rows = [(a, b, float(s)) for (a, b), s in zip(spans, scores, strict=True)]
+    secrets = sorted((r for r in rows if r[2] >= 0.5), key=lambda r: (r[1] - r[0], r))
+    others = sorted((r for r in rows if r[2] < 0.5), key=lambda r: (r[0] - r[1], r))
+    starts: list[int] = []
+    taken: list[tuple[int, int, float]] = []
+    for row in [*secrets, *others]:
+        i = bisect.bisect(starts, row[0])
+        if (not i or taken[i - 1][1] <= row[0]) and (i == len(taken) or row[1] <= taken[i][0]):
+            starts.insert(i, row[0])
+            taken.insert(i, row)
+    return taken
+
+
 class Describer:
     """Features of candidates; knows the dictionary and its character transitions."""
 
@@ -185,15 +248,15 @@ FINDING = StructType([StructField("start", LongType()), StructField("end", LongT
 
 
 def scan(docs: DataFrame, describer: Describer, forest: Forest, text: str = "text") -> Column:
-    """All candidates of a text with the forest's score."""
+    """The findings of a text with the forest's score."""
     @F.pandas_udf(ArrayType(FINDING))
     def findings(texts: pd.Series) -> pd.Series:
         rows = []
         for t in texts:
-            spans = candidates(t) if t else []
+            spans = nested_candidates(t) if t else []
             if spans:
                 scores = forest.scores(np.array([describer.features(t, a, b) for a, b in spans]))
-                rows.append([{"start": a, "end": b, "score": float(s)} for (a, b), s in zip(spans, scores, strict=True)])
+                rows.append([{"start": a, "end": b, "score": s} for a, b, s in resolved(spans, scores)])
             else:
                 rows.append([])
         return pd.Series(rows, dtype=object)
