@@ -11,6 +11,7 @@ from verbaloom.llm import (
     dart_minhash,
     decontamination,
     html_extraction,
+    periodic_runs,
     quality_hosts,
     secret_scan,
     source_mixing,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_chat_format": chat_formatting.op9_chat_format,
         "op10_token_totals": token_ledger.op10_token_totals,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
