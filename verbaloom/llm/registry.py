@@ -18,6 +18,7 @@ from verbaloom.llm import (
     suffix_dedup,
     token_ledger,
     toxicity,
+    wacz,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_chat_format": chat_formatting.op9_chat_format,
         "op10_token_totals": token_ledger.op10_token_totals,
+        "op12_web_archive": wacz.op12_web_archive,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
@@ -45,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_host_quality": quality_hosts.OP6_SQL,
         "op8_decontamination": decontamination.OP8_SQL,
         "op9_chat_format": chat_formatting.OP9_SQL,
+        "op12_web_archive": wacz.OP12_SQL,
     }
