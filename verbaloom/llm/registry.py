@@ -19,6 +19,7 @@ from verbaloom.llm import (
     token_ledger,
     toxicity,
     wacz,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_chat_format": chat_formatting.op9_chat_format,
         "op10_token_totals": token_ledger.op10_token_totals,
+        "op11_whitening": whitening.op11_whitening,
         "op12_web_archive": wacz.op12_web_archive,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
