@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -21,7 +22,7 @@ class Union(dict):
 
 def slow_classes(rows):
     """Class id by index of the rows (id, text), from all pairs."""
-    words = [(t or "").split(" ") if False else [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if w] for _, t in rows]
+    words = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for _, t in rows]
     sets = [collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else None for w in words]
     union = Union()
     for i in range(len(rows)):
@@ -176,3 +177,48 @@ def test_repeated_bytes_of_odd_rows(spark):
     want = slow_cut([r[1] for r in rows])
     assert got == collections.Counter((r[0], w[1], w[3]) for r, w in zip(rows, want, strict=True))
     assert suffix_dedup.without_repeats(no_docs(spark)).collect() == []
+
+
+def windows_that_repeat(raw):
+    seen = collections.Counter(raw[i:i + 200] for i in range(len(raw) - 199))
+    gone = bytearray(len(raw))
+    for i in range(len(raw) - 199):
+        if seen[raw[i:i + 200]] > 1:
+            gone[i:i + 200] = b"\1" * 200
+    return sum(gone)
+
+
+def test_equal_windows_are_of_different_runs():
+    """Else a string that repeats only within one periodic stretch would count once."""
+    draw = random.Random(11)
+    for case in range(150):
+        period, size = draw.randint(1, 168), draw.randint(201, 900)
+        unit = bytes(draw.randrange(3) for _ in range(period))
+        x = np.frombuffer(bytes(draw.randrange(256) for _ in range(draw.randint(0, 400))) + (unit * 900)[:size] + bytes(draw.randrange(256) for _ in range(300)), np.uint8)
+        name, start = suffix_dedup.runs(x)
+        of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(x) - 199)))
+        places = collections.defaultdict(list)
+        for i in range(len(x) - 199):
+            places[x[i:i + 200].tobytes()].append(i)
+        for same in places.values():
+            assert len({of[i] for i in same}) == len(same) and len({name[of[i]] for i in same}) == 1, case
+
+
+def test_periodic_stretches_astride_64_kib(spark):
+    draw, texts = random.Random(12), []
+    for k, period in enumerate([1, 2, 3, 7, 31, 32, 33, 64, 100, 168]):
+        unit = "".join(draw.choices("abcdefgh", k=period))
+        lead = prose(7000 + k, 30_000)
+        texts.append(lead[: 65_536 - 170 + 20 * k] + (unit * 400)[: 200 + period + k] + prose(8000 + k, 12_000)[: 65_300] + (unit[::-1] * 400)[:401])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.without_repeats(docs, keep_bytes=False).collect()}
+    assert all(got.values())
+    assert got == {i: windows_that_repeat(t.encode()) for i, t in enumerate(texts)}
+
+
+def test_many_equal_rows_are_one_text(spark):
+    same, other = prose(90, 200), prose(90, 200)[100:400] + prose(91, 50)
+    docs = spark.createDataFrame([(1, same)] * 3000 + [(2, other), (None, same)], "doc_id long, text string")
+    assert suffix_dedup.distinct_texts(docs, 3).count() == 2
+    rows = suffix_dedup.without_repeats(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_removed, r.n_spans) for r in rows) == {(1, len(same), 1): 3000, (None, len(same), 1): 1, (2, 300, 1): 1}

@@ -5,6 +5,8 @@ The suffixes that matter are the starts of such windows.  They are dealt into bu
 equal windows meet: a window's bucket is the smallest hashed ``GRAM``-byte string in it, and a
 run of windows with the same smallest string travels as one piece of text.
 
+0. *Merge.*  Equal texts are one from here on; those that stand on several rows are removed as a
+   whole, and their one copy still shows which strings of other texts repeat.
 1. *Scan.*  Each task reports the smallest strings of its texts, with counts, added up by text
    chunk.  A string that occurs once in the whole corpus has no repeats in its windows; this
    drops most of a clean corpus and loses nothing.
@@ -16,9 +18,9 @@ run of windows with the same smallest string travels as one piece of text.
 4. *Cut.*  Repeats go back to the chunks, where bytes are removed.
 
 A block holds ``BLOCK_BYTES`` on average; the number of blocks follows the corpus, so memory is
-bounded.  A smallest string that occurs more than ``HOT`` times would still gather its pieces
-in one block: its windows are dealt singly, as 128-bit hashes, which spread evenly and occur
-once per chunk.
+bounded.  A smallest string that occurs more than ``HOT`` times would still gather its pieces,
+which differ around it, in one block: its windows are dealt singly, as 128-bit BLAKE2b digests of their
+bytes, which spread evenly, and of equal windows of a chunk one goes.
 
 Defined cases: a null text is empty.  Texts shorter than ``LENGTH`` are left whole.  Rows that
 repeat, also with the same id, repeat each other.  Matches never cross texts.  An empty table
@@ -49,7 +51,7 @@ HOT = 4_000
 #: Bytes that one smallest string stands for on average, for block counts.
 RUN_BYTES = WINDOWS // 2 + LENGTH
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64(0xFFFF)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -65,9 +67,9 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[base]
 
 
-def rolling_hash(x: np.ndarray, length: int, base: int = _BASES[0]) -> np.ndarray:
+def rolling_hash(x: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of the ``length`` bytes from each position."""
-    up, down = _powers(base, len(x) + 1)
+    up, down = _powers(_BASE, len(x) + 1)
     sums = np.zeros(len(x) + 1, np.uint64)
     np.cumsum((x.astype(np.uint64) + np.uint64(7)) * up[: len(x)], out=sums[1:])
     name = (sums[length:] - sums[:-length]) * down[: len(x) - length + 1]
@@ -77,20 +79,27 @@ def rolling_hash(x: np.ndarray, length: int, base: int = _BASES[0]) -> np.ndarra
 
 
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of windows with the same smallest string: the string's name (48 bits) and the first
-    window of each run.  ``x`` has ``LENGTH`` bytes at least."""
-    name = (rolling_hash(x, GRAM) & ~_LOW) | (np.arange(len(x) - GRAM + 1, dtype=np.uint64) & _LOW)
+    """Runs of windows that have their leftmost smallest string at the same place: the string's
+    name (48 bits) and the first window of each run.  ``x`` has ``LENGTH`` bytes at least.
+
+    Equal windows have that string equally far inside, so at different places they are of
+    different runs, and its name counts for each.
+    """
+    name = rolling_hash(x, GRAM)
     count = len(x) - LENGTH + 1
     # Smallest of each stretch of WINDOWS names: of a tail and a head of two neighbouring blocks.
+    # The low bits say how far from the tail's block it is, so the leftmost of equal names wins.
     size = -(-len(name) // WINDOWS) * WINDOWS
     padded = np.full(size, ~np.uint64(0), np.uint64)
     padded[: len(name)] = name
-    blocks = padded.reshape(-1, WINDOWS)
-    heads = np.minimum.accumulate(blocks, axis=1).ravel()
+    blocks = (padded & ~_LOW).reshape(-1, WINDOWS) | np.arange(WINDOWS, dtype=np.uint64)
     tails = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    heads = np.minimum.accumulate(blocks + np.uint64(WINDOWS), axis=1).ravel()
     least = np.minimum(tails[:count], heads[WINDOWS - 1 : WINDOWS - 1 + count])
+    at = np.arange(count)
+    place = at - at % WINDOWS + (least & _LOW).astype(np.int64)
     first = np.ones(count, bool)
-    first[1:] = least[1:] != least[:-1]
+    first[1:] = place[1:] != place[:-1]
     starts = np.flatnonzero(first)
     return least[starts] >> np.uint64(16), starts
 
@@ -99,8 +108,15 @@ def raw_bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def chunk_of(doc_id: Column, text: Column, chunks: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("long")
+def chunk_of(text: Column, chunks: int) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(chunks)).cast("long")
+
+
+def distinct_texts(docs: DataFrame, chunks: int) -> DataFrame:
+    """Step 0: ``chunk, text, copies`` of each text that has a window.  Equal texts are merged in
+    each task before they move, so one that stands on a third of all rows is one row per task."""
+    long = docs.filter(F.octet_length("text") >= LENGTH).groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
+    return long.select(chunk_of(F.col("text"), chunks).alias("chunk"), "text", "copies")
 
 
 def _batch(schema: StructType, rows: list[tuple]) -> pa.RecordBatch:
@@ -169,16 +185,31 @@ def marked_names(counted: DataFrame) -> DataFrame:
     return counted.groupBy("part").applyInArrow(mark, MARKED)
 
 
-def _rows_in_order(ids: list, texts: list) -> list[int]:
-    """The same numbering of a chunk's rows in every step."""
-    return sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
+def _window_digests(whole: bytes, windows: np.ndarray) -> np.ndarray:
+    """Two longs for each of the windows that begin at ``windows``."""
+    raw = b"".join(hashlib.blake2b(whole[w : w + LENGTH], digest_size=16).digest() for w in windows.tolist())
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+
+
+def _merged(singles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (first half, second half, row, window) one for each digest, and the rows (row,
+    window, 1) of the digests that occur more than once."""
+    order = np.lexsort((singles[:, 1], singles[:, 0]))
+    rows = singles[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    group = np.cumsum(new) - 1
+    again = np.bincount(group)[group] > 1
+    known = rows[again][:, 2:]
+    return rows[new], np.column_stack([known, np.ones(len(known), np.int64)])
 
 
 def dealt_pieces(docs: DataFrame, marked: DataFrame, blocks: int) -> DataFrame:
     """Step 2: pieces of text, or hashes of windows, for the blocks.
 
     Heads are rows (name, row in the chunk, first window, windows, bytes at) of five longs; for
-    hot names (first hash, second hash, row, window, more than once) without data.
+    hot names (first and second half of the digest, row, window) without data.  Hot windows that repeat
+    within the chunk are known already and are only passed on.
     """
     def deal(texts: pa.Table, marks: pa.Table) -> pa.Table:
         if not texts.num_rows or not marks.num_rows:
@@ -188,12 +219,9 @@ def dealt_pieces(docs: DataFrame, marked: DataFrame, blocks: int) -> DataFrame:
         hot = np.concatenate([np.frombuffer(b, np.bool_) for b in marks.column("hot").to_pylist()])
         place = np.argsort(known)
         known, hot = known[place], hot[place]
-        ids, values = texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()
         heads, data, singles = [], [], []
-        for number, i in enumerate(_rows_in_order(ids, values)):
-            x = raw_bytes(values[i])
-            if len(x) < LENGTH:
-                continue
+        for number, text in enumerate(sorted(texts.column("text").to_pylist())):
+            x = raw_bytes(text)
             name, start = runs(x)
             at = np.minimum(np.searchsorted(known, name), len(known) - 1)
             again = known[at] == name
@@ -206,8 +234,7 @@ def dealt_pieces(docs: DataFrame, marked: DataFrame, blocks: int) -> DataFrame:
                 data.append(whole[s : s + c + LENGTH - 1])
             if (again & hot[at]).any():
                 window = np.concatenate([np.arange(s, s + c) for s, c in zip(start[again & hot[at]], count[again & hot[at]], strict=True)])
-                one, two = rolling_hash(x, LENGTH)[window], rolling_hash(x, LENGTH, _BASES[1])[window]
-                singles.append(np.stack([one.view(np.int64), two.view(np.int64), np.full(len(window), number), window], axis=1))
+                singles.append(np.column_stack([_window_digests(whole, window), np.full(len(window), number), window]))
         rows = []
         if heads:
             table_ = np.array(heads, np.int64)
@@ -223,9 +250,11 @@ def dealt_pieces(docs: DataFrame, marked: DataFrame, blocks: int) -> DataFrame:
                 packed = np.column_stack([table_[inside], np.array(at, np.int64)])
                 rows.append((block, chunk, False, packed.tobytes(), b"".join(kept)))
         if singles:
-            table_ = np.concatenate(singles)
+            table_, known_spans = _merged(np.concatenate(singles))
             for block, inside in _split(np.arange(len(table_)), np.mod(table_[:, 1], blocks)):
                 rows.append((block, chunk, True, np.ascontiguousarray(table_[inside]).tobytes(), b""))
+            if len(known_spans):
+                rows.append((chunk % blocks, chunk, True, b"", known_spans.tobytes()))
         return pa.Table.from_batches([_batch(DEALT, rows)])
     return docs.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(deal, DEALT)
 
@@ -285,14 +314,18 @@ def repeated_windows(dealt: DataFrame) -> DataFrame:
     def sort(rows: pa.Table) -> pa.Table:
         chunks, heads = rows.column("chunk").to_pylist(), rows.column("heads").to_pylist()
         if rows.column("hot")[0].as_py():
+            known = rows.column("data").to_pylist()
             found = _single_repeats(chunks, heads)
+            for chunk, spans in zip(chunks, known, strict=True):
+                if spans:
+                    found.setdefault(chunk, []).append(np.frombuffer(spans, np.int64).reshape(-1, 3))
         else:
             found = _block_repeats(chunks, heads, rows.column("data").to_pylist())
         return pa.Table.from_batches([_batch(REPEATS, [(c, np.concatenate(s).tobytes()) for c, s in found.items()])])
     return dealt.groupBy("block", "hot").applyInArrow(sort, REPEATS)
 
 
-CUT = _schema(doc_id=LongType, n_bytes=LongType, n_removed=LongType, n_spans=LongType, kept_sha256=StringType, kept=BinaryType)
+CUT = _schema(key=StringType, n_removed=LongType, n_spans=LongType, kept_sha256=StringType, kept=BinaryType)
 
 
 def _cut(x: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, int, int]:
@@ -304,35 +337,47 @@ def _cut(x: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, int, int]:
     return x[~gone], int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
 
 
-def cut_texts(docs: DataFrame, repeats: DataFrame, keep_bytes: bool) -> DataFrame:
-    """Step 4: one row per document."""
-    def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
+def cut_texts(texts: DataFrame, repeats: DataFrame, keep_bytes: bool) -> DataFrame:
+    """Step 4: what is left of each text of which anything is removed, by the text's SHA-256."""
+    def cut(rows: pa.Table, found: pa.Table) -> pa.Table:
         spans = [np.frombuffer(b, np.int64).reshape(-1, 3) for b in found.column("spans").to_pylist()]
         span = np.concatenate(spans) if spans else np.empty((0, 3), np.int64)
         by_row = dict(_split(np.arange(len(span)), span[:, 0])) if len(span) else {}
-        ids, values, rows = texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), []
-        for number, i in enumerate(_rows_in_order(ids, values)):
-            x = raw_bytes(values[i])
-            kept, removed, pieces = _cut(x, span[by_row[number]][:, 1:]) if number in by_row else (x, 0, 0)
+        result = []
+        for number, (text, copies) in enumerate(sorted(zip(rows.column("text").to_pylist(), rows.column("copies").to_pylist(), strict=True))):
+            x = raw_bytes(text)
+            if copies > 1:
+                kept, removed, pieces = x[:0], len(x), 1
+            elif number in by_row:
+                kept, removed, pieces = _cut(x, span[by_row[number]][:, 1:])
+            else:
+                continue
             rest = kept.tobytes()
-            rows.append((ids[i], len(x), removed, pieces, hashlib.sha256(rest).hexdigest(), rest if keep_bytes else None))
-        return pa.Table.from_batches([_batch(CUT, rows)])
-    return docs.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(cut, CUT)
+            result.append((hashlib.sha256(x.tobytes()).hexdigest(), removed, pieces, hashlib.sha256(rest).hexdigest(), rest if keep_bytes else None))
+        return pa.Table.from_batches([_batch(CUT, result)])
+    return texts.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(cut, CUT)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the kept bytes, one row per document."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = 1 + size // CHUNK_BYTES
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn(
-        "chunk", chunk_of(F.col("doc_id"), F.col("text"), chunks))
+    texts = stored(distinct_texts(rows, chunks), "distinct-texts")
     # A part of the names is some megabytes of longs.
     parts = 1 + size // (32 * CHUNK_BYTES)
-    marked = stored(marked_names(counted_names(rows, max(parts, chunks // 4 + 1))), "repeated-names")
+    marked = stored(marked_names(counted_names(texts, max(parts, chunks // 4 + 1))), "repeated-names")
     found = marked.agg(F.sum("found")).first()[0] or 0
     blocks = 1 + found * RUN_BYTES // BLOCK_BYTES
-    repeats = stored(repeated_windows(dealt_pieces(rows, marked, blocks)), "repeated-windows")
-    return cut_texts(rows, repeats, keep_bytes)
+    repeats = stored(repeated_windows(dealt_pieces(texts, marked, blocks)), "repeated-windows")
+    cuts = cut_texts(texts, repeats, keep_bytes)
+    whole = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"),
+                        *([F.col("text").cast("binary").alias("raw")] if keep_bytes else []))
+    joined = whole.join(cuts, whole["own"] == cuts["key"], "left")
+    kept = F.when(F.col("key").isNull(), F.col("raw")).otherwise(F.col("kept")) if keep_bytes else F.lit(None).cast("binary")
+    return joined.select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"), kept.alias("kept"))
 
 
 def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
