@@ -1,10 +1,12 @@
 import collections
 import hashlib
 import json
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_tables import no_docs, odd_docs, odd_rows
+from llm_tables import SMALL, no_docs, odd_docs, odd_rows, prose
+from pyspark.sql import functions as F
 
 from verbaloom.llm import chat_formatting as chat
 from verbaloom.llm import token_ledger
@@ -87,8 +89,12 @@ def ledger_sums(rows):
 
 
 def read_sums(ledger):
+    return sums_of(ledger.totals().collect())
+
+
+def sums_of(rows):
     out = {}
-    for r in ledger.totals().collect():
+    for r in rows:
         for kind in ("docs", "tokens", "chars"):
             out[r["source"], r["lang"], r["tokenizer"], kind] = r[f"n_{kind}"]
     return {k: v for k, v in out.items() if v}
@@ -116,3 +122,36 @@ def test_ledger_follows_inserts_revisions_and_deletes(spark):
     assert read_sums(ledger) == ledger_sums([r[1:] for r in live])
     again = token_ledger.TokenLedger(spark, ledger.path)
     assert read_sums(again) == ledger_sums([r[1:] for r in live])
+
+
+def slow_totals(rows):
+    """The query's totals from rows (doc_id, text, lang, source)."""
+    first = {}
+    for doc, text, _, _ in rows:
+        if text is not None:
+            first[text] = min([d for d in (first.get(text), doc) if d is not None], default=None)
+    kept = [r for r in rows if r[1] is None or first[r[1]] == r[0]]
+    return ledger_sums([(s, lang, None if t is None else re.sub(r"[#*$%&]{3,}", "", t)) for _, t, lang, s in kept])
+
+
+def test_ledger_query_with_null_and_shared_ids(spark, tmp_path):
+    rows = [(None, "null one ### words", "en", "a"), (None, "null two", "en", "a"), (None, "null three", None, "a"), (1, "one", "en", "a"),
+            (1, "other $$$$ text", "en", "a"), (2, "other $$$$ text", "en", "b"), (2, "two stays", "en", "b"), (None, "one", "en", "c"),
+            (3, None, "en", "a"), (4, None, "en", "a"), (5, "", "en", "a"), (6, "", "en", "a"), (7, "same row %%%", "en", "a"),
+            (7, "same row %%%", "en", "a"), (8, "null two", "fr", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("sign", F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sums_of(token_ledger.op10_token_totals(spark, str(tmp_path)).collect()) == slow_totals(rows)
+
+
+def test_ledger_query_on_given_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    assert sums_of(token_ledger.op10_token_totals(spark, SMALL).collect()) == slow_totals(rows)
+
+
+def test_long_texts_are_counted_in_pieces():
+    encode = token_ledger.encoding(f"{token_ledger.FOLDER}/byte_bpe_50k.tiktoken").encode_ordinary
+    for text in [prose(3, 500), "it's  a \n b's 12 34 don't  " * 40, "x" * 5000, "Größe \U0001f600 9 naïve's  " * 30, " a" * 300]:
+        parts = list(token_ledger.pieces(text, 50))
+        assert "".join(parts) == text and (len(parts) > 3 or " " not in text)
+        assert [t for p in parts for t in encode(p)] == encode(text)
