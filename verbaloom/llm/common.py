@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from verbaloom.session import ensure_checkpoint_dir
 
@@ -37,6 +42,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_slices(kind: DataType, of: Callable[..., Sequence[Any]], size: int = 64) -> Callable[..., Column]:
+    """``of``, which maps lists of values to a list of results of ``kind``, as a function of columns.
+
+    An Arrow batch holds ten thousand rows; only ``size`` of them are Python objects at a time.
+    """
+    @F.arrow_udf(kind)
+    def run(*columns: pa.Array) -> pa.Array:
+        parts = [pa.array([], to_arrow_type(kind))]
+        for at in range(0, len(columns[0]), size):
+            parts.append(pa.array(of(*[c.slice(at, size).to_pylist() for c in columns]), to_arrow_type(kind)))
+        return pa.concat_arrays(parts)
+    return run
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one where ``df`` has a column of that name already."""
     taken = {c.lower() for c in df.columns}

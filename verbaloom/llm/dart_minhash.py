@@ -34,13 +34,12 @@ import functools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from verbaloom.llm.common import free_name, stored, table
+from verbaloom.llm.common import free_name, in_slices, stored, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -136,15 +135,17 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (both - shared) if both > shared else 1.0
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def text_buckets(words: pd.Series) -> pd.Series:
-    return pd.Series([buckets(w) for w in words], dtype=object)
+def _buckets(words: list[str]) -> list[list[int]]:
+    return [buckets(w) for w in words]
 
 
-@F.pandas_udf(DoubleType())
-def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def _similarities(a: list[str], b: list[str]) -> list[float]:
     cached = functools.lru_cache(maxsize=64)(shingles)
-    return pd.Series([similarity(cached(x), cached(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return [similarity(cached(x), cached(y)) for x, y in zip(a, b, strict=True)]
+
+
+text_buckets = in_slices(ArrayType(LongType()), _buckets)
+text_similarity = in_slices(DoubleType(), _similarities)
 
 
 def normal_words(text: Column) -> Column:
@@ -195,14 +196,16 @@ def _drawn(node: Column) -> Column:
     return (F.xxhash64(node) / F.lit(float(1 << 63)) + 1) / 2
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _units(words: pd.Series) -> pd.Series:
-    return pd.Series([shingles(w)[0].view(np.int64).tolist() for w in words], dtype=object)
+def _shingle_lists(words: list[str]) -> list[np.ndarray]:
+    return [shingles(w)[0].view(np.int64) for w in words]
+
+
+def _shingle_weights(words: list[str]) -> list[int]:
+    return [int(shingles(w)[1].sum()) for w in words]
 
 
-@F.pandas_udf(LongType())
-def _weight(words: pd.Series) -> pd.Series:
-    return pd.Series([int(shingles(w)[1].sum()) for w in words], dtype="int64")
+_units = in_slices(ArrayType(LongType()), _shingle_lists)
+_weight = in_slices(LongType(), _shingle_weights)
 
 
 def common_parts(texts: DataFrame) -> DataFrame:

@@ -91,9 +91,10 @@ def runs_of(symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.nda
     return rows[np.lexsort((rows[:, 2], rows[:, 0]))]
 
 
-def _groups(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
+def _groups(texts: pa.Array) -> Iterator[list[list[bytes]]]:
     group, size = [], 0
     for text in texts:
+        text = text.as_py()
         words = (text or "").encode("utf-8", "surrogatepass").split()
         if group and size + len(words) > GROUP_WORDS:
             yield group
@@ -134,7 +135,7 @@ def text_runs(texts: pa.Array) -> pa.Array:
     """``n_words``, ``runs`` by start and period, and the text ``collapsed``: a word is left out
     if a run contains it after the run's first ``period`` words, the others are joined by a space."""
     sizes, runs, kept = [], [], []
-    for group in _groups(texts.to_pylist()):
+    for group in _groups(texts):
         for whole, part in zip((sizes, runs, kept), _described(group), strict=True):
             whole.extend(part)
     rows = np.concatenate([np.empty((0, 3), np.int64), *runs])

@@ -17,12 +17,11 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from verbaloom.llm.common import free_name, stored, table
+from verbaloom.llm.common import free_name, in_slices, stored, table
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SPACE = b" \t\n\v\f\r"
@@ -75,9 +74,11 @@ def measures_of(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, repeats, repeated_words(words)
 
 
-@F.pandas_udf(StructType([StructField(m, LongType()) for m in MEASURES]))
-def text_measures(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measures_of(t) for t in text], columns=MEASURES, dtype="int64")
+def _measured(texts: list[str | None]) -> list[dict[str, int]]:
+    return [dict(zip(MEASURES, measures_of(t), strict=True)) for t in texts]
+
+
+text_measures = in_slices(StructType([StructField(m, LongType()) for m in MEASURES]), _measured)
 
 
 def rules(m: Column) -> dict[str, Column]:
