@@ -152,6 +152,33 @@ def test_nested_candidates_stay_few():
     assert secret_scan.resolved(spans, [0.9, 0.2, 0.1, 0.1, 0.2]) == [(0, 30, 0.9), (40, 60, 0.1)]
 
 
+def test_planted_secrets_of_the_given_table(spark):
+    """Every text with an assigned key of forty hex digits has a finding there; nearly nothing else is one."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    planted = {(r.doc_id, m.start(1), m.end(1)) for r in rows for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")}
+    found = {(r.doc_id, r.start, r.end): r.secret for r in secret_scan.op2_secret_scan(spark, "/root/testdata/sf0.01").collect()}
+    secrets = {k for k, secret in found.items() if secret}
+    assert len(planted) >= 10 and planted <= secrets
+    assert len(secrets - planted) <= 1 and len(found) > 4 * len(planted)
+
+
+def test_dictionary_by_language(spark):
+    rows = [(i, "common alpha words", "en") for i in range(3000)] + [(i, f"gemein beta wörter{'x' * 50}", "de") for i in range(20)]
+    rows += [(1, "rare alpha", "en"), (2, "selten gemein", "de"), (3, "null words", None), (4, None, "en"), (5, "", None), (6, "seltsam", "xx")]
+    counts, langs = secret_scan.word_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == {"en": 3002, "de": 21, None: 3}
+    assert secret_scan.corpus_dictionary(counts, langs) == ["alpha", "common", "words", "gemein", "beta"]
+    pairs = dict(secret_scan.letter_pairs(counts))
+    assert pairs["ph"] == 3001 and pairs["se"] == 2 and not any("xx" in p for p in pairs)
+
+
+def test_neighbours_on_both_sides():
+    text = 'the apiKey = "AAAA" SHA word'
+    assert secret_scan.neighbours(text, 14, 18) == (["key", "api", "the"], ["sha", "word"])
+    before, after = secret_scan.neighbour_odds([(text, 14, 18, 1)] * 5 + [("see commit AAAA ok", 11, 15, 0)] * 5)
+    assert before["key"] > 1 > -1 > before["commit"] and after["sha"] > 0 > after["ok"]
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

@@ -6,17 +6,21 @@ name (``env:KEY=…``, ``?key=…&``), after a ``?``, or as user or password bef
 are judged.  Of candidates that overlap the innermost that the forest takes for secrets are
 findings, and where it takes none, the outermost is one that is no secret.  Each is described by its length, its character
 classes and transitions, how much of it dictionary words cover, whether it lies in a path or
-address, and the words next to it.  A random forest fitted on labelled findings keeps or
-rejects it.
-
-The dictionary is the most frequent words of the corpus itself, counted over all documents;
-character transitions are those of its words.  Both have at most ``DICTIONARY`` words.  The
+address, and the words on both sides of it, each with the log odds that half of the labelled
+findings give it.  A random forest fitted on the other half keeps or rejects it.
+
+Words are counted over all documents, by language, and stored as a table.  Character transitions are
+those of all words, with characters beyond ``LAST_LETTER`` as one, which bounds their number.  The
+dictionary is the words that are in a ``SHARE`` of the documents of a language, whatever their
+number: a document with w different words of its own adds up to at most w / SHARE such words,
+so there are no more than the mean of w over SHARE in a language at any size.  Languages with less than a
+``MINOR`` part of all documents are counted as one.  The
 forest is fitted by Spark, saved to the shared folder and its nodes read back, so a text is
 scanned, judged and redacted in one pass without a shuffle.
 
 Defined cases: null text has no findings and stays null.  Findings do not overlap; positions
-count code points from 0.  Repeated rows get the same findings each.  An empty table gives an
-empty result, and an empty corpus an empty dictionary.
+count code points from 0.  Repeated rows get the same findings each.  A null language is one of its
+own.  An empty table gives an empty result, and an empty corpus an empty dictionary.
 """
 
 from __future__ import annotations
@@ -29,20 +33,26 @@ from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from verbaloom.llm.common import free_name, shared_folder, table
+from verbaloom.llm.common import free_name, in_slices, shared_folder, stored, table
 from verbaloom.llm.labelled_findings import labelled_findings
 
-DICTIONARY = 20_000
-RANKED_IN = 8
-#: Labelled findings that the forest is fitted on.
+#: A dictionary word is in this share of a language's documents, and in ``LEAST`` of them at least.
+SHARE, LEAST = 1 / 2_000, 2
+#: Share of all documents below which languages are counted together.
+MINOR = 1 / 1_000
+#: Letters of a word; longer runs of letters are none.
+WORD_LETTERS = (4, 40)
+LAST_LETTER = "\u024f"
+#: Labelled findings that odds and forest are fitted on.
 MAX_LABELLED = 4_000
+#: Words before and after a candidate that count, within so many characters of its line.
+BEFORE, AFTER, NEAR = 3, 2, 24
 TREES, DEPTH, SEED = 40, 8, 5
 MIN_LENGTH, MIN_ASSIGNED = 12, 8
 MASK = "[SECRET]"
@@ -50,8 +60,7 @@ EDGE = "\\s\"'`<>|,;()\\[\\]{}"
 DIGIT_RUN = re.compile(r"[0-9]+")
 TO_LEFT, TO_RIGHT = re.compile(rf"[{EDGE}=]"), re.compile(rf"[^{EDGE}]*")
 ASSIGNMENT = re.compile(rf"[:=]\s{{0,3}}[\"']?([^{EDGE}]{{{MIN_ASSIGNED},}})")
-SECRET_WORD = re.compile(r"tok|key|secret|passw|pwd|auth|cred|bearer|jwt", re.I)
-PLAIN_WORD = re.compile(r"commit|sha|hash|sum|digest|uuid|\bid\b|md5|etag|checkout|revision|build|version|card|isbn|order|trace|date|fingerprint", re.I)
+NEIGHBOUR = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 FILLER = re.compile(r"your|example|xxxx|change|dummy|sample|insert|placeholder|redact|here|test|environ|\.env\.|1234|0000", re.I)
 ADDRESS = re.compile(r"://|^www\.|^\.{0,2}/|^[A-Za-z]:[/\\]|\.(?:html?|py|js|java|txt|parquet|png|css)\b|@", re.I)
 #: Where the value of a name starts inside a candidate, or what stands behind a question mark.
@@ -142,17 +151,39 @@ def resolved(spans: list[tuple[int, int]], scores: Iterable[float]) -> list[tupl
     return taken
 
 
+Odds = tuple[dict[str, float], dict[str, float]]
+
+
+def neighbours(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """Lower-case words on the line before a candidate, nearest first, and after it."""
+    before = text[max(0, start - NEAR) : start].split("\n")[-1]
+    after = text[end : end + NEAR].split("\n")[0]
+    return ([w.lower() for w in NEIGHBOUR.findall(before)[: -BEFORE - 1 : -1]], [w.lower() for w in NEIGHBOUR.findall(after)[:AFTER]])
+
+
+def neighbour_odds(labelled: Iterable[tuple[str, int, int, int]]) -> Odds:
+    """For each side the log odds of a secret that a word there speaks for."""
+    counts = [(Counter(), Counter()) for _ in range(2)]  # by side: of mistakes, of secrets
+    totals = [0, 0]
+    for text, start, end, secret in labelled:
+        totals[secret] += 1
+        for side, words in zip(counts, neighbours(text, start, end), strict=True):
+            side[secret].update(set(words))
+    return tuple(
+        {w: math.log((secrets[w] + 1) * (totals[0] + 2) / ((mistakes[w] + 1) * (totals[1] + 2))) for w in mistakes | secrets}
+        for mistakes, secrets in counts)
+
+
 class Describer:
-    """Features of candidates; knows the dictionary and its character transitions."""
-
-    def __init__(self, words: Iterable[tuple[str, int]]):
-        words = list(words)
-        self.words = {w for w, _ in words}
-        pairs, firsts = Counter(), Counter()
-        for word, count in words:
-            for a, b in zip(word, word[1:], strict=False):
-                pairs[a + b] += count
-                firsts[a] += count
+    """Features of candidates; knows the dictionary, the corpus' character transitions and what
+    neighbouring words speak for."""
+
+    def __init__(self, words: Iterable[str], pairs: Iterable[tuple[str, int]], odds: Odds = ({}, {})):
+        self.words, self.odds = set(words), odds
+        self.longest = max(map(len, self.words), default=0)
+        pairs, firsts = dict(pairs), Counter()
+        for pair, count in pairs.items():
+            firsts[pair[0]] += count
         self.surprise = {p: -math.log2(n / firsts[p[0]]) for p, n in pairs.items()}
 
     def covered(self, text: str) -> float:
@@ -161,7 +192,7 @@ class Describer:
         for run in LETTERS.findall(text.lower()):
             at = 0
             while at + 4 <= len(run):
-                size = next((k for k in range(min(len(run) - at, 16), 3, -1) if run[at : at + k] in self.words), 0)
+                size = next((k for k in range(min(len(run) - at, self.longest), 3, -1) if run[at : at + k] in self.words), 0)
                 total += size
                 at += size or 1
         return total / max(1, len(text))
@@ -169,8 +200,8 @@ class Describer:
     def features(self, text: str, start: int, end: int) -> list[float]:
         value = text[start:end]
         n = max(1, len(value))
-        before = text[max(0, start - 24) : start]
-        near = before.split("\n")[-1]
+        before = text[max(0, start - NEAR) : start]
+        left, right = ([odds.get(w, 0.0) for w in words] for odds, words in zip(self.odds, neighbours(text, start, end), strict=True))
         digits = sum(c.isdigit() for c in value)
         upper, lower = sum(c.isupper() for c in value), sum(c.islower() for c in value)
         kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
@@ -186,7 +217,7 @@ class Describer:
             self.covered(value), len(counts) / n,
             float(value.count("/") + value.count("\\")), float(value.count(".")), float(value.count("-")),
             float(bool(ADDRESS.search(value)) or before.rstrip().endswith("/")),
-            float(bool(SECRET_WORD.search(near))), float(bool(PLAIN_WORD.search(near))),
+            float(sum(left)), left[0] if left else 0.0, float(sum(right)),
             float(before.rstrip(" \"'")[-1:] in (":", "=") if before else False),
             float(before[-1:] in "\"'" if before else False), float(bool(FILLER.search(value))),
         ]
@@ -218,17 +249,40 @@ class Forest:
         return self.share[at].mean(axis=1)
 
 
-def corpus_dictionary(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> list[tuple[str, int]]:
-    """The ``most`` words of four letters or more that are in most documents, with that number.
-
-    They are ranked in ``RANKED_IN`` parts first, so the driver gets that many times ``most``
-    words at the most, whatever the number of tasks.
-    """
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\p{L}{4,16}"), F.lit(0)))
-    counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    part = Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(RANKED_IN))).orderBy(F.desc("n"), "word")
-    best = counts.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= most)
-    return [(r["word"], r["n"]) for r in best.orderBy(F.desc("n"), "word").limit(most).collect()]
+def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, dict[str | None, int]]:
+    """A stored table ``lang, word, n`` with the number of documents that have a word, and the
+    documents of each language; both with null for all minor languages."""
+    own = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
+    sizes = docs.groupBy(own.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    total = docs.count()
+    major = sizes.filter((F.col("n") >= total * MINOR) & F.col("lang").isNotNull()).collect()  # 1 / MINOR rows
+    langs = {r["lang"]: r["n"] for r in major}
+    name = F.when(own.isin(*langs), own) if langs else F.lit(None).cast("string")
+    low, high = WORD_LETTERS
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{low},{high}}}(?!\p{{L}})"), F.lit(0))
+    words = docs.select(name.alias("lang"), F.explode(F.array_distinct(found)).alias("word"))
+    counts = stored(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    return counts, langs | {None: total - sum(langs.values())}
+
+
+def corpus_dictionary(counts: DataFrame, langs: dict[str | None, int]) -> list[str]:
+    """The dictionary's words, those of most documents first."""
+    least = F.lit(max(LEAST, math.ceil(langs[None] * SHARE)))
+    for lang, n in langs.items():
+        if lang is not None:
+            least = F.when(F.col("lang") == lang, F.lit(max(LEAST, math.ceil(n * SHARE)))).otherwise(least)
+    known = counts.filter(F.col("n") >= least).groupBy("word").agg(F.sum("n").alias("n"))
+    rows = known.collect()  # mean words of a document / SHARE, for each of 1 / MINOR languages at most
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
+
+
+def letter_pairs(counts: DataFrame) -> list[tuple[str, int]]:
+    """Neighbouring letters in the words of all documents, and how often."""
+    word = F.regexp_replace("word", f"[^\0-{LAST_LETTER}]", "\uffff")
+    pairs = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))
+    split = counts.select(word.alias("word"), "n").select(F.explode(pairs).alias("pair"), "n")
+    rows = split.groupBy("pair").agg(F.sum("n").alias("n")).collect()  # letters up to LAST_LETTER and one more, squared
+    return [(r["pair"], r["n"]) for r in rows]
 
 
 def train(spark: SparkSession, labelled: Iterable[tuple[str, int, int, int]], describer: Describer) -> Forest:
@@ -245,53 +299,57 @@ def train(spark: SparkSession, labelled: Iterable[tuple[str, int, int, int]], de
 
 
 FINDING = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType())])
+REDACTED = StructType([StructField("text", StringType()), StructField("secrets", LongType())])
+
+
+def found_in(text: str | None, describer: Describer, forest: Forest) -> list[tuple[int, int, float]]:
+    """(start, end, score) of a text's findings."""
+    spans = nested_candidates(text) if text else []
+    if not spans:
+        return []
+    scores = forest.scores(np.array([describer.features(text, a, b) for a, b in spans]))
+    return resolved(spans, scores)
 
 
 def scan(docs: DataFrame, describer: Describer, forest: Forest, text: str = "text") -> Column:
     """The findings of a text with the forest's score."""
-    @F.pandas_udf(ArrayType(FINDING))
-    def findings(texts: pd.Series) -> pd.Series:
-        rows = []
-        for t in texts:
-            spans = nested_candidates(t) if t else []
-            if spans:
-                scores = forest.scores(np.array([describer.features(t, a, b) for a, b in spans]))
-                rows.append([{"start": a, "end": b, "score": s} for a, b, s in resolved(spans, scores)])
-            else:
-                rows.append([])
-        return pd.Series(rows, dtype=object)
-    return findings(docs[text])
+    def findings(texts: list[str | None]) -> list[list[dict]]:
+        return [[{"start": a, "end": b, "score": s} for a, b, s in found_in(t, describer, forest)] for t in texts]
+    return in_slices(ArrayType(FINDING), findings)(docs[text])
 
 
 def scanner(spark: SparkSession, docs: DataFrame) -> tuple[Describer, Forest]:
-    words = corpus_dictionary(docs)
-    describer = Describer(words)
-    return describer, train(spark, labelled_findings(MAX_LABELLED, [w for w, _ in words[:2000]]), describer)
+    counts, langs = word_counts(docs)
+    words = corpus_dictionary(counts, langs)
+    labelled = list(labelled_findings(MAX_LABELLED, words[:2000]))
+    describer = Describer(words, letter_pairs(counts), neighbour_odds(labelled[: MAX_LABELLED // 2]))
+    return describer, train(spark, labelled[MAX_LABELLED // 2 :], describer)
 
 
-@F.pandas_udf(StringType())
-def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    rows = []
-    for text, found in zip(texts, spans, strict=True):
-        if text is None or found is None or len(found) == 0:
-            rows.append(text)
-            continue
-        pieces, at = [], 0
-        for span in found:
-            pieces += [text[at : span["start"]], MASK]
-            at = span["end"]
-        rows.append("".join([*pieces, text[at:]]))
-    return pd.Series(rows, dtype=object)
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    pieces, at = [], 0
+    for start, end in spans:
+        pieces += [text[at:start], MASK]
+        at = end
+    return "".join([*pieces, text[at:]])
 
 
 def redact(docs: DataFrame, describer: Describer, forest: Forest, text: str = "text") -> DataFrame:
-    """``docs`` with secrets replaced by ``MASK``; ``n_chars`` follows where there is such a column."""
-    own = free_name(docs, "secrets")
-    found = docs.withColumn(own, F.filter(scan(docs, describer, forest, text), lambda f: f["score"] >= 0.5))
-    masked = found.withColumn(text, _masked(F.col(text), F.col(own)))
+    """``docs`` with secrets replaced by ``MASK``; ``n_chars`` follows where there is such a column.
+    One Python function finds and masks, and only texts with secrets come back from it."""
+    def changed(texts: list[str | None]) -> list[dict]:
+        rows = []
+        for t in texts:
+            secrets = [(a, b) for a, b, score in found_in(t, describer, forest) if score >= 0.5]
+            rows.append({"text": masked(t, secrets) if secrets else None, "secrets": len(secrets)})
+        return rows
+    own = free_name(docs, "redacted")
+    new = F.col(own)["text"]
+    found = docs.withColumn(own, in_slices(REDACTED, changed)(F.col(text)))
+    columns = {text: F.coalesce(new, F.col(text))}
     if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.size(own) > 0, F.length(text)).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+        columns["n_chars"] = F.when(new.isNotNull(), F.length(new)).otherwise(F.col("n_chars"))
+    return found.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -301,7 +359,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per candidate: its place, hash, score, and whether it is a secret."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = docs.withColumn("found", scan(docs, *scanner(spark, docs)))
     values = F.transform("found", lambda f: F.struct(
         f["start"].alias("start"), f["end"].alias("end"), f["score"].alias("score"),
