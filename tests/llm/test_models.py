@@ -3,6 +3,8 @@ import re
 import numpy as np
 from llm_tables import SMALL, no_docs, odd_docs, odd_rows, prose, with_clashes
 
+from pyspark.sql import functions as F
+
 from verbaloom.llm import decontamination, html_extraction, labelled_pages, secret_scan, toxicity
 from verbaloom.llm.labelled_findings import labelled_findings
 
@@ -83,6 +85,28 @@ def test_skipped_elements_take_no_text_with_them():
     assert texts("<video>" * 20_000 + "end") == ["end"]
 
 
+def test_quotes_open_values_only_behind_equals():
+    def texts(page):
+        return [t for t, _ in html_extraction.leaf_blocks(page)]
+    assert texts("<p data-x=it's>First main sentence here.</p><p>I don't know.</p><p>Third.</p>") == ["First main sentence here.", "I don't know.", "Third."]
+    assert texts('<p a="x>y" b=\'>\' c = ">" d>one</p><p 5" tall>two</p><p>three</p>') == ["one", "two", "three"]
+    assert texts("<p title='it\"s'>a</p><p title=\"it's\">b</p><p class=a'b'c>c</p><a href=?q='x>d</a>") == ["a", "b", "c", "d"]
+    assert len(texts("<p " + "a=' " * 20_000 + "<p>x" * 50)) <= 51  # linear, also where no quote is closed
+
+
+def test_extraction_of_odd_tables(spark):
+    model = html_extraction.ChainModel({}, 1.0, [[0, 0], [0, 0]])
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>a</p>  <p>b\n c</p>"), (3, "u", "<p>a</p>  <p>b\n c</p>"), (None, "u", "plain &amp; text"),
+            (5, "u", "<p>" + "long " * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("text", "page", "main", "n_chars")})
+    found = html_extraction.extract(pages, model)
+    assert set(found.columns) == set(pages.columns)
+    got = sorted((str(r.page_id), r.text, r.main) for r in found.collect())
+    want = [("1", ""), ("2", ""), ("3", "a\nb c"), ("3", "a\nb c"), ("None", "plain & text"), ("5", ("long " * 200_000).strip())]
+    assert got == sorted((i, t, "clash") for i, t in want)
+    assert html_extraction.extract(pages.limit(0), model).collect() == []
+
+
 def test_viterbi_finds_the_best_path():
     import itertools
     draw = np.random.default_rng(2)

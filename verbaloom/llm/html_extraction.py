@@ -6,7 +6,8 @@ in each other, and a few properties of the text.  A chain model with two labels
 labelled pages by its exact likelihood (forward and backward sums), and a page's labels are
 its Viterbi path.  Blocks that are labelled as main text are joined by line breaks.
 
-Tags need not be closed: a paragraph ends at the next block, a list item at the next one, and
+Attributes are read as browsers do: a quote opens a value only behind ``=``.  Tags need not be
+closed: a paragraph ends at the next block, a list item at the next one, and
 an end tag closes what is open inside it.  ``script``, ``style`` and other elements without
 text of their own, comments and declarations are skipped.  ``head`` is none of these, since its
 end tag may be missing.  Formulas belong to the text around them.
@@ -14,7 +15,8 @@ end tag may be missing.  Formulas belong to the text around them.
 Defined cases: null, empty or markup-free pages: no text, or one block of text.  A page that
 ends inside a tag, comment, script, style, title or text field loses that last piece; of other
 skipped elements without an end tag only the tag is left out.  Repeated pages get the same text
-each.  An empty table gives an empty result.
+each.  An empty table gives an empty result.  A column named as the result is replaced, all
+others pass through.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 CLOSES_ITSELF = {"li", "dt", "dd", "tr", "td", "th", "option"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
