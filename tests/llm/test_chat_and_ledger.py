@@ -56,6 +56,48 @@ def test_digests_of_odd_conversations(spark):
     assert chat.conversation_digests(chat.format_turns(turns.limit(0))).collect() == []
 
 
+def test_turns_and_loss_are_read_out_of_the_joined_text(spark):
+    rows = [(1, i, ["user", "assistant", "assistant", "a\nb", ""][i % 5], "".join(PARTS[(i * k + i) % len(PARTS)] for k in range(8))) for i in range(60)]
+    pieces = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    whole = "".join(r["piece"] for r in pieces)
+    want = [(r[2], r[3], r[2] == "assistant") for r in rows]
+    for step in (1, 2, 3, 7, 64, 10**6):
+        reader = chat.TurnReader()
+        assert [t for at in range(0, len(whole), step) for t in reader.read(whole[at:at + step])] == want
+        reader.close()
+    reader = chat.TurnReader()
+    assert list(reader.read(whole[:-3]))[-1] == want[-2]
+    for broken in (lambda: reader.close(), lambda: list(chat.TurnReader().read("x" + whole))):
+        try:
+            broken()
+        except ValueError:
+            continue
+        raise AssertionError("a damaged text was read")
+    # Borders come from the text alone: the same text in other parts gives the same digests.
+    joined = spark.createDataFrame([(1, 0, "", whole[:1001], whole[:1001]), (1, 1, "", whole[1001:], whole[1001:])], "conv_id long, turn long, role string, text string, piece string")
+    apart = chat.conversation_digests(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert chat.conversation_digests(joined).collect() == apart.collect()
+
+
+def test_odd_json_records(spark):
+    records = ['{"messages":[{"role":"user","content":"a"},"x"]}', '{"messages": []}', '{"messages[]": {"role": "u", "content": "c"}}',
+               '{"": {"prompt": 1, "response": 2}}', '{"messages":[{"role":["user"],"content":{"a":1}},{"role":"user","content":"b"}]}',
+               "[" * 100_000, '{"prompt": "\\ud800", "response": null}', '{"messages":[{"role":7,"content":1.5}]}', "3", '"x"', "[]", "{}",
+               '{"prompt": ["a"], "response": "b"}', '{"question": {"x": 1}, "answer": "b"}']
+    rows = [(i, r) for i, r in enumerate(records)]
+    rows += [(100, json.dumps({"conv_id": 200, "turn": k, "role": r, "text": f"t{k}"})) for k, r in ((2, "user"), (0, "user"), (1, "assistant"), (3, None))]
+    rows += [(101, json.dumps({"conv_id": "c", "turn": 1 << 70, "role": "user", "text": None}))]
+    by = collections.defaultdict(list)
+    for t in chat.turns_of_records(spark.createDataFrame(rows, "conv_id long, record string")).collect():
+        by[t["conv_id"]].append((t["turn"], t["role"], t["text"]))
+    unknown = {i: [(None, None, records[i])] for i in (0, 2, 3, 5, 8, 9, 10, 11, 13)}
+    assert {i: by[i] for i in unknown} == unknown
+    assert 1 not in by
+    assert by[4] == [(0, '["user"]', '{"a": 1}'), (1, "user", "b")] and by[7] == [(0, "7", "1.5")]
+    assert by[6] == [(0, "user", "?"), (1, "assistant", "")]
+    assert sorted(by[200]) == [(0, "user", "t0"), (1, "assistant", "t1"), (2, "user", "t2"), (3, "", "t3")] and by[101] == [(None, "user", "")]
+
+
 def test_layouts_are_recognised_by_their_paths(spark):
     records = [
         {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},

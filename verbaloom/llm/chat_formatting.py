@@ -12,10 +12,14 @@ roles get a backslash after their first character, one more where there are some
 which ``unescape`` takes away again; so a text that speaks of the template can't end a turn.
 
 A conversation is never one row or one group in memory: turns are formatted row by row, and
-readers stream them in order.
+``TurnReader`` finds turns and loss in the joined text, of which it holds one turn at a time.
 
 Defined cases: null text and null role are empty.  Turns with equal numbers are ordered by
 role and text, null turn numbers come first.  A null ``conv_id`` is a conversation of its own.
+JSON records: a list of turns that holds anything but records, or a record that can't be parsed,
+fits no layout; an empty list of turns gives no row.  A record that is one turn keeps its
+``turn`` and, where it is a number, its ``conv_id``; a turn that is no whole number of 64 bits is null.
+Roles and texts that are not strings are written as JSON, half surrogate pairs as ``?``.
 An empty table gives an empty result.
 """
 
@@ -87,20 +91,41 @@ def mapping_of(paths: set[str]) -> dict[str, Any] | None:
     return max(fitting, key=lambda x: x[0])[1] if fitting else None
 
 
-def record_turns(record: Any) -> list[tuple[str | None, str]] | None:
-    """Canonical (role, text) turns of one record; ``None`` for an unknown layout."""
-    mapping = mapping_of(record_paths(record)) if isinstance(record, dict) else None
+Turn = tuple[int | None, str, str]
+
+
+def _long(value: Any) -> int | None:
+    return value if isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63 else None
+
+
+def _string(value: Any) -> str:
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value)
+    return text.encode("utf-8", "replace").decode()
+
+
+def record_turns(record: Any) -> list[Turn] | None:
+    """Canonical (turn, role, text) of one record; ``None`` for an unknown layout."""
+    if not isinstance(record, dict):
+        return None
+    empty = [m for _, m in LAYOUTS if "list" in m and record.get(m["list"]) == []]
+    mapping = empty[0] if empty else mapping_of(record_paths(record))
     if mapping is None:
         return None
     if "list" in mapping:
-        turns = [(t.get(mapping["role"]), t.get(mapping["text"])) for t in record[mapping["list"]]]
+        items = record.get(mapping["list"])
+        if not isinstance(items, list) or not all(isinstance(t, dict) for t in items):
+            return None
+        turns = [(i, t.get(mapping["role"]), t.get(mapping["text"])) for i, t in enumerate(items)]
     elif "fields" in mapping:
-        turns = [(role, "\n\n".join(str(record[f]) for f in names if record[f])) for role, names in mapping["fields"]]
-        turns = [t for t in turns if t[1] or t[0] != "system"]
+        if not all(f in record for _, names in mapping["fields"] for f in names):
+            return None
+        parts = [(role, "\n\n".join(_string(record[f]) for f in names if record[f])) for role, names in mapping["fields"]]
+        turns = [(i, *t) for i, t in enumerate(t for t in parts if t[1] or t[0] != "system")]
     else:
-        turns = [(record[mapping["role"]], record[mapping["text"]])]
-    return [(ROLE_NAMES.get(role, role) or "", text if isinstance(text, str) else "" if text is None else json.dumps(text))
-            for role, text in turns]
+        if not all(mapping[k] in record for k in ("rows", "role", "text")):
+            return None
+        turns = [(_long(record[mapping["rows"]]), record[mapping["role"]], record[mapping["text"]])]
+    return [(turn, ROLE_NAMES.get(name, name), _string(text)) for turn, name, text in ((t[0], _string(t[1]), t[2]) for t in turns)]
 
 
 TURN_FIELDS = StructType([StructField("conv_id", LongType()), StructField("turn", LongType()),
@@ -116,14 +141,15 @@ def turns_of_records(records: DataFrame, record: str = "record", conv_id: str =
             for conv, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     value = json.loads(raw or "null")
-                except ValueError:
-                    value = None
-                layout = fingerprint(record_paths(value))
-                turns = record_turns(value)
+                    paths, turns = record_paths(value), record_turns(value)
+                except (ValueError, RecursionError):  # no JSON, or nested too deep
+                    value, paths, turns = None, record_paths(None), None
+                layout = fingerprint(p.encode("utf-8", "replace").decode() for p in paths)
                 if turns is None:
                     rows.append((conv, None, None, raw, layout))
-                else:
-                    rows += [(conv, i, role, text, layout) for i, (role, text) in enumerate(turns)]
+                    continue
+                named = _long(value.get("conv_id"))
+                rows += [(conv if named is None else named, turn, role, text, layout) for turn, role, text in turns]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5,
                  [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()], strict=True)], names=TURN_FIELDS.names)
@@ -185,6 +211,38 @@ def read_piece(piece: str) -> tuple[str, str]:
     return unescape_role(role), unescape(rest[: -len(END) - 1])
 
 
+class TurnReader:
+    """Reads turns out of a formatted conversation that comes in parts, wherever it is cut.
+
+    A control string is never inside a text, so a turn ends at the next ``END``; its role decides
+    whether its text is under the loss mask.  What is held is the turn that is not complete yet.
+    """
+
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+
+    def read(self, part: str) -> Iterator[tuple[str, str, bool]]:
+        """(role, text, under the loss mask) of the turns that ``part`` completes."""
+        self.parts.append(part)
+        stop = END + "\n"
+        if stop[-1] not in part:
+            return
+        held = "".join(self.parts)
+        at = 0
+        while (end := held.find(stop, at)) >= 0:
+            piece = held[at : end + len(stop)]
+            if not piece.startswith(TURN):
+                raise ValueError("a formatted turn does not begin with its mark")
+            role, text = read_piece(piece)
+            yield role, text, role in LOSS_ROLES
+            at = end + len(stop)
+        self.parts = [held[at:]] if at < len(held) else []
+
+    def close(self) -> None:
+        if self.parts:
+            raise ValueError("a formatted conversation ends inside a turn")
+
+
 def in_order(formatted: DataFrame) -> DataFrame:
     """Pieces so that each conversation is contiguous and in order in one partition."""
     return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -195,44 +253,52 @@ DIGESTS = StructType([StructField("conv_id", LongType()), StructField("n_turns",
                       StructField("loss_sha256", StringType()), StructField("formatted_chars", LongType())])
 
 
+class _Digest:
+    """Running figures of one conversation."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.reader = conv, TurnReader()
+        self.n = self.chars = self.size = 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, part: str) -> None:
+        self.size += len(part)
+        for role, text, under_loss in self.reader.read(part):
+            self.n += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+            if under_loss:
+                self.chars += len(text)
+                self.loss.update(text.encode())
+
+    def row(self) -> tuple:
+        self.reader.close()
+        return self.conv, self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.size
+
+
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """Reads the formatted pieces back, one row per conversation.
+    """Reads each conversation's formatted text back, one row per conversation.
 
-    A digest is a running hash over the conversation's pieces, whatever their number.
+    The text is the pieces one after the other; turns, borders and the loss are found in it.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        current: list[Any] | None = None
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        current: _Digest | None = None
 
-        def close() -> None:
-            if current is not None:
-                conv, n, turns, chars, loss, size = current
-                rows.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size))
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            batch = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=DIGESTS.names)
-            rows.clear()
-            return batch
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=DIGESTS.names)
 
         for batch in batches:
-            for conv, piece, lo, hi in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if current is None or current[0] != conv:
-                    close()
-                    current = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_piece(piece)
-                loss = unescape(piece[lo:hi])
-                current[1] += 1
-                current[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                current[3] += len(loss)
-                current[4].update(loss.encode("utf-8", "surrogatepass"))
-                current[5] += len(piece)
-            yield flush()
-        close()
-        yield flush()
-    pieces = in_order(formatted).select("conv_id", "piece", "loss_from", "loss_to")
-    return pieces.mapInArrow(read, DIGESTS)
+            rows = []
+            for conv, piece in zip(*[batch.column(i).to_pylist() for i in range(2)], strict=True):
+                if current is None or current.conv != conv:
+                    if current is not None:
+                        rows.append(current.row())
+                    current = _Digest(conv)
+                current.add(piece)
+            yield batch_of(rows)
+        yield batch_of([current.row()] if current is not None else [])
+    return in_order(formatted).select("conv_id", "piece").mapInArrow(read, DIGESTS)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
