@@ -20,7 +20,8 @@ size and the words taken stay near the target.  Each block leaves one residual u
 residuals are the units of the next level, until one block is left per source, whose residual
 is drawn.  The level count is the logarithm of the largest source to base ``BLOCK``.
 
-All of it is DataFrame functions.  Numbers are drawn from a hash of the row, so reruns agree.
+All of it is DataFrame functions.  Numbers are drawn from a hash of the row's id and size, or of its
+place in the input where it has no id, so reruns on the same files agree.
 
 Defined cases: null text has size 0 and empty sources have target 0.  A null source is a
 source of its own, last in order.  Rows that repeat are units of their own.  Ties in size are
@@ -108,7 +109,10 @@ def mix(docs: DataFrame, size: str, source: str = "source", identity: str = "doc
     p = free_name(docs, "mix")
     targets = stored(source_targets(docs, source, size), "source-targets")
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
-    units = docs.withColumn(f"{p}_source", F.col(source))
+    # Rows without an id are told apart by their place in the input, so that they are dealt to all blocks.
+    place = F.concat(F.col(size).cast("string"), F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    units = docs.withColumn(f"{p}_size", F.when(F.col(identity).isNull(), place).otherwise(F.col(size).cast("string")))
+    units = units.withColumn(f"{p}_source", F.col(source))
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     near = F.floor(wanted + NEAR)
     facts = targets.select(
@@ -117,7 +121,7 @@ def mix(docs: DataFrame, size: str, source: str = "source", identity: str = "doc
         near.alias(f"{p}_whole"), F.greatest(wanted - near, F.lit(0.0)).alias(f"{p}_part"))
     units = units.join(facts, units[f"{p}_source"].eqNullSafe(facts[f"{p}_name"]), "inner").drop(f"{p}_name")
     units = units.withColumn(f"{p}_part", F.when(F.col(f"{p}_part") < NEAR, 0.0).otherwise(F.col(f"{p}_part")))
-    keys, order = [identity, size], [size, identity]
+    keys, order = [identity, f"{p}_size"], [size, identity, f"{p}_size"]
 
     # Every row takes part in the first level, those without a fraction as settled zeros.
     blocks = F.ceil(F.col(f"{p}_docs") / F.lit(BLOCK))
