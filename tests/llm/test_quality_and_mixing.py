@@ -116,6 +116,39 @@ def test_mix_meets_its_targets(spark, monkeypatch, block):
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in out)
 
 
+def test_rows_without_id_are_dealt_to_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "BLOCK", 100)
+    largest, plain = [], source_mixing._round_level
+
+    def watched(units, p, *rest):
+        level = plain(units, p, *rest)
+        largest.append(level.groupBy(f"{p}_source", f"{p}_block").count().agg({"count": "max"}).first()[0])
+        return level
+    monkeypatch.setattr(source_mixing, "_round_level", watched)
+    rows = [(None, "a" if i % 4 else "b", 10) for i in range(8000)]
+    out = source_mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), "size").collect()
+    assert largest[0] < 200
+    for source, target in targets_of({"a": 60_000, "b": 20_000}).items():
+        taken = sum(r["taken"] for r in out if r["source"] == source)
+        assert abs(taken - target) <= 20
+
+
+def test_strength_of_the_prior_at_its_bounds(spark):
+    def strengths(hosts):
+        rows = [(f"h{i}", (5 if j < bad else 50, 100, 0, 0, 0)) for i, (n, bad) in enumerate(hosts) for j in range(n)]
+        frame = spark.createDataFrame(rows, "host string, m struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long>")
+        return {r["host"]: (r["n_docs"], r["rate_short"]) for r in quality_hosts.host_verdicts(frame, "host", "m").collect()}
+
+    def rate(n, k, mean, strength):
+        return (k + mean * strength) / (n + strength)
+    alike = strengths([(20, 5)] * 4)  # no variance beyond sampling: the corpus speaks
+    assert all(math.isclose(r, rate(20, 5, 0.25, 10_000)) for _, r in alike.values())
+    apart = strengths([(200, 200), (200, 0)])  # hosts are all or nothing: they speak for themselves
+    assert math.isclose(apart["h0"][1], rate(200, 200, 0.5, 1)) and math.isclose(apart["h1"][1], rate(200, 0, 0.5, 1))
+    between = strengths([(100, 30), (100, 10), (100, 20), (2, 2)])
+    assert 0.2 < between["h3"][1] < 1 and between["h1"][1] > 0.1 and between["h0"][1] < 0.3
+
+
 def test_each_fraction_is_kept_in_expectation(spark):
     rows = [(i, "a" if i < 300 else "b", 10) for i in range(900)]
     out = source_mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), "size").collect()

@@ -180,10 +180,14 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures, its host's shrunk rates of failure (to six digits), and the verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     measured = stored(docs.select("doc_id", "source", text_measures(F.col("text")).alias("measures")), "measures")
     verdicts = host_verdicts(measured, "source", "measures")
-    return with_verdicts(measured, verdicts, "source", "measures").select("doc_id", *MEASURES, "base_failed", "kept")
+    judged = with_verdicts(measured, verdicts, "source", "measures")
+    rates = verdicts.select(F.col("host").alias("rated"), *[F.round(f"rate_{r}", 6).alias(f"rate_{r}") for r in RULES])
+    rated = judged.join(rates, judged["source"].eqNullSafe(rates["rated"]))
+    return rated.select("doc_id", *MEASURES, "base_failed", "kept", *[f"rate_{r}" for r in RULES])
 
 
 OP6_SQL = r"""
@@ -226,11 +230,16 @@ WITH d AS (
   SELECT rule, mean, CASE WHEN between_hosts <= 0 THEN 10000.0
          ELSE greatest(1.0, least(10000.0, noise / between_hosts - 1)) END AS strength FROM p
 ), v AS (
-  SELECT source, bool_or((k + mean * strength) / (n + strength) > 0.5) AS host_rejected
-  FROM h JOIN s USING (rule) GROUP BY source
+  SELECT source, bool_or(rate > 0.5) AS host_rejected,
+         max(rate) FILTER (rule = 'short') AS short, max(rate) FILTER (rule = 'repeats') AS repeats,
+         max(rate) FILTER (rule = 'symbols') AS symbols, max(rate) FILTER (rule = 'lines') AS lines,
+         max(rate) FILTER (rule = 'word_length') AS word_length
+  FROM (SELECT source, rule, (k + mean * strength) / (n + strength) AS rate FROM h JOIN s USING (rule)) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR host_rejected) AS kept
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR host_rejected) AS kept,
+       round(short, 6) AS rate_short, round(repeats, 6) AS rate_repeats, round(symbols, 6) AS rate_symbols,
+       round(v.lines, 6) AS rate_lines, round(word_length, 6) AS rate_word_length
 FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source
 """
