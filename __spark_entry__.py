@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import sys
 import uuid
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import duckdb_checks  # noqa: E402
+import duckdb_learned  # noqa: E402
 from verbaloom.functions import sheet_name, slug, time_stamp  # noqa: E402
-from verbaloom.operators import chartdata, frequencies, matrix, segment, views  # noqa: E402
+from verbaloom.operators import chartdata, frequencies, lexicon_table, matrix, names, parser, segment, tagger, views  # noqa: E402
 from verbaloom.operators.cooccurrence import cooccurrences  # noqa: E402
 from verbaloom.operators.whitespace import whitespace_tokens  # noqa: E402
 from verbaloom.plans import annotate, chart_pack, export_all, stats_pack, store_annotation, summary_pack  # noqa: E402
@@ -42,9 +44,9 @@ from verbaloom.sources import corpus_from_table, decode_text, read_tokens, witho
 try:
     import corpus_pipeline
     from verbaloom.llm import registry as llm
-except ModuleNotFoundError as missing:  # the training-data subpackage may be left out
+except ImportError as missing:  # the training-data subpackage, or what it needs, may be left out
     if missing.name not in {"corpus_pipeline", "verbaloom.llm"}:
-        raise
+        warnings.warn(f"queries of the training-data subpackage are left out: {missing}", stacklevel=1)
     corpus_pipeline = llm = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -207,10 +209,80 @@ def _long_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrences(annotate(_documents(spark, sf_dir), "tokenize,mwt,lemma"), exclude=listed)
 
 
+def _benchmark_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon made of a table: the forms of the benchmark with odd lemmas, and tags by length."""
+    tokens = F.transform(segment.token_array(F.col("text")), F.lower)
+    forms = _table(spark, sf_dir, "benchmark").select(F.explode(tokens).alias("form")).distinct()
+    size = F.length("form")
+    tag = F.when(size % 4 == 0, "VERB").when(size % 4 == 1, "ADJ").when(size % 4 == 2, "SYM")
+    english = forms.select(F.lit("en").alias("lang"), "form", F.reverse("form").alias("lemma"), tag.alias("upos"))
+    german = forms.where(size > 3).select(F.lit("de").alias("lang"), "form", F.concat("form", F.lit("+")).alias("lemma"), F.lit("NUM").alias("upos"))
+    return english.unionByName(german)
+
+
+def _lexicon_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon_table.apply_lexicon(_stored(spark, sf_dir, "tokenize,mwt,pos,lemma"), _benchmark_lexicon(spark, sf_dir))
+
+
+def _benchmark_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of a table: stretches of one to twelve tokens of the benchmark, with four types."""
+    tokens = _table(spark, sf_dir, "benchmark").select("item_id", segment.token_array(F.col("text")).alias("ts"))
+    spans = F.explode(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(n).alias("size")) for a, n in ((2, 1), (1, 2), (1, 5), (4, 3), (3, 12))]))
+    types = F.array(*[F.lit(t) for t in ("PER", "LOC", "ORG", "WORK")])
+    return tokens.select("item_id", "ts", spans.alias("x")).select(
+        F.array_join(F.slice("ts", F.col("x.start"), F.col("x.size")), " ").alias("name"),
+        F.get(types, ((F.col("item_id") + F.col("x.size")) % 4).cast("int")).alias("type"))
+
+
+def _stored_of(spark: SparkSession, sf_dir: str, corpus: Callable, layers: str) -> DataFrame:
+    return store_annotation(annotate(corpus(spark, sf_dir), layers), _shared_path(spark, "annotation"))
+
+
+def _hmm_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tagger learned from the documents' tags, on the conversations."""
+    learned = tagger.train_tagger(_stored(spark, sf_dir, "tokenize,mwt,pos"))
+    told = tagger.tag_sentences(_stored_of(spark, sf_dir, _conversations, "tokenize,mwt"), learned)
+    return views.word_view(told).select("doc_id", "sent_ix", "word_id", "FORM", "UPOS")
+
+
+def _flat_hmm_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    learned = tagger.train_tagger(lines.selectExpr(*duckdb_learned.TAGGED_COLUMNS.split(";")))
+    return tagger.tag_tokens(lines.selectExpr(*duckdb_learned.OTHER_COLUMNS.split(";")), learned).select("doc_id", "tok_ix", "FORM", "UPOS")
+
+
+def _parsed_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentences = parser.parse_sentences(annotate(_conversations(spark, sf_dir), "tokenize,mwt,pos"))
+    return views.word_view(sentences).select("doc_id", "sent_ix", "word_id", "FORM", "UPOS", "HEAD", "DEPREL")
+
+
+def _flat_parsed_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _table(spark, sf_dir, "lineitem").selectExpr(*duckdb_learned.HEADED_COLUMNS.split(";"))
+    return parser.parse_words(words, parser.train_parser(words)).drop("sent_ix")
+
+
+def _table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.entity_view(names.apply_names(_stored(spark, sf_dir, "tokenize"), _benchmark_names(spark, sf_dir)))
+
+
+def _learned_queries() -> dict[str, Query]:
+    return {
+        "lexicon_words": lambda spark, d: views.word_view(_lexicon_words(spark, d)).select(
+            "doc_id", "lang", "sent_ix", "word_id", "FORM", "LEMMA", "UPOS"),
+        "lexicon_pos_counts": lambda spark, d: frequencies.pos_counts(_lexicon_words(spark, d)).drop("percent"),
+        "hmm_tags": _hmm_tags,
+        "flat_hmm_tags": _flat_hmm_tags,
+        "parsed_trees": _parsed_trees,
+        "flat_parsed_trees": _flat_parsed_trees,
+        "table_names": _table_names,
+    }
+
+
 def queries() -> dict[str, Query]:
+    own = {**_own_queries(), **_learned_queries()}
     if llm is None:
-        return _own_queries()
-    return {**_own_queries(), **llm.queries(), "pipeline": corpus_pipeline.run}
+        return own
+    return {**own, **llm.queries(), "pipeline": corpus_pipeline.run}
 
 
 def _own_queries() -> dict[str, Query]:
@@ -296,7 +368,7 @@ def _own_queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    own = duckdb_checks.statements()
+    own = {**duckdb_checks.statements(), **duckdb_learned.statements()}
     if llm is None:
         return own
     piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

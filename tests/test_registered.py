@@ -5,6 +5,7 @@ from compare import compare, connect
 
 import __spark_entry__ as entry
 import duckdb_checks
+import duckdb_learned
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,7 +15,7 @@ def con():
     return connect(SF_DIR)
 
 
-OWN = duckdb_checks.statements()
+OWN = {**duckdb_checks.statements(), **duckdb_learned.statements()}
 
 
 def test_every_query_has_sql():
