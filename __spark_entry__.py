@@ -23,7 +23,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import duckdb_checks  # noqa: E402
 import duckdb_learned  # noqa: E402
 from verbaloom.functions import sheet_name, slug, time_stamp  # noqa: E402
-from verbaloom.operators import chartdata, frequencies, lexicon_table, matrix, names, parser, segment, tagger, views  # noqa: E402
+from verbaloom.operators import abbreviations, chartdata, frequencies, lemmatizer, lexicon_table, matrix, names, parser  # noqa: E402
+from verbaloom.operators import segment, tagger, views  # noqa: E402
 from verbaloom.operators.cooccurrence import cooccurrences  # noqa: E402
 from verbaloom.operators.whitespace import whitespace_tokens  # noqa: E402
 from verbaloom.plans import annotate, chart_pack, export_all, stats_pack, store_annotation, summary_pack  # noqa: E402
@@ -265,6 +266,26 @@ def _table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.entity_view(names.apply_names(_stored(spark, sf_dir, "tokenize"), _benchmark_names(spark, sf_dir)))
 
 
+def _suffix_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix rules learned from the benchmark's words with made lemmas, on the documents."""
+    low = F.lower("FORM")
+    made = F.concat(F.regexp_replace(low, "(.)(ing|ion|er|es|th|an|s|e)$", "$1"), F.when(low.like("%e"), "").otherwise("o"))
+    words = views.word_view(annotate(_benchmark(spark, sf_dir), "tokenize,mwt,pos")).withColumn("LEMMA", made)
+    told = lemmatizer.apply_lemmas(_stored(spark, sf_dir, "tokenize,mwt,pos"), lemmatizer.train_lemmatizer(words))
+    return views.word_view(told).select("doc_id", "sent_ix", "word_id", "FORM", "LEMMA")
+
+
+def _shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).withColumn("text", F.expr(duckdb_learned.SHORTENED.format("$1", 1)))
+
+
+def _abbreviation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _shortened(spark, sf_dir)
+    some = ["de", "en", "la", "le", "of", "on"]
+    listed = _table(spark, sf_dir, "documents").select("lang", F.explode(F.array(*[F.lit(w) for w in some])).alias("word")).distinct()
+    return abbreviations.split_by_abbreviations(docs, listed)
+
+
 def _learned_queries() -> dict[str, Query]:
     return {
         "lexicon_words": lambda spark, d: views.word_view(_lexicon_words(spark, d)).select(
@@ -275,6 +296,9 @@ def _learned_queries() -> dict[str, Query]:
         "parsed_trees": _parsed_trees,
         "flat_parsed_trees": _flat_parsed_trees,
         "table_names": _table_names,
+        "suffix_lemmas": _suffix_lemmas,
+        "found_abbreviations": lambda spark, d: abbreviations.abbreviations(_shortened(spark, d)),
+        "abbreviation_sentences": _abbreviation_sentences,
     }
 
 

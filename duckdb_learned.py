@@ -5,8 +5,10 @@ Patterns, tags and formulas are written out here once more, so that they check t
 
 from __future__ import annotations
 
+from duckdb_checks import text as _sql_text
 from duckdb_checks import with_layers
 from verbaloom.operators.parser import baseline_parser
+from verbaloom.operators.segment import SPACES
 
 # Sentences of up to seven words whose tags depend on the form, the place and the line, and the
 # same with some forms that these sentences don't have.
@@ -83,6 +85,10 @@ def _parsing(target: str) -> str:
 attached AS (SELECT s, taken AS word, head, numbers FROM states WHERE taken IS NOT NULL)"""
 
 
+# Texts in which some words always have a full stop, and numbers have one inside.
+SHORTENED = r"regexp_replace(regexp_replace(text, ' (de|en|le|on|un) ', ' {0}. ', {1}), ' (of|la) ', ' 3.14 {0}. ', {1})"
+
+
 def _rule_tagged(docs: str) -> str:
     """Words of the rule annotator: ``words`` of ``with_layers``, without its leading WITH."""
     return with_layers(docs).removeprefix("WITH ")
@@ -131,6 +137,35 @@ FROM words, names_of JOIN attached a ON a.s = doc_id || '#' || sent_ix AND a.wor
             + """ SELECT s AS doc_id, word_id, a.head AS HEAD, CASE WHEN a.head = 0 THEN 'root' ELSE coalesce(rel, 'dep') END AS DEPREL
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY word_id, tag) AS rn FROM w) x JOIN attached a ON a.s = x.doc_id AND a.word = rn
 LEFT JOIN rels ON rels.h = a.numbers[a.head] AND rels.d = x.tag AND rels.side = (rn > a.head)::INT""",
+        "suffix_lemmas": f"WITH {documents}, b_words AS (SELECT * FROM (WITH " + _rule_tagged("SELECT item_id AS doc_id, 'en' AS lang, text FROM benchmark") + r""" SELECT form, upos FROM words)),
+train AS (SELECT upos, lower(form) AS f, regexp_replace(lower(form), '(.)(ing|ion|er|es|th|an|s|e)$', '\1') || CASE WHEN lower(form) LIKE '%e' THEN '' ELSE 'o' END AS l FROM b_words),
+kinds AS (SELECT upos, f, l, count(*) AS n FROM train GROUP BY ALL),
+known AS (SELECT upos, f, l FROM kinds QUALIFY row_number() OVER (PARTITION BY upos, f ORDER BY n DESC, l) = 1),
+scripts AS (SELECT upos, f, length(f) - p AS cut, substring(l, p + 1) AS added
+  FROM (SELECT *, list_max(list_filter(range(0, least(length(f), length(l)) + 1), lambda k: left(f, k) = left(l, k))) AS p FROM kinds)),
+rules AS (SELECT upos, ending, cut, added FROM (SELECT upos, right(f, k) AS ending, cut, added, count(*) AS n
+    FROM scripts, range(0, 7) AS x(k) WHERE k >= cut AND k <= length(f) GROUP BY ALL HAVING count(*) >= 2)
+  QUALIFY row_number() OVER (PARTITION BY upos, ending ORDER BY n DESC, cut, added) = 1),
+vocab AS (SELECT DISTINCT lang, upos, lower(form) AS f FROM words),
+solved AS (SELECT v.lang, v.upos, v.f, coalesce(any_value(known.l), arg_max(left(v.f, length(v.f) - cut) || added, length(ending)), v.f) AS lemma
+  FROM vocab v LEFT JOIN known ON v.lang = 'en' AND known.upos = v.upos AND known.f = v.f
+  LEFT JOIN rules r ON v.lang = 'en' AND r.upos = v.upos AND r.ending = right(v.f, length(r.ending)) AND length(r.ending) <= length(v.f) GROUP BY v.lang, v.upos, v.f)
+SELECT doc_id, sent_ix, word_id, form AS FORM, solved.lemma AS LEMMA FROM words JOIN solved ON solved.lang = words.lang AND solved.upos = words.upos AND solved.f = lower(form)""",
+        "found_abbreviations": f"WITH docs AS (SELECT lang, {SHORTENED.format(chr(92) + '1', chr(39) + 'g' + chr(39))} AS text FROM documents)" + r""",
+hits AS (SELECT lang, unnest(regexp_extract_all(lower(text), '\p{L}+\.?')) AS hit FROM docs),
+counts AS (SELECT lang, rtrim(hit, '.') AS word, count(*) AS n, count(*) FILTER (hit LIKE '%.') AS stops FROM hits GROUP BY ALL),
+shares AS (SELECT lang, sum(stops)::DOUBLE / sum(n)::DOUBLE AS share FROM counts GROUP BY lang)
+SELECT * FROM (SELECT c.lang, word, round(2 * ((stops * ln(0.99::DOUBLE) + (n - stops) * ln(1 - 0.99::DOUBLE)) - (stops * ln(share) + (n - stops) * ln(1 - share)))
+  / exp(length(word)) / pow(length(word), n - stops), 6) AS score FROM counts c JOIN shares s ON s.lang IS NOT DISTINCT FROM c.lang WHERE stops > 0 AND share < 1) WHERE score >= 0.3""",
+        "abbreviation_sentences": f"WITH docs AS (SELECT doc_id, lang, {SHORTENED.format(chr(92) + '1', chr(39) + 'g' + chr(39))} AS text FROM documents)" + r""",
+pieces AS (SELECT doc_id, lang, regexp_extract_all(text, '[^.!?…\n]+[.!?…]*|[.!?…]+|\n') AS ps FROM docs),
+rows AS (SELECT doc_id, lang, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM pieces),
+marked AS (SELECT *, lead(p) OVER w AS after FROM rows WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+borders AS (SELECT *, CASE WHEN after IS NOT NULL AND after <> chr(10) AND ((regexp_matches(p, '\p{L}\.$') AND lower(regexp_extract(p, '(\p{L}+)\.$', 1)) IN ('of', 'la', 'de', 'en', 'le', 'on'))
+  OR (regexp_matches(p, '\d\.$') AND regexp_matches(after, '^\d'))) THEN 0 ELSE 1 END AS ends FROM marked),
+numbered AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM borders),
+sents AS (SELECT doc_id, lang, s, string_agg(p, '' ORDER BY i) AS text FROM numbered GROUP BY ALL)
+SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS sent_ix, trim(text, {spaces}) AS text FROM sents WHERE regexp_matches(text, '[^\p{Z}\p{Cc}]')""".replace("{spaces}", _sql_text(SPACES)),
         "table_names": f"WITH RECURSIVE {documents}" + r""", b_tokens AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{Z}\p{Cc}\p{L}\p{M}\p{N}_]') AS ts FROM benchmark),
 listed AS (SELECT min(['PER', 'LOC', 'ORG', 'WORK'][(item_id + size) % 4 + 1]) AS type, lower(array_to_string(ts[start : start + size - 1], ' ')) AS name, len(any_value(ts[start : start + size - 1])) AS size
   FROM b_tokens, (VALUES (2, 1), (1, 2), (1, 5), (4, 3), (3, 12)) AS x(start, size) WHERE len(ts) >= start GROUP BY 2),
