@@ -219,6 +219,7 @@ def test_periodic_stretches_astride_64_kib(spark):
 def test_many_equal_rows_are_one_text(spark):
     same, other = prose(90, 200), prose(90, 200)[100:400] + prose(91, 50)
     docs = spark.createDataFrame([(1, same)] * 3000 + [(2, other), (None, same)], "doc_id long, text string")
-    assert suffix_dedup.distinct_texts(docs, 3).count() == 2
+    tasks = docs.rdd.getNumPartitions()
+    assert suffix_dedup.merged_texts(suffix_dedup.long_texts(docs, 3)).count() <= 4 * tasks
     rows = suffix_dedup.without_repeats(docs).collect()
     assert collections.Counter((r.doc_id, r.n_removed, r.n_spans) for r in rows) == {(1, len(same), 1): 3000, (None, len(same), 1): 1, (2, 300, 1): 1}

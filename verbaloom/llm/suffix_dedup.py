@@ -5,8 +5,9 @@ The suffixes that matter are the starts of such windows.  They are dealt into bu
 equal windows meet: a window's bucket is the smallest hashed ``GRAM``-byte string in it, and a
 run of windows with the same smallest string travels as one piece of text.
 
-0. *Merge.*  Equal texts are one from here on; those that stand on several rows are removed as a
-   whole, and their one copy still shows which strings of other texts repeat.
+0. *Merge.*  Of equal texts each task passes two on, whatever their number, and a text's copies meet in
+   one chunk, where they are one.  Texts that stand on several rows are removed as a whole, and their
+   one copy still shows which strings of other texts repeat.
 1. *Scan.*  Each task reports the smallest strings of its texts, with counts, added up by text
    chunk.  A string that occurs once in the whole corpus has no repeats in its windows; this
    drops most of a clean corpus and loses nothing.
@@ -30,6 +31,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -112,11 +114,34 @@ def chunk_of(text: Column, chunks: int) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(chunks)).cast("long")
 
 
-def distinct_texts(docs: DataFrame, chunks: int) -> DataFrame:
-    """Step 0: ``chunk, text, copies`` of each text that has a window.  Equal texts are merged in
-    each task before they move, so one that stands on a third of all rows is one row per task."""
-    long = docs.filter(F.octet_length("text") >= LENGTH).groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    return long.select(chunk_of(F.col("text"), chunks).alias("chunk"), "text", "copies")
+def _first_rows(batch: pa.RecordBatch, most: int, seen: dict[str, int]) -> pa.RecordBatch:
+    """The rows of ``chunk, text, key`` that are among the first ``most`` of their key in this task."""
+    keep = []
+    for key in batch.column(2).to_pylist():
+        number = seen.get(key, 0)
+        keep.append(number < most)
+        seen[key] = min(most, number + 1)
+    return batch.filter(pa.array(keep, pa.bool_())).select(["chunk", "text"])
+
+
+def long_texts(docs: DataFrame, chunks: int) -> DataFrame:
+    """``chunk, text, key`` of each row whose text has a window; the key is the text's SHA-256."""
+    long = docs.filter(F.octet_length("text") >= LENGTH)
+    return long.select(chunk_of(F.col("text"), chunks).alias("chunk"), "text", F.sha2("text", 256).alias("key"))
+
+
+def merged_texts(texts: DataFrame) -> DataFrame:
+    """Step 0: ``chunk, text``, at most two rows of a text from each task."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            yield _first_rows(batch, 2, seen)
+    return texts.select("chunk", "text", "key").mapInArrow(merge, _schema(chunk=LongType, text=StringType))
+
+
+def _distinct(texts: pa.Table) -> list[tuple[str, int]]:
+    """A chunk's different texts in order, with the number of rows that came of each."""
+    return sorted(Counter(texts.column("text").to_pylist()).items())
 
 
 def _batch(schema: StructType, rows: list[tuple]) -> pa.RecordBatch:
@@ -143,11 +168,14 @@ def _split(order: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield int(keys[group[0]]), group
 
 
-def counted_names(docs: DataFrame, parts: int) -> DataFrame:
-    """Step 1: names of smallest strings and their counts, by part of the name space and chunk."""
+def counted_names(texts: DataFrame, parts: int) -> DataFrame:
+    """Step 1: names of smallest strings and their counts, by part of the name space and chunk.  A text
+    that several tasks have counts for each, which marks more names and loses none."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
         for batch in batches:
             names, chunks = [], []
+            batch = _first_rows(batch, 1, seen)
             for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = raw_bytes(text)
                 if len(x) >= LENGTH:
@@ -163,7 +191,7 @@ def counted_names(docs: DataFrame, parts: int) -> DataFrame:
                         values, counts = np.unique(name[here], return_counts=True)
                         rows.append((p, c, values.tobytes(), counts.astype(np.int64).tobytes()))
             yield _batch(COUNTED, rows)
-    return docs.select("chunk", "text").mapInArrow(scan, COUNTED)
+    return texts.select("chunk", "text", "key").mapInArrow(scan, COUNTED)
 
 
 def marked_names(counted: DataFrame) -> DataFrame:
@@ -220,7 +248,7 @@ def dealt_pieces(docs: DataFrame, marked: DataFrame, blocks: int) -> DataFrame:
         place = np.argsort(known)
         known, hot = known[place], hot[place]
         heads, data, singles = [], [], []
-        for number, text in enumerate(sorted(texts.column("text").to_pylist())):
+        for number, (text, _) in enumerate(_distinct(texts)):
             x = raw_bytes(text)
             name, start = runs(x)
             at = np.minimum(np.searchsorted(known, name), len(known) - 1)
@@ -344,7 +372,7 @@ def cut_texts(texts: DataFrame, repeats: DataFrame, keep_bytes: bool) -> DataFra
         span = np.concatenate(spans) if spans else np.empty((0, 3), np.int64)
         by_row = dict(_split(np.arange(len(span)), span[:, 0])) if len(span) else {}
         result = []
-        for number, (text, copies) in enumerate(sorted(zip(rows.column("text").to_pylist(), rows.column("copies").to_pylist(), strict=True))):
+        for number, (text, copies) in enumerate(_distinct(rows)):
             x = raw_bytes(text)
             if copies > 1:
                 kept, removed, pieces = x[:0], len(x), 1
@@ -363,14 +391,14 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = 1 + size // CHUNK_BYTES
-    texts = stored(distinct_texts(rows, chunks), "distinct-texts")
+    texts = long_texts(rows, chunks)
     # A part of the names is some megabytes of longs.
     parts = 1 + size // (32 * CHUNK_BYTES)
     marked = stored(marked_names(counted_names(texts, max(parts, chunks // 4 + 1))), "repeated-names")
     found = marked.agg(F.sum("found")).first()[0] or 0
     blocks = 1 + found * RUN_BYTES // BLOCK_BYTES
-    repeats = stored(repeated_windows(dealt_pieces(texts, marked, blocks)), "repeated-windows")
-    cuts = cut_texts(texts, repeats, keep_bytes)
+    repeats = stored(repeated_windows(dealt_pieces(merged_texts(texts), marked, blocks)), "repeated-windows")
+    cuts = cut_texts(merged_texts(texts), repeats, keep_bytes)
     whole = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"),
                         *([F.col("text").cast("binary").alias("raw")] if keep_bytes else []))
     joined = whole.join(cuts, whole["own"] == cuts["key"], "left")
