@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from verbaloom.operators import lexicon_table, names, parser, tagger, views, vocabulary
+from verbaloom.operators import abbreviations, lemmatizer, lexicon_table, names, parser, segment, tagger, views, vocabulary
 from verbaloom.plans import annotate
 from verbaloom.schemas import UPOS_TAGS
 
@@ -171,3 +171,40 @@ def test_many_names_do_not_grow_the_plan(spark):
         plans.append(len(told._jdf.queryExecution().optimizedPlan().toString()))
         assert [r.text for r in views.entity_view(told).collect()] == (["name 77777 x y z"] if size > 10 else [])
     assert abs(plans[0] - plans[1]) < 200
+
+
+def test_lemmas_of_unknown_words_follow_their_endings(spark):
+    """Rules learned from four fifths of regular forms give the rest their lemmas."""
+    draw = random.Random(8)
+    stems = sorted({"".join(draw.choices("bdfgklmnprt", k=2)) + draw.choice("aiou") + "".join(draw.choices("bdfgklmnprt", k=2)) for _ in range(400)})
+    pairs = [(s + e, s, "VERB") for s in stems for e in ("ed", "ing", "")] + [(s + e, s + a, "NOUN") for s in stems for e, a in (("s", ""), ("ies", "y"))]
+    draw.shuffle(pairs)
+    cut = len(pairs) * 4 // 5
+    rows = [("en", *p) for p in pairs[:cut]] + [("en", "went", "go", "VERB"), ("en", "went", "go", "VERB"), ("en", "went", "wend", "VERB"), (None, "xs", "x", "NOUN"), ("en", "", "e", "X"), ("en", "y", None, "X")]
+    model = lemmatizer.train_lemmatizer(spark.createDataFrame(rows, "lang string, FORM string, LEMMA string, UPOS string"))
+    words = [*pairs[cut:], ("Went", "go", "VERB"), ("Unknown", "unknown", "ADV")]
+    held = sentences_of(spark, [("en", " ".join(f for f, _, _ in words))], "tokenize")
+    tagged = lexicon_table.with_word_values(held, {"upos": F.array(*[F.lit(t) for _, _, t in words])})
+    told = [w.lemma for w in lemmatizer.apply_lemmas(tagged, model).first().words]
+    assert told[-2:] == ["go", "unknown"]
+    right = sum(t == lemma for t, (_, lemma, _) in zip(told, words, strict=True))
+    assert right >= 0.97 * len(words)
+
+
+def test_abbreviations_and_their_sentences(spark):
+    draw = random.Random(9)
+    text = " ".join(f"{''.join(draw.choices('abcdefghij', k=6))} Dr. Smith left{'.' if i % 3 == 0 else ' and'} it cost {i}.14 then" for i in range(200))
+    docs = spark.createDataFrame([(1, "en", text), (2, "en", None), (3, None, "a. b"), (4, "de", "")], "doc_id long, lang string, text string")
+    found = abbreviations.abbreviations(docs)
+    assert "dr" in {r.word for r in found.filter("lang = 'en'").collect()} and not {"smith", "left", "then"} & {r.word for r in found.collect()}
+    texts = [("en", "It is 3.14 today. Dr. Smith left."), ("en", "No dr.\nNew line. 3. 4"), ("en", "Dr. dr... Dr.! x"), ("de", "Dr. Smith."), (None, None), ("en", "퟿ Dr.")]
+    own = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(texts)], "doc_id long, lang string, text string")
+    listed = spark.createDataFrame([("en", "dr"), ("en", "dr")], "lang string, word string")
+    got = {}
+    for r in abbreviations.split_by_abbreviations(own, listed).orderBy("doc_id", "sent_ix").collect():
+        got.setdefault(r.doc_id, []).append((r.sent_ix, r.text))
+    assert got == {
+        0: [(1, "It is 3.14 today."), (2, "Dr. Smith left.")], 1: [(1, "No dr."), (2, "New line."), (3, "3."), (4, "4")],
+        2: [(1, "Dr. dr..."), (2, "Dr.!"), (3, "x")], 3: [(1, "Dr."), (2, "Smith.")], 5: [(1, "퟿ Dr.")]}
+    unlisted = spark.createDataFrame([(1, "en", "A b. C d! E\nf")], "doc_id long, lang string, text string")
+    assert [r.text for r in abbreviations.split_by_abbreviations(unlisted, listed).orderBy("sent_ix").collect()] == [r.text for r in segment.split_sentences(unlisted).orderBy("sent_ix").collect()]
