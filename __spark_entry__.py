@@ -22,10 +22,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import duckdb_checks  # noqa: E402
 import duckdb_learned  # noqa: E402
-from verbaloom.functions import sheet_name, slug, time_stamp  # noqa: E402
+from verbaloom.functions import layer_list, sheet_name, slug, time_stamp  # noqa: E402
 from verbaloom.operators import abbreviations, chartdata, frequencies, lemmatizer, lexicon_table, matrix, names, parser  # noqa: E402
 from verbaloom.operators import segment, tagger, views  # noqa: E402
-from verbaloom.operators.cooccurrence import cooccurrences  # noqa: E402
+from verbaloom.operators.cooccurrence import cooccurrences, heaviest_cooccurrences  # noqa: E402
 from verbaloom.operators.whitespace import whitespace_tokens  # noqa: E402
 from verbaloom.plans import annotate, chart_pack, export_all, stats_pack, store_annotation, summary_pack  # noqa: E402
 from verbaloom.schemas import TOKEN_COLUMNS, UPOS_TAGS  # noqa: E402
@@ -38,9 +38,10 @@ from verbaloom.sinks import (  # noqa: E402
     sentence_objects,
     write_conllu,
     write_report,
+    write_tables,
     write_tokens,
 )
-from verbaloom.sources import corpus_from_table, decode_text, read_tokens, without_markup  # noqa: E402
+from verbaloom.sources import corpus_from_table, decode_text, read_text_files, read_tokens, without_markup  # noqa: E402
 
 try:
     import corpus_pipeline
@@ -286,6 +287,50 @@ def _abbreviation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abbreviations.split_by_abbreviations(docs, listed)
 
 
+def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts as files, every second one in Latin-1, read back and split."""
+    path = _shared_path(spark, "texts")
+    latin = F.encode(F.regexp_replace("text", r"[^\x00-\xff]", "?"), "ISO-8859-1")
+    content = F.when(F.col("item_id") % 2 == 1, latin).otherwise(F.encode("text", "UTF-8"))
+    files = _table(spark, sf_dir, "benchmark").select("item_id", content.cast("string").alias("value"))
+    files.write.partitionBy("item_id").text(path)
+    docs = read_text_files(spark, path, "en")
+    item = F.regexp_extract("doc_id", r"item_id=(\d+)", 1).cast("long").alias("item_id")
+    return segment.split_sentences(docs).select(item, "sent_ix", "text")
+
+
+def _pack_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics as a pack of tables that is written, and read back from where it went."""
+    pack = stats_pack(_stored(spark, sf_dir, "tokenize,mwt,pos,lemma,depparse,ner"))
+    places = write_tables(pack, _shared_path(spark, "pack"))
+    return _long({name: spark.read.parquet(place) for name, place in places.items()})
+
+
+def _export_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything is exported; what is read back is added up by export and document, contents by a checksum."""
+    written = export_all(annotate(_documents(spark, sf_dir)), _shared_path(spark, "export"), report=True)
+    doc = F.col("doc_id").cast("long").alias("doc_id")
+    tokens = read_tokens(spark, written["tsv"])
+    told = {
+        "tsv": tokens.select(doc, F.concat_ws("|", *[F.col(c).cast("string") for c in TOKEN_COLUMNS]).alias("content")),
+        "conllu": read_conllu(spark, written["conllu"]).select(doc, F.col("block").alias("content")),
+        "json": spark.read.json(written["json"], schema="doc_id long, index long, text string").select(
+            doc, F.concat_ws("|", F.col("index").cast("string"), "text").alias("content")),
+        "tokens": spark.read.parquet(written["summary/tokens"]).select(
+            F.lit(0).cast("long").alias("doc_id"), F.concat_ws("|", "FORM", "LEMMA", F.col("sent_ix").cast("string"), F.col("tok_ix").cast("string")).alias("content")),
+    }
+    check = F.conv(F.substring(F.md5(F.col("content").cast("binary")), 1, 8), 16, 10).cast("long")
+    return functools.reduce(DataFrame.unionByName, [
+        t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(check).alias("checksum")).select(F.lit(n).alias("export"), "doc_id", "rows", "checksum")
+        for n, t in told.items()])
+
+
+def _layer_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = F.concat_ws(",", F.when(F.col("l_partkey") % 2 == 0, " ner"), F.lit("tokenize "), F.when(F.col("l_suppkey") % 3 == 0, "lemma"),
+                        F.when(F.col("l_linenumber") > 3, "odd"), F.when(F.col("l_partkey") % 5 == 0, "pos,,pos"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(",", layer_list(lists)).alias("layers"))
+
+
 def _learned_queries() -> dict[str, Query]:
     return {
         "lexicon_words": lambda spark, d: views.word_view(_lexicon_words(spark, d)).select(
@@ -297,6 +342,11 @@ def _learned_queries() -> dict[str, Query]:
         "flat_parsed_trees": _flat_parsed_trees,
         "table_names": _table_names,
         "suffix_lemmas": _suffix_lemmas,
+        "cooc_sent_heaviest": lambda spark, d: heaviest_cooccurrences(_stored(spark, d, "tokenize,mwt,lemma")),
+        "text_files": _text_files,
+        "pack_written_long": _pack_written,
+        "export_contents": _export_contents,
+        "layer_lists": _layer_lists,
         "found_abbreviations": lambda spark, d: abbreviations.abbreviations(_shortened(spark, d)),
         "abbreviation_sentences": _abbreviation_sentences,
     }

@@ -5,6 +5,7 @@ Patterns, tags and formulas are written out here once more, so that they check t
 
 from __future__ import annotations
 
+from duckdb_checks import statements as _older
 from duckdb_checks import text as _sql_text
 from duckdb_checks import with_layers
 from verbaloom.operators.parser import baseline_parser
@@ -89,6 +90,16 @@ attached AS (SELECT s, taken AS word, head, numbers FROM states WHERE taken IS N
 SHORTENED = r"regexp_replace(regexp_replace(text, ' (de|en|le|on|un) ', ' {0}. ', {1}), ' (of|la) ', ' 3.14 {0}. ', {1})"
 
 
+def _contents() -> str:
+    conllu = _older()["conllu_blocks"]
+    cut = conllu.rindex("SELECT s.doc_id, s.sent_ix")
+    told = f"""{conllu[:cut]}, blocks AS ({conllu[cut:]}),
+told AS (SELECT 'tsv' AS export, doc_id, concat_ws('|', sent_ix, tok_ix, FORM, LEMMA, UPOS, XPOS, HEAD, DEPREL, NER) AS content FROM tokens
+  UNION ALL SELECT 'conllu', doc_id, block FROM blocks UNION ALL SELECT 'json', doc_id, concat_ws('|', sent_ix, text) FROM sentences
+  UNION ALL SELECT 'tokens', 0, concat_ws('|', FORM, LEMMA, sent_ix, tok_ix) FROM tokens)"""
+    return told + """ SELECT export, doc_id, count(*) AS "rows", sum(('0x' || substr(md5(content), 1, 8))::BIGINT)::BIGINT AS checksum FROM told GROUP BY ALL"""
+
+
 def _rule_tagged(docs: str) -> str:
     """Words of the rule annotator: ``words`` of ``with_layers``, without its leading WITH."""
     return with_layers(docs).removeprefix("WITH ")
@@ -166,6 +177,17 @@ borders AS (SELECT *, CASE WHEN after IS NOT NULL AND after <> chr(10) AND ((reg
 numbered AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM borders),
 sents AS (SELECT doc_id, lang, s, string_agg(p, '' ORDER BY i) AS text FROM numbered GROUP BY ALL)
 SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS sent_ix, trim(text, {spaces}) AS text FROM sents WHERE regexp_matches(text, '[^\p{Z}\p{Cc}]')""".replace("{spaces}", _sql_text(SPACES)),
+        "cooc_sent_heaviest": _older()["cooc_sent"],
+        "pack_written_long": _older()["stats_pack_long"],
+        "text_files": r"""WITH docs AS (SELECT item_id, CASE WHEN item_id % 2 = 1 THEN regexp_replace(text, '[^\x00-\xff]', '?', 'g') ELSE text END AS text FROM benchmark),
+pieces AS (SELECT item_id, list_filter(regexp_extract_all(regexp_replace(text, '\r\n?', chr(10), 'g'), '[^.!?…\n]+[.!?…]*|[.!?…]+'), lambda s: regexp_matches(s, '[^\p{Z}\p{Cc}]')) AS ss FROM docs)
+SELECT item_id, unnest(range(1, len(ss) + 1)) AS sent_ix, trim(unnest(ss), {spaces}) AS text FROM pieces""".replace("{spaces}", _sql_text(SPACES)),
+        "layer_lists": """WITH lists AS (SELECT l_orderkey, l_linenumber, [trim(x) FOR x IN string_split(concat_ws(',',
+  CASE WHEN l_partkey % 2 = 0 THEN ' ner' END, 'tokenize ', CASE WHEN l_suppkey % 3 = 0 THEN 'lemma' END, CASE WHEN l_linenumber > 3 THEN 'odd' END,
+  CASE WHEN l_partkey % 5 = 0 THEN 'pos,,pos' END), ',')] AS names FROM lineitem)
+SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN list_contains(names, 'tokenize') THEN 'tokenize' END, CASE WHEN list_contains(names, 'pos') THEN 'pos' END,
+  CASE WHEN list_contains(names, 'lemma') THEN 'lemma' END, CASE WHEN list_contains(names, 'ner') THEN 'ner' END, CASE WHEN list_contains(names, 'odd') THEN 'odd' END) AS layers FROM lists""",
+        "export_contents": _contents(),
         "table_names": f"WITH RECURSIVE {documents}" + r""", b_tokens AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{Z}\p{Cc}\p{L}\p{M}\p{N}_]') AS ts FROM benchmark),
 listed AS (SELECT min(['PER', 'LOC', 'ORG', 'WORK'][(item_id + size) % 4 + 1]) AS type, lower(array_to_string(ts[start : start + size - 1], ' ')) AS name, len(any_value(ts[start : start + size - 1])) AS size
   FROM b_tokens, (VALUES (2, 1), (1, 2), (1, 5), (4, 3), (3, 12)) AS x(start, size) WHERE len(ts) >= start GROUP BY 2),
