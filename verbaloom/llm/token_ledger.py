@@ -2,8 +2,8 @@
 
 A ledger is a folder with three tables.  ``rows`` has one signed row per document, tokenizer
 version and change: an insert adds +1, a delete repeats the row it takes back with -1, a
-revision is both.  A row is known by its id and the SHA-256 of its text, since ids may be null
-or stand on several texts.  ``deltas`` has each batch's sums of these by source, language and tokenizer
+revision is both.  A row is known by its id and 128 bits of the SHA-256 of its text, since ids may
+be null or stand on several texts.  ``deltas`` has each batch's sums of these by source, language and tokenizer
 version.  ``commits`` names the batches that count.  A batch first replaces its own part of
 ``rows`` and ``deltas`` and is then named in ``commits``; one that is named already is not
 applied again, and one that failed half-way is not seen by readers and is simply repeated.
@@ -41,7 +41,7 @@ TOKENIZERS = {"byte_bpe_50k@1": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k@1":
 #: The pattern that splits text before merges; a fixed value that belongs to the rank files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEYS = ["source", "lang", "tokenizer"]
-ROW = "doc_id long, text_sha256 string, source string, lang string, tokenizer string, n_tokens long, n_chars long, sign int"
+ROW = "doc_id long, text_key binary, source string, lang string, tokenizer string, n_tokens long, n_chars long, sign int"
 #: Characters after which a text is cut at the next space behind an ASCII letter or digit: no
 #: match of ``SPLIT`` spans that border, and one very long text takes bounded memory.
 PIECE = 1 << 20
@@ -75,7 +75,7 @@ def token_count(text: Column, file: str, folder: str = FOLDER) -> Column:
 
 
 def text_key(docs: DataFrame) -> Column:
-    return F.sha2(docs["text"], 256).alias("text_sha256")
+    return F.unhex(F.substring(F.sha2(docs["text"], 256), 1, 32)).alias("text_key")
 
 
 class TokenLedger:
@@ -97,11 +97,11 @@ class TokenLedger:
         versions = F.explode(F.array(*[
             F.struct(F.lit(name).alias("tokenizer"), F.col(f"t{i}").alias("n_tokens")) for i, name in enumerate(self.tokenizers)]))
         return wide.select("*", versions.alias("v")).select(
-            "doc_id", "text_sha256", "source", "lang", "v.tokenizer", "v.n_tokens", "n_chars", F.lit(1).alias("sign"))
+            "doc_id", "text_key", "source", "lang", "v.tokenizer", "v.n_tokens", "n_chars", F.lit(1).alias("sign"))
 
     def live(self) -> DataFrame:
         """Rows that are inserted and not taken back, with their number as ``sign``."""
-        return self._committed("rows", ROW).groupBy("doc_id", "text_sha256", *KEYS, "n_tokens", "n_chars").agg(
+        return self._committed("rows", ROW).groupBy("doc_id", "text_key", *KEYS, "n_tokens", "n_chars").agg(
             F.sum("sign").cast("int").alias("sign")).filter("sign > 0")
 
     def taken_back(self, docs: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ class TokenLedger:
         gone = gone.distinct()
         same = live["doc_id"].eqNullSafe(gone["gone_id"])
         if "text" in docs.columns:
-            same &= live["text_sha256"].eqNullSafe(gone["gone_text"])
+            same &= live["text_key"].eqNullSafe(gone["gone_text"])
         return live.join(gone, same, "left_semi").withColumn("sign", -F.col("sign"))
 
     def revised(self, docs: DataFrame) -> DataFrame:
