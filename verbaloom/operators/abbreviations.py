@@ -27,7 +27,7 @@ BOUND = 0.99
 LEAST = 0.3
 WORD_PATTERN = r"\p{L}+\.?"
 LAST_WORD = r"(\p{L}+)\.$"
-BORDER = "￿"
+BORDER = "\uffff"
 
 
 def stop_counts(docs: DataFrame) -> DataFrame:

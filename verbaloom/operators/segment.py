@@ -17,8 +17,8 @@ TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}_]+|[^\p{Z}\p{Cc}\p{L}\p{M}\p{N}_]"
 INK_PATTERN = r"[^\p{Z}\p{Cc}]"
 # What is stripped from both ends of a sentence.
 SPACES = (
-    " \t\r\f\x0b            "
-    "     　"
+    " \t\r\f\x0b\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
