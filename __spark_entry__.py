@@ -347,6 +347,7 @@ def _learned_queries() -> dict[str, Query]:
         "pack_written_long": _pack_written,
         "export_contents": _export_contents,
         "layer_lists": _layer_lists,
+        "flat_cooc_wide": _flat(lambda t: cooccurrences(t, 1000, by_sent=False, top=None)),
         "found_abbreviations": lambda spark, d: abbreviations.abbreviations(_shortened(spark, d)),
         "abbreviation_sentences": _abbreviation_sentences,
     }

@@ -188,6 +188,7 @@ SELECT item_id, unnest(range(1, len(ss) + 1)) AS sent_ix, trim(unnest(ss), {spac
 SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN list_contains(names, 'tokenize') THEN 'tokenize' END, CASE WHEN list_contains(names, 'pos') THEN 'pos' END,
   CASE WHEN list_contains(names, 'lemma') THEN 'lemma' END, CASE WHEN list_contains(names, 'ner') THEN 'ner' END, CASE WHEN list_contains(names, 'odd') THEN 'odd' END) AS layers FROM lists""",
         "export_contents": _contents(),
+        "flat_cooc_wide": _older()["flat_cooc_doc"].replace("unnest(range(1, 4))", "unnest(range(1, 1001))"),
         "table_names": f"WITH RECURSIVE {documents}" + r""", b_tokens AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{Z}\p{Cc}\p{L}\p{M}\p{N}_]') AS ts FROM benchmark),
 listed AS (SELECT min(['PER', 'LOC', 'ORG', 'WORK'][(item_id + size) % 4 + 1]) AS type, lower(array_to_string(ts[start : start + size - 1], ' ')) AS name, len(any_value(ts[start : start + size - 1])) AS size
   FROM b_tokens, (VALUES (2, 1), (1, 2), (1, 5), (4, 3), (3, 12)) AS x(start, size) WHERE len(ts) >= start GROUP BY 2),

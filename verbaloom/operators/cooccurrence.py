@@ -21,6 +21,8 @@ from verbaloom.schemas import is_nested, require_columns
 
 # Positions that one window task takes at a time, and rows of a table of offsets as well.
 BLOCK_BITS = 16
+# Positions of a block whose terms are one row, unless the window is longer.
+ROW_BITS = 12
 
 
 def cooccurrences(
@@ -143,26 +145,33 @@ def _ordered_pairs(
     """Pairs from the reading order of flat rows, without those that agree in ``apart``.
 
     Every row gets its position in its document or sentence, and positions are cut into
-    blocks of fixed length.  A row also goes to the blocks that begin within ``window``
-    positions after it; a pair counts in the block of its second row.  So the plan is the
-    same for all sizes, and one document or sentence with most of the rows is many blocks.
+    blocks of fixed length, not shorter than the window.  A row also goes to the block before its
+    own if it is within ``window`` of that block's end; a pair counts in the block of its first row.
+    A block is one row, whose terms stand beside themselves, shifted by each distance.  So
+    memory is that of a block's terms, whatever the window, the plan is the same for all
+    sizes, and one document or sentence with most of the rows is many blocks.
     """
     if window == 0:
         return terms.select(F.col("term").alias("a"), F.col("term").alias("b")).where(F.lit(False))
     placed = _positions(terms, block_bits, by_sent)
     group = ["doc_id", "sent_ix"] if by_sent else ["doc_id"]
-    own = F.shiftright("pos", block_bits)
-    last = F.shiftright(F.col("pos") + window, block_bits)
-    copied = placed.withColumn("own", own).withColumn("block", F.explode(F.sequence("own", last)))
-    ahead = W.partitionBy(*group, "block").orderBy("pos").rowsBetween(1, window)
+    bits = max(min(block_bits, ROW_BITS), (window - 1).bit_length())
+    own = F.shiftright("pos", bits)
+    near = F.pmod("pos", F.lit(1 << bits)) < window
+    blocks = F.when(near & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    copied = placed.withColumn("own", own).withColumn("block", F.explode(blocks))
     labels = [apart] if apart else []
-    following = F.collect_list(F.struct("own", *labels, "term")).over(ahead)
-    ranked = copied.select("block", *labels, "term", following.alias("next"))
-    pairs = ranked.select("block", *labels, "term", F.explode("next").alias("next"))
-    pairs = pairs.where(F.col("next.own") == F.col("block"))
+    rows = copied.groupBy(*group, "block").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "term", *labels))).alias("seq"),
+        F.count(F.when(F.col("own") == F.col("block"), 1)).cast("int").alias("firsts"))
+    farthest = F.least(F.lit(window), F.size("seq") - 1)
+    shifted = rows.select("seq", "firsts", F.explode(_up_to(farthest)).alias("d"))
+    n = F.least("firsts", F.size("seq") - F.col("d"))
+    pairs = shifted.where(n > 0).select(F.explode(F.arrays_zip(
+        F.slice("seq", F.lit(1), n).alias("x"), F.slice("seq", F.col("d") + 1, n).alias("y"))).alias("pair"))
     if apart:
-        pairs = pairs.where(F.col(f"next.{apart}") != F.col(apart))
-    return pairs.select(F.col("term").alias("a"), F.col("next.term").alias("b"))
+        pairs = pairs.where(F.col(f"pair.x.{apart}") != F.col(f"pair.y.{apart}"))
+    return pairs.select(F.col("pair.x.term").alias("a"), F.col("pair.y.term").alias("b"))
 
 
 def _positions(terms: DataFrame, block_bits: int, by_sent: bool) -> DataFrame:
