@@ -2,11 +2,12 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from verbaloom.operators import abbreviations, lemmatizer, lexicon_table, names, parser, segment, tagger, views, vocabulary
+from verbaloom.operators import abbreviations, heaviest, lemmatizer, lexicon_table, names, parser, segment, tagger, views, vocabulary
 from verbaloom.plans import annotate
 from verbaloom.schemas import UPOS_TAGS
 
@@ -208,3 +209,18 @@ def test_abbreviations_and_their_sentences(spark):
         2: [(1, "Dr. dr..."), (2, "Dr.!"), (3, "x")], 3: [(1, "Dr."), (2, "Smith.")], 5: [(1, "퟿ Dr.")]}
     unlisted = spark.createDataFrame([(1, "en", "A b. C d! E\nf")], "doc_id long, lang string, text string")
     assert [r.text for r in abbreviations.split_by_abbreviations(unlisted, listed).orderBy("sent_ix").collect()] == [r.text for r in segment.split_sentences(unlisted).orderBy("sent_ix").collect()]
+
+
+@pytest.mark.parametrize("cells", [1, 7, 1 << 16])
+def test_heaviest_groups_are_exact(spark, cells):
+    draw = random.Random(10)
+    rows = [(draw.choice(["a", "b", None, f"k{int(draw.paretovariate(1)) % 500}"]), draw.randrange(3)) for _ in range(5000)]
+    counts = Counter(rows)
+    want = sorted(((-n, a is not None, a or "", b, a) for (a, b), n in counts.items()))
+    frame = spark.createDataFrame(rows, "a string, b int")
+    for top in (1, 10, 50, 10_000):
+        got = [(-r["count"], r.a is not None, r.a or "", r.b, r.a) for r in heaviest.heaviest(frame, ["a", "b"], top, cells).collect()]
+        assert got == want[:top]
+    if cells > 7:
+        assert heaviest.candidate_counts(frame, ["a", "b"], 10, cells).count() < len(counts) / 4
+    assert heaviest.heaviest(frame.limit(0), ["a", "b"], 5, cells).collect() == []
