@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -36,6 +37,30 @@ def test_lookup_of_frequent_and_rare_keys(spark, monkeypatch, share):
     assert vocabulary.looked_up(frame.limit(0), "keys", lexicon, "found", ["a", "b"]).collect() == []
 
 
+@pytest.mark.parametrize("share", [1, 3, 10**9])
+def test_rows_are_moved_without_answers(spark, monkeypatch, share):
+    """The maps of frequent keys are as large as thousands of rows: no shuffle may carry them, nor an expression's keys."""
+    monkeypatch.setattr(vocabulary, "SHARE", share)
+    monkeypatch.setattr(vocabulary, "ENTRIES", 0)
+    rows = [(i % 4 if i % 5 else None, i % 9, ["the", f"w{i % 6}", None, "x"][: i % 5]) for i in range(40)] + [(7, 7, None)]
+    frame = spark.createDataFrame(rows, "a long, b long, words array<string>")
+    table = [("THE", (1,)), ("W1", (2,)), ("W5", (3,)), ("Y", (4,))]
+    lexicon = spark.createDataFrame(table, "key string, value struct<n:long>")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = vocabulary.looked_up(frame, F.transform("words", F.upper), lexicon, "found", ["a", "b"])
+        told = got.collect()
+        plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not any("maps" in columns.replace("found_map", "") for columns in moved)
+    answers = dict(table)
+    want = [(a, b, words, None if words is None else [answers.get(w.upper()) if w else None for w in words]) for a, b, words in rows]
+    assert sorted(map(str, want)) == sorted(str((r.a, r.b, r.words, None if r.found is None else [None if v is None else tuple(v) for v in r.found])) for r in told)
+
+
 def test_plan_does_not_grow_with_the_lexicon(spark):
     sentences = sentences_of(spark, [("en", "The cat saw Paris."), ("de", "The Katze.")])
     plans = []

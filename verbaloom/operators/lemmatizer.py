@@ -62,7 +62,7 @@ def train_lemmatizer(words: DataFrame) -> Lemmatizer:
     return Lemmatizer(forms, checkpoint(one_value_each(rules, "key", [-F.col("n"), F.col("cut"), F.col("added")], ["cut", "added"])))
 
 
-def lemmas_of(rows: DataFrame, keys: str, lemmatizer: Lemmatizer) -> DataFrame:
+def lemmas_of(rows: DataFrame, keys: Column, lemmatizer: Lemmatizer) -> DataFrame:
     """``key, value`` (``lemma``) for every distinct element of ``keys``."""
     parts = [F.split_part("key", F.lit(JOINT), F.lit(i)) for i in (1, 2, 3)]
     vocabulary = checkpoint(distinct_keys(rows, keys).select("key"))
@@ -81,6 +81,5 @@ def lemmas_of(rows: DataFrame, keys: str, lemmatizer: Lemmatizer) -> DataFrame:
 def apply_lemmas(sentences: DataFrame, lemmatizer: Lemmatizer) -> DataFrame:
     """``sentences`` with the lemmatizer's lemmas, by the words' forms and tags."""
     keys = F.transform("words", lambda w: word_key(F.col("lang"), w["upos"], F.lower(w["form"])))
-    keyed = sentences.withColumn("lemma_keys", keys)
-    found = looked_up(keyed, "lemma_keys", lemmas_of(keyed, "lemma_keys", lemmatizer), "lemmas", ["doc_id", "sent_ix"])
-    return with_word_values(found, {"lemma": F.transform("lemmas", lambda v: v["lemma"])}).drop("lemma_keys", "lemmas")
+    found = looked_up(sentences, keys, lemmas_of(sentences, keys, lemmatizer), "lemmas", ["doc_id", "sent_ix"])
+    return with_word_values(found, {"lemma": F.transform("lemmas", lambda v: v["lemma"])}).drop("lemmas")

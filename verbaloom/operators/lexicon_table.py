@@ -22,9 +22,9 @@ def with_word_values(sentences: DataFrame, values: dict[str, Column]) -> DataFra
     return sentences.withColumn("words", words)
 
 
-def form_keys(sentences: DataFrame, name: str = "form_keys") -> DataFrame:
-    """``sentences`` with the keys of their words' lower-case forms."""
-    return sentences.withColumn(name, F.transform("words.form", lambda form: lang_key(F.col("lang"), F.lower(form))))
+def form_keys() -> Column:
+    """The keys of a sentence's lower-case forms."""
+    return F.transform("words.form", lambda form: lang_key(F.col("lang"), F.lower(form)))
 
 
 def apply_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -33,9 +33,9 @@ def apply_lexicon(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     require_columns(lexicon, "lang", "form", "lemma", "upos")
     keyed = lexicon.withColumn("key", lang_key(F.col("lang"), F.col("form")))
     table = one_value_each(keyed, "key", [F.col("upos"), F.col("lemma")], ["lemma", "upos"])
-    found = looked_up(form_keys(sentences), "form_keys", table, "entries", ["doc_id", "sent_ix"])
+    found = looked_up(sentences, form_keys(), table, "entries", ["doc_id", "sent_ix"])
 
     def chosen(name: str) -> Column:
         pairs = F.arrays_zip(F.col("entries").alias("entry"), F.col(f"words.{name}").alias("old"))
         return F.transform(pairs, lambda p: F.coalesce(p["entry"][name], p["old"]))
-    return with_word_values(found, {"lemma": chosen("lemma"), "upos": chosen("upos")}).drop("form_keys", "entries")
+    return with_word_values(found, {"lemma": chosen("lemma"), "upos": chosen("upos")}).drop("entries")

@@ -123,7 +123,7 @@ def _candidates(scored: DataFrame) -> DataFrame:
     return checkpoint(scored.groupBy("key").agg(value.alias("value")))
 
 
-def candidates(rows: DataFrame, keys: str, tagger: Tagger) -> DataFrame:
+def candidates(rows: DataFrame, keys: Column, tagger: Tagger) -> DataFrame:
     """``key, value`` for every distinct element of ``keys``: the form's candidate tags, else those of its
     longest known ending."""
     vocabulary = checkpoint(distinct_keys(rows, keys).select("key"))
@@ -159,17 +159,15 @@ def viterbi(choices: Column, steps: list[int]) -> Column:
 
 def tag_sentences(sentences: DataFrame, tagger: Tagger) -> DataFrame:
     """``sentences`` with the tagger's tags."""
-    keyed = form_keys(sentences)
-    found = looked_up(keyed, "form_keys", candidates(keyed, "form_keys", tagger), "choices", ["doc_id", "sent_ix"])
-    return with_word_values(found, {"upos": viterbi(F.col("choices"), tagger.steps)}).drop("form_keys", "choices")
+    found = looked_up(sentences, form_keys(), candidates(sentences, form_keys(), tagger), "choices", ["doc_id", "sent_ix"])
+    return with_word_values(found, {"upos": viterbi(F.col("choices"), tagger.steps)}).drop("choices")
 
 
 def tag_tokens(tokens: DataFrame, tagger: Tagger) -> DataFrame:
     """A flat token table's ``doc_id, lang, sent_ix, tok_ix, FORM`` with the tagger's ``UPOS``."""
     rows = sentence_rows(tokens)
     keys = F.transform("items.FORM", lambda form: lang_key(F.col("lang"), F.lower(F.coalesce(form, F.lit("_")))))
-    keyed = rows.withColumn("form_keys", keys)
-    found = looked_up(keyed, "form_keys", candidates(keyed, "form_keys", tagger), "choices", ["doc_id", "lang", "sent_ix"])
+    found = looked_up(rows, keys, candidates(rows, keys, tagger), "choices", ["doc_id", "lang", "sent_ix"])
     zipped = F.arrays_zip(F.col("items").alias("item"), viterbi(F.col("choices"), tagger.steps).alias("tag"))
     out = found.select("doc_id", "lang", "sent_ix", F.explode(zipped).alias("z"))
     return out.select("doc_id", "lang", "sent_ix", F.col("z.item.tok_ix").alias("tok_ix"),

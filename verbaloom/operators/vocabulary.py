@@ -4,18 +4,22 @@ A lexicon, a list of names or a trained model is a table ``key, value`` of any s
 never part of a plan.  Each distinct key of the corpus is looked up once, by a join of the
 corpus' vocabulary with the table.  Then the answers go back to the rows by two ways:
 
-* Keys in at least one of ``SHARE`` rows go as one value, an array of small maps that is found
-  by a scalar subquery.  A row with w different keys adds w / ``rows`` to all shares, so there are
-  at most ``SHARE`` times the mean number of different keys of a row of them, whatever the corpus'
-  size and the table's.  They are the words that a join by word would send to one task.
-* The other keys are joined; none has more than a ``SHARE``-th of the rows.  What is found for a
-  row comes back as one map, joined by the row's key.  Where nothing is left, nothing moves.
+* Up to ``ENTRIES`` answers, and of more answers the keys in at least one of ``SHARE`` rows, go as one
+  value, an array of small maps that is found by a scalar subquery.  A row with w different keys adds
+  w / ``rows`` to all shares, so there are at most ``SHARE`` times the mean number of different keys of a
+  row of frequent ones, whatever the corpus' size and the table's.  They are the words that a join by
+  word would send to one task.
+* The other keys are joined; none has more than a ``SHARE``-th of the rows.  Only they leave their rows.
+  What is found for a row comes back as one map, joined by the row's key.  Where nothing is left, nothing
+  moves.  The maps of the first way are looked into after that join, so no row carries them through it.
 
 The answers are written to the shared folder in between, so building the lookup runs a job.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +28,10 @@ from verbaloom.session import checkpoint
 
 #: A key in this part of the rows counts as frequent.
 SHARE = 2_000
-#: Maps that the frequent keys are dealt out to.
-MAPS = 1_024
+#: So many answers go as one value, however rare their keys are.
+ENTRIES = 50_000
+#: Maps that the keys of that value are dealt out to.
+MAPS = 4_096
 #: Between the parts of a key; no token contains it.
 JOINT = "\t"
 
@@ -35,38 +41,40 @@ def lang_key(lang: Column, form: Column) -> Column:
     return F.concat(F.coalesce(lang, F.lit("")), F.lit(JOINT), form)
 
 
-def distinct_keys(rows: DataFrame, keys: str) -> DataFrame:
-    """``key, n`` for the keys of an array column, with the number of rows that have them."""
+def distinct_keys(rows: DataFrame, keys: str | Column) -> DataFrame:
+    """``key, n`` for the keys of an array, with the number of rows that have them."""
     return rows.select(F.explode(F.array_distinct(keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def looked_up(rows: DataFrame, keys: str, table: DataFrame, into: str, row_key: list[str]) -> DataFrame:
+def looked_up(rows: DataFrame, keys: str | Column, table: DataFrame, into: str, row_key: list[str]) -> DataFrame:
     """``rows`` with the column ``into``: the table's value, or null, for each element of ``keys``.
 
+    ``keys`` is an array of ``rows`` or an expression for one, which then is not moved with the row.
     ``table`` has ``key, value``, each key once; null elements of ``keys`` find nothing.  ``row_key`` names
     rows; rows that share it may differ in their keys.
     """
+    keys = F.col(keys) if isinstance(keys, str) else keys
     answers = checkpoint(distinct_keys(rows, keys).join(table.select("key", "value"), "key"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    frequent = answers.filter(F.col("n") * SHARE >= total)
-    rare = answers.filter(F.col("n") * SHARE < total).select("key", "value")
 
-    def common(key: Column) -> Column:
-        return F.try_element_at(F.get("frequent_maps", _map_of(key)), key)
+    def common(maps: Column, key: Column) -> Column:
+        return F.try_element_at(F.get(maps, _map_of(key)), key)
 
-    own = rows.withColumn("frequent_maps", _maps(frequent))
-    if rare.isEmpty():
-        return own.withColumn(into, F.transform(keys, common)).drop("frequent_maps")
+    maps = F.col("answer_maps")
+    if answers.count() <= ENTRIES:
+        whole = rows.withColumn("answer_maps", _maps(answers))
+        return whole.withColumn(into, F.transform(keys, lambda k: common(maps, k))).drop("answer_maps")
+    total = rows.count()
+    frequent = answers.filter(F.col("n") * SHARE >= total)
+    rare = answers.filter(F.col("n") * SHARE < total).select("key", "value")
     named = [F.col(c).alias(f"found_{i}") for i, c in enumerate(row_key)]
-    found = rows.select(*named, F.explode(F.array_distinct(keys)).alias("key")).distinct().join(rare, "key")
     names = [f"found_{i}" for i in range(len(row_key))]
-    found = found.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("found_map"))
-    same = own[row_key[0]].eqNullSafe(found[names[0]])
-    for column, name in zip(row_key[1:], names[1:], strict=True):
-        same &= own[column].eqNullSafe(found[name])
-    joined = own.join(found, same, "left")
+    left = rows.withColumn("answer_maps", _maps(frequent)).select(
+        *named, F.explode(F.filter(F.array_distinct(keys), lambda k: common(maps, k).isNull())).alias("key"))
+    found = left.join(rare, "key").groupBy(*names).agg(F.map_from_entries(F.collect_set(F.struct("key", "value"))).alias("found_map"))
+    same = functools.reduce(Column.__and__, [rows[c].eqNullSafe(found[n]) for c, n in zip(row_key, names, strict=True)])
+    joined = rows.join(found, same, "left").withColumn("answer_maps", _maps(frequent))
     return joined.withColumn(into, F.transform(
-        keys, lambda k: F.coalesce(common(k), F.try_element_at(F.col("found_map"), k)))).drop(*names, "found_map", "frequent_maps")
+        keys, lambda k: F.coalesce(common(maps, k), F.try_element_at(F.col("found_map"), k)))).drop(*names, "found_map", "answer_maps")
 
 
 def _map_of(key: Column) -> Column:

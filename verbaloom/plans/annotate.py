@@ -35,5 +35,5 @@ def store_annotation(sentences: DataFrame, path: str, mode: str = "errorifexists
     Annotate once, then run exports and statistics from the file: each of them reads only
     the word properties it needs, and a lost executor costs a read, not a new annotation.
     """
-    sentences.write.mode(mode).parquet(path)
+    sentences.write.mode(mode).option("compression", "zstd").parquet(path)
     return sentences.sparkSession.read.schema(sentences.schema).parquet(path)
