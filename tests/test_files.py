@@ -253,3 +253,27 @@ def test_scalars(spark):
         clean_field(F.lit("a\tb")), time_stamp(F.lit("2024-03-05 06:07:08").cast("timestamp")),
     ))[0]
     assert got == ("   ñu", "longer", "_", "_", "a b", "20240305-060708")
+
+
+def test_compressed_exports_read_back(spark, sentences, tmp_path):
+    """Plain exports are many times the corpus, so they can be written compressed; the readers see the same."""
+    from verbaloom.sinks import read_conllu
+    plain = export_all(sentences, str(tmp_path / "plain"), report=True)
+    packed = export_all(sentences, str(tmp_path / "packed"), report=True, compression="gzip")
+    for name in ("tsv", "conllu", "json", "report"):
+        parts = [p.name for p in Path(packed[name]).iterdir() if p.name.startswith("part-")]
+        assert parts and all(p.endswith(".gz") for p in parts)
+    assert not [p for p in Path(plain["tsv"]).iterdir() if p.name.endswith(".gz")]
+    readers = {
+        "tsv": read_tokens, "conllu": read_conllu, "report": read_report,
+        "json": lambda s, path: s.read.text(path),
+    }
+    for name, read in readers.items():
+        assert sorted(rows(read(spark, packed[name]))) == sorted(rows(read(spark, plain[name]))) != []
+
+
+def test_stored_annotation_and_tables_are_zstd(spark, sentences, tmp_path):
+    store_annotation(sentences, str(tmp_path / "a"))
+    write_tables({"t": spark.range(3)}, str(tmp_path / "t"))
+    for folder in (tmp_path / "a", tmp_path / "t" / "t"):
+        assert all(".zstd." in p.name for p in folder.iterdir() if p.name.startswith("part-"))
