@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -265,3 +266,22 @@ def test_counts_add_up(spark):
         assert counts.agg(F.sum("count")).first()[0] == n
     assert frequencies.sentence_lengths(df).agg(F.sum("length")).first()[0] == n
     assert all(r[2] % 2 == 0 for r in rows(cooccurrences(df, 2)))
+
+
+def test_sentences_of_one_stretch_move_once(spark):
+    """Numbered rows stay where they are, to meet their stretch's start and to form blocks; longer sentences count as well."""
+    rows_in = [(doc, sent, tok, f"f{(tok * 7 + (sent or 0)) % 5}") for doc in (1, 2, None) for sent in (1, 2) for tok in range(1, 4 if sent == 1 else 30)]
+    frame = spark.createDataFrame(rows_in, "doc_id long, sent_ix long, tok_ix long, FORM string").selectExpr("*", "FORM AS LEMMA")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cooccurrences(frame, 3, top=None, block_bits=2)
+        told = {(r["left"], r["right"]): r["count"] for r in got.collect()}
+        plan = spark._jvm.PythonSQLUtils.explainString(cooccurrences(frame, 3, top=None)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    sequences = [[r[3] for r in rows_in if r[:2] == (doc, sent)] for doc in (1, 2, None) for sent in (1, 2)]
+    assert told == brute_pairs(sequences, 3)
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: (hashpartitioning\(.*)", plan)
+    # Terms move by their stretch, and by sentence only where it has several: no third time, to meet the starts.
+    assert sum("in_run" in columns for columns, _ in moved) == 0
