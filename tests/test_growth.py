@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from verbaloom.operators import windows
 from verbaloom.operators.cooccurrence import WIDE, _ordered_pairs, cooccurrences
+from verbaloom.operators.lexicon import Lexicon
+from verbaloom.plans import annotate
 
 
 def _flat(spark, data):
@@ -50,3 +52,30 @@ def test_pairs_of_a_wide_window_are_counted_in_their_block(spark):
     pairs = _ordered_pairs(terms, 500, 16, False)
     assert pairs.count() <= 9
     assert pairs.agg(F.sum("rows")).first()[0] == sum(min(500, 1999 - i) for i in range(2000))
+
+
+def _annotated(spark, texts, layers, lexicon=None):
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    return annotate(docs, layers, lexicon=lexicon)
+
+
+def test_what_follows_from_a_tag_is_not_searched(spark):
+    """Relations are elements of an array by the tag's number, not entries of a map of tags."""
+    bare = Lexicon(tags={}, contractions={}, names={})
+    plan = _annotated(spark, ["A b."], "tokenize,depparse", bare)._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_element_at" not in plan and "keys:" not in plan
+
+
+def test_capitals_at_the_opening_with_own_tags(spark):
+    """Only the capital's rule minds the opening; a listed tag stays, also in split tokens and odd tags."""
+    lexicon = Lexicon(tags={("en", "ann"): ("ann", "PROPN"), ("en", "odd"): ("odd", "ODD")},
+                      contractions={("en", "Xy".lower()): ["Not", "Us"]}, names={})
+    texts = ["Ann saw Bob", "\"Bob saw Odd", "Xy saw Ann Xy", "Éa Éb 12 ...", "...", "- Odd"]
+    got = _annotated(spark, texts, "tokenize,mwt,pos,depparse,ner", lexicon).orderBy("doc_id").select(
+        "words.upos", "words.deprel", "words.head", "entities.text").collect()
+    assert [r["upos"] for r in got] == [
+        ["PROPN", "NOUN", "PROPN"], ["PUNCT", "NOUN", "NOUN", "ODD"], ["NOUN", "NOUN", "NOUN", "PROPN", "PROPN", "PROPN"],
+        ["NOUN", "PROPN", "NUM", "PUNCT", "PUNCT", "PUNCT"], ["PUNCT"] * 3, ["PUNCT", "ODD"]]
+    assert [r["deprel"] for r in got][:2] == [["root", "obl", "nmod"], ["punct", "root", "obl", "dep"]]
+    assert [r["head"] for r in got][4] == [0, 1, 1]
+    assert [r["text"] for r in got] == [["Ann", "Bob"], [], ["Ann Xy"], ["Éb"], [], []]
