@@ -1,12 +1,13 @@
 """What a step makes per input row stays bounded, with the results of the plain way."""
 
 import random
+from collections import Counter
 
 import pytest
 from golden import brute_pairs, rows
 from pyspark.sql import functions as F
 
-from verbaloom.operators import windows
+from verbaloom.operators import cooccurrence, windows
 from verbaloom.operators.cooccurrence import WIDE, _ordered_pairs, cooccurrences
 from verbaloom.operators.lexicon import Lexicon
 from verbaloom.plans import annotate
@@ -54,6 +55,56 @@ def test_pairs_of_a_wide_window_are_counted_in_their_block(spark):
     assert pairs.agg(F.sum("rows")).first()[0] == sum(min(500, 1999 - i) for i in range(2000))
 
 
+def _sentences(spark, data):
+    """A sentences table of ``(doc, sentence, terms)``, whose rows may share their sentence."""
+    word = "transform(terms, (t, i) -> named_struct('part', 1, 'tok_form', t, 'lemma', t)) AS words"
+    return spark.createDataFrame(data, "doc_id long, sent_ix long, terms array<string>").repartition(3).selectExpr("doc_id", "sent_ix", word)
+
+
+def test_pairs_of_a_narrow_window_are_counted_before_they_are_rows(spark, monkeypatch):
+    """Three terms are six rows, with or without sentences to cross; where few are held, counts are told in parts."""
+    df = _sentences(spark, [(1, s, list("abc") * 20) for s in range(1, 40)]).coalesce(1)
+    rows_ = df.selectExpr("words.lemma AS terms", "size(words) AS firsts")
+    assert windows.near_pairs(rows_, 3).count() == 6
+    expected = {r[:2]: r[2] for r in rows(cooccurrences(df, 3, by_sent=False, top=None))}
+    assert expected == brute_pairs([list("abc") * 20 * 39], 3)
+    for name, limit in (("TERMS", 100), ("PAIRS", 2), ("NAMES", 2), ("ROWS", 2)):
+        monkeypatch.setattr(windows, name, limit)
+    assert windows.near_pairs(rows_, 3).count() > 6
+    assert {r[:2]: r[2] for r in rows(cooccurrences(df, 3, by_sent=False, top=None))} == expected
+
+
+@pytest.mark.parametrize("window", [1, 3, 6])
+@pytest.mark.parametrize("block_bits", [1, 2, 16])
+def test_sentences_that_share_their_number(spark, window, block_bits):
+    """Rows of one sentence are one when they meet the next; a pair inside a row is near in that row."""
+    rng = random.Random(window)
+    data = [(d, s, [rng.choice("abcd") for _ in range(rng.choice([0, 1, 2, 5]))])
+            for d in (1, 2) for s in (1, 2, 2, 3, 4, 4, 4, 5, 300)]
+    expected = Counter()
+    for _, _, terms in data:
+        expected.update({p: n for p, n in brute_pairs([terms], window).items()})
+    for doc in (1, 2):
+        placed = sorted((s, i, t) for d, s, terms in data if d == doc for i, t in _ends(terms, window))
+        for i, (s, _, a) in enumerate(placed):
+            for z, _, b in placed[i + 1 : i + 1 + window]:
+                if s != z:
+                    expected[min(a, b), max(a, b)] += 2
+    got = cooccurrences(_sentences(spark, data), window, by_sent=False, top=None, block_bits=block_bits)
+    assert {(a, b): n for a, b, n in rows(got)} == expected
+
+
+def _ends(terms, window):
+    placed = list(enumerate(terms))
+    return placed if len(placed) <= 2 * window else placed[:window] + placed[-window:]
+
+
+def test_sentences_move_as_one_row(spark):
+    """What meets across sentences is not taken apart into a row for each term."""
+    ends = cooccurrence._sentence_ends(cooccurrence._sequences(_sentences(spark, [(1, s, list("abcd")) for s in range(9)]), True, None, True), 3)
+    assert ends.count() == 9
+
+
 def _annotated(spark, texts, layers, lexicon=None):
     docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
     return annotate(docs, layers, lexicon=lexicon)
