@@ -1,4 +1,4 @@
-"""Dependency trees by shift and reduce, as a fold inside a sentence's row.
+"""Dependency trees by shift and reduce, inside a sentence's row; the sentences of a batch take steps together.
 
 Words are put on a stack one by one.  Before each, three things compete by score: the word on top
 becomes a dependent of the next word (*left*), or of the word below it on the stack (*right*), or
@@ -21,6 +21,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,7 @@ from verbaloom.operators.lexicon_table import with_word_values
 from verbaloom.operators.rules import OTHER_RELATION, RELATION_BY_TAG
 from verbaloom.operators.tagger import PARTS, log_parts, tag_number
 from verbaloom.schemas import UPOS_TAGS, is_nested, require_columns
+from verbaloom.session import checkpoint
 
 TAGS = len(UPOS_TAGS)
 SIDES, DISTANCES = 2, 3
@@ -101,7 +105,7 @@ def _training_words(words: DataFrame) -> DataFrame:
         return words.select("words")
     require_columns(words, "sent_ix", "word_id", "UPOS", "HEAD", "DEPREL")
     key = [c for c in ("doc_id", "lang") if c in words.columns]
-    item = F.struct(F.col("word_id").cast("int").alias("word_id"), F.col("UPOS").alias("upos"), F.col("HEAD").cast("int").alias("head"), F.col("DEPREL").alias("deprel"))
+    item = F.struct(F.col("word_id").cast("int").alias("word_id"), tag_number(F.col("UPOS")).alias("tag"), F.col("HEAD").cast("int").alias("head"), F.col("DEPREL").alias("deprel"))
     return words.groupBy(*key, "sent_ix").agg(F.collect_list(item).alias("words"))
 
 
@@ -114,21 +118,29 @@ def train_parser(words: DataFrame) -> Parser:
     name if equal, is kept.
     """
     rows = _training_words(words)
+
+    def tag(word: Column) -> Column:
+        return tag_number(word["upos"]) if is_nested(words) else word["tag"]
+
     entries = F.sort_array(F.transform(F.filter("words", lambda w: w["word_id"].isNotNull()), lambda w: F.named_struct(
-        F.lit("word"), w["word_id"], F.lit("tag"), tag_number(w["upos"]))))
+        F.lit("word"), w["word_id"], F.lit("tag"), tag(w))))
     tags = F.map_from_entries(let(entries, lambda e: F.filter(e, lambda w, i: (i == 0) | (F.get(e, i - 1)["word"] != w["word"]))))
     arcs = rows.select(tags.alias("tag_of"), F.explode("words").alias("w")).select(
-        F.try_element_at("tag_of", F.col("w.head")).alias("head"), tag_number(F.col("w.upos")).alias("dependent"),
+        F.try_element_at("tag_of", F.col("w.head")).alias("head"), tag(F.col("w")).alias("dependent"),
         (F.col("w.word_id") > F.col("w.head")).cast("int").alias("side"), F.abs(F.col("w.word_id") - F.col("w.head")).alias("words"),
         F.coalesce("w.deprel", F.lit("_")).alias("relation")).filter("head IS NOT NULL AND words > 0")
     arcs = arcs.withColumn("distance", distance_class(F.col("words")))
-    counts = arcs.groupBy("head", "dependent", "side", "distance", "relation").agg(F.count(F.lit(1)).alias("n"))
+    # Written to the shared folder, as sentences are put together for them.
+    counts = checkpoint(arcs.groupBy("head", "dependent", "side", "distance", "relation").agg(F.count(F.lit(1)).alias("n")))
     names = counts.groupBy("head", "dependent", "side", "relation").agg(F.sum("n").alias("n"))
     best = names.groupBy("head", "dependent", "side").agg(F.min(F.struct((-F.col("n")).alias("n"), "relation")).alias("best"))
     kinds = SIDES * DISTANCES * TAGS + 1
     # Words without a head in the sentence count as well, so that tags of roots are rarely dependents.
-    of = rows.select(F.explode("words.upos").alias("tag")).groupBy(tag_number(F.col("tag")).alias("dependent")).agg(F.count(F.lit(1)).alias("of"))
-    seen = counts.groupBy("head", "dependent", "side", "distance").agg(F.sum("n").alias("n")).join(F.broadcast(of), "dependent")  # one row for each tag
+    single = rows.select(F.explode("words").alias("w")).select("w.upos", "w.head") if is_nested(words) else words.select(
+        F.col("UPOS").alias("upos"), F.col("HEAD").cast("int").alias("head"))
+    of = checkpoint(single.groupBy(tag_number(F.col("upos")).alias("dependent")).agg(
+        F.count(F.lit(1)).alias("of"), F.count_if(F.col("head") == 0).alias("n")))
+    seen = counts.groupBy("head", "dependent", "side", "distance").agg(F.sum("n").alias("n")).join(F.broadcast(of.select("dependent", "of")), "dependent")  # one row for each tag
     scores, unseen = [0] * (TAGS * TAGS * SIDES * DISTANCES), dict.fromkeys(range(TAGS), math.floor(math.log(1 / kinds) * PARTS + 0.5))
     for row in of.select("dependent", log_parts(1 / (F.col("of") + kinds)).alias("score")).collect():  # one row for each tag
         unseen[row["dependent"]] = row["score"]
@@ -139,8 +151,7 @@ def train_parser(words: DataFrame) -> Parser:
     for row in seen.withColumn("score", log_parts((F.col("n") + 1) / (F.col("of") + kinds))).collect():  # one row for each arc number
         scores[arc_number(row["head"], row["dependent"], row["side"], row["distance"])] = row["score"]
     roots = [unseen[tag] for tag in range(TAGS)]
-    first = rows.select(F.explode("words").alias("w")).filter("w.head = 0").groupBy(tag_number(F.col("w.upos")).alias("dependent")).agg(F.count(F.lit(1)).alias("n"))
-    for row in first.join(F.broadcast(of), "dependent").withColumn("score", log_parts((F.col("n") + 1) / (F.col("of") + kinds))).collect():  # one row for each tag
+    for row in of.filter("n > 0").withColumn("score", log_parts((F.col("n") + 1) / (F.col("of") + kinds))).collect():  # one row for each tag
         roots[row["dependent"]] = row["score"]
     relations = [OTHER_RELATION] * (TAGS * TAGS * SIDES)
     for row in best.collect():
@@ -148,59 +159,69 @@ def train_parser(words: DataFrame) -> Parser:
     return Parser(scores, roots, relations)
 
 
-STATE = "struct<stack:array<int>,next:int,arcs:string>"
+def arcs(tags: Column, parser: Parser) -> Column:
+    """``head, kind`` of every word from the words' tag numbers: 0 and -1 for the root, else the place of the relation."""
+    scores, roots = parser.scores, parser.roots
+
+    @F.arrow_udf("array<struct<head:int,kind:int>>")
+    def found(numbers: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(numbers), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = numbers.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = _heads_of(words, sizes, np.array(scores, np.int64), np.array(roots, np.int64))
+        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.arange(len(words)) - starts + 1
+        kinds = np.where(heads > 0, (words[starts + np.maximum(heads - 1, 0)] * TAGS + words) * SIDES + (place > heads), -1)
+        told = pa.StructArray.from_arrays([pa.array(heads, pa.int32()), pa.array(kinds, pa.int32())], names=["head", "kind"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), told)
+
+    return found(tags)
 
 
 def heads(tags: Column, parser: Parser) -> Column:
     """The head of every word, 0 for the root, from the words' tag numbers."""
-    table, roots = (F.array(*[F.lit(s).cast("bigint") for s in points]) for points in (parser.scores, parser.roots))
-
-    def step_with(numbers: Column):
-        def tag(word: Column) -> Column:
-            return F.get(numbers, word - 1)
-
-        def score(head: Column, dependent: Column, side: int) -> Column:
-            far = distance_class(F.abs(head - dependent))
-            return F.get(table, arc_number(tag(head), tag(dependent), F.lit(side), far))
-
-        def step(state: Column, _: Column) -> Column:
-            stack, word = state["stack"], state["next"]
-            size = F.size(stack)
-            top, below, more = F.get(stack, size - 1), F.get(stack, size - 2), word <= F.size(numbers)
-            facts = F.struct(top.alias("top"), below.alias("below"), more.alias("more"))
-
-            def scored(f: Column) -> Column:
-                return F.struct(
-                    f["top"].alias("top"), f["below"].alias("below"), f["more"].alias("more"),
-                    F.when(f["more"], score(word, f["top"], 0)).alias("left"), score(f["below"], f["top"], 1).alias("right"),
-                    F.when(f["more"], F.greatest(score(f["top"], word, 1), F.get(roots, tag(f["top"])))).alias("shift"))
-
-            def moved(f: Column) -> Column:
-                left = f["more"] & (f["left"] >= f["shift"]) & (f["below"].isNull() | (f["left"] >= f["right"]))
-                right = f["below"].isNotNull() & (~f["more"] | (f["right"] >= f["shift"]))
-                shift = f["top"].isNull() | (f["more"] & ~left & ~right)
-                head = F.when(left, word).when(right, f["below"]).otherwise(0)
-                return F.when(shift, F.struct(F.concat(stack, F.array(word)).alias("stack"), (word + 1).alias("next"), state["arcs"].alias("arcs"))).otherwise(
-                    F.struct(F.slice(stack, F.lit(1), F.size(stack) - 1).alias("stack"), word.alias("next"),
-                             F.concat(state["arcs"], f["top"].cast("string"), F.lit(":"), head.cast("string"), F.lit(",")).alias("arcs")))
-            return let(let(facts, scored), moved)
-        return step
-
-    start = F.struct(F.array().cast("array<int>").alias("stack"), F.lit(1).alias("next"), F.lit("").alias("arcs")).cast(STATE)
-    arcs = let(tags, lambda numbers: F.aggregate(
-        F.when(F.size(numbers) > 0, F.sequence(F.lit(1), 2 * F.size(numbers))).otherwise(F.array().cast("array<int>")),
-        start, step_with(numbers), lambda state: state["arcs"]))
-    pairs = F.transform(F.filter(F.split(arcs, ","), lambda a: a != ""), lambda a: F.struct(
-        F.split_part(a, F.lit(":"), F.lit(1)).cast("int").alias("word"), F.split_part(a, F.lit(":"), F.lit(2)).cast("int").alias("head")))
-    return F.sort_array(pairs)["head"]
-
-
-def relations(tags: Column, found: Column, parser: Parser) -> Column:
-    """The relation of every word from tag numbers and heads."""
-    table = F.array(*[F.lit(r) for r in parser.relations])
-    return let(tags, lambda numbers: F.transform(F.arrays_zip(numbers.alias("tag"), found.alias("head")), lambda w, i: F.when(
-        w["head"] == 0, ROOT).otherwise(F.get(
-            table, (F.get(numbers, w["head"] - 1) * TAGS + w["tag"]) * SIDES + (i + 1 > w["head"]).cast("int")))))
+    return arcs(tags, parser)["head"]
+
+
+def _heads_of(tags: np.ndarray, sizes: np.ndarray, scores: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """The heads of the words of many sentences, which take their steps at the same time.
+
+    A sentence's stack has the places of its own words, so memory is that of the words.
+    """
+    start = np.cumsum(sizes) - sizes
+    stack, found = np.zeros(len(tags) + 1, np.int64), np.zeros(len(tags), np.int64)
+    height, following = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    of_length = np.argsort(-sizes, kind="stable")
+    # Of the longest sentence first: those that still have steps to take are the first ones.
+    lengths = -sizes[of_length]
+    never = np.iinfo(np.int64).min
+
+    def points(head: np.ndarray, dependent: np.ndarray, side: int) -> np.ndarray:
+        far = np.abs(head - dependent)
+        kind = np.where(far <= 1, 0, np.where(far <= 3, 1, 2))
+        return scores[arc_number(tags[head], tags[dependent], side, kind)]
+
+    for step in range(2 * int(sizes.max(initial=0))):
+        s = of_length[: np.searchsorted(lengths, -(step // 2))]
+        at, size, word = start[s], height[s], start[s] + following[s]
+        more = following[s] < sizes[s]
+        word = np.where(more, word, at)  # any word, where there is none
+        top, below = stack[at + np.maximum(size - 1, 0)], stack[at + np.maximum(size - 2, 0)]
+        top, below = np.where(size > 0, top, at), np.where(size > 1, below, at)
+        left, ahead = points(word, top, 0), np.maximum(points(top, word, 1), roots[tags[top]])
+        right = np.where(size > 1, points(below, top, 1), never)
+        to_left = more & (left >= ahead) & (left >= right)
+        to_right = (size > 1) & (~more | (right >= ahead))
+        shift = (size == 0) | (more & ~to_left & ~to_right)
+        stack[(at + size)[shift]] = word[shift]
+        following[s] += shift
+        height[s] += np.where(shift, 1, -1)
+        head = np.where(to_left, word - at + 1, np.where(to_right, below - at + 1, 0))
+        found[top[~shift]] = head[~shift]
+    return found
+
+
+def relation(kind: Column, parser: Parser) -> Column:
+    return F.coalesce(F.get(F.array(*[F.lit(r) for r in parser.relations]), F.when(kind >= 0, kind)), F.lit(ROOT))
 
 
 def parse_sentences(sentences: DataFrame, parser: Parser | None = None) -> DataFrame:
@@ -208,9 +229,9 @@ def parse_sentences(sentences: DataFrame, parser: Parser | None = None) -> DataF
     parser = parser or baseline_parser()
     rows = sentences.withColumn("tag_numbers", F.transform("words.upos", tag_number))
     # Unpacked from a one-element array, so that heads are found once and not in every place that reads them.
-    rows = rows.select("*", F.explode(F.array(heads(F.col("tag_numbers"), parser))).alias("found_heads"))
-    rows = with_word_values(rows, {"head": F.col("found_heads"), "deprel": relations(F.col("tag_numbers"), F.col("found_heads"), parser)})
-    return rows.drop("tag_numbers", "found_heads")
+    rows = rows.select("*", F.explode(F.array(arcs(F.col("tag_numbers"), parser))).alias("found_arcs"))
+    rows = with_word_values(rows, {"head": F.col("found_arcs.head"), "deprel": F.transform("found_arcs.kind", lambda kind: relation(kind, parser))})
+    return rows.drop("tag_numbers", "found_arcs")
 
 
 def parse_words(words: DataFrame, parser: Parser) -> DataFrame:
@@ -219,7 +240,6 @@ def parse_words(words: DataFrame, parser: Parser) -> DataFrame:
     require_columns(words, "doc_id", "sent_ix", "word_id", "UPOS")
     items = F.sort_array(F.collect_list(F.struct(F.col("word_id"), tag_number(F.col("UPOS")).alias("tag"))))
     rows = words.groupBy("doc_id", "sent_ix").agg(items.alias("items"))
-    rows = rows.select("*", F.explode(F.array(heads(F.col("items.tag"), parser))).alias("found_heads"))
-    zipped = F.arrays_zip(F.col("items.word_id").alias("word_id"), F.col("found_heads").alias("HEAD"),
-                          relations(F.col("items.tag"), F.col("found_heads"), parser).alias("DEPREL"))
-    return rows.select("doc_id", "sent_ix", F.explode(zipped).alias("z")).select("doc_id", "sent_ix", "z.word_id", "z.HEAD", "z.DEPREL")
+    zipped = F.arrays_zip(F.col("items.word_id").alias("word_id"), arcs(F.col("items.tag"), parser).alias("arc"))
+    found = rows.select("doc_id", "sent_ix", F.explode(zipped).alias("z"))
+    return found.select("doc_id", "sent_ix", "z.word_id", F.col("z.arc.head").alias("HEAD"), relation(F.col("z.arc.kind"), parser).alias("DEPREL"))
