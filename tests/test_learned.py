@@ -249,3 +249,52 @@ def test_heaviest_groups_are_exact(spark, cells):
     if cells > 7:
         assert heaviest.candidate_counts(frame, ["a", "b"], 10, cells).count() < len(counts) / 4
     assert heaviest.heaviest(frame.limit(0), ["a", "b"], 5, cells).collect() == []
+
+
+def _groupings(monkeypatch, module):
+    """How often the plans that a module stores put sentences together."""
+    seen, stored = [], module.checkpoint
+
+    def store(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("collect_list"))
+        return stored(df)
+    monkeypatch.setattr(module, "checkpoint", store)
+    return seen
+
+
+def test_sentences_are_put_together_once_to_learn(spark, monkeypatch):
+    """Counts of single words are taken where the words are; decoding is no fold of expressions."""
+    flat = spark.createDataFrame([(d, 1, t, "a", "NOUN", 0, "root") for d in range(3) for t in (1, 2)],
+                                 "doc_id long, sent_ix int, tok_ix int, FORM string, UPOS string, HEAD int, DEPREL string")
+    words = flat.withColumnRenamed("tok_ix", "word_id")
+    seen = _groupings(monkeypatch, parser)
+    trees = parser.parse_words(words, parser.train_parser(words))
+    assert seen and sum(seen) == 1
+    seen = _groupings(monkeypatch, tagger)
+    model = tagger.train_tagger(flat)
+    assert sum(seen[:2]) == 1  # pairs of tags, and tags of forms
+    before = len(seen)
+    told = tagger.tag_tokens(flat, model)
+    assert sum(seen[before:]) == 0
+    for df in (trees, told):
+        assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count() == trees.count() == 6
+
+
+def test_batches_of_sentences_decode_as_each_alone(spark):
+    """Sentences of any length, missing and empty ones, in one batch."""
+    draw = random.Random(7)
+    steps = [draw.randint(-3000, 0) for _ in range(tagger.STATES**2)]
+    lists = [[None if draw.random() < 0.2 else sorted((t, draw.randint(-9, 0)) for t in draw.sample(range(18), 3)) for _ in range(n)]
+             for n in (0, 1, 40, 2, 0, 7, 3, 300)]
+    frame = spark.createDataFrame(list(enumerate(lists)), f"id long, choices array<{tagger.CANDIDATES}>").coalesce(1)
+    found = tagger.viterbi(F.col("choices"), steps).alias("tags")
+    together = {r.id: r.tags for r in frame.select("id", found).collect()}
+    assert together == {i: frame.filter(F.col("id") == i).select(found).first().tags for i in range(len(lists))}
+    assert [len(together[i]) for i in range(len(lists))] == [len(c) for c in lists]
+    assert all(together[i][j] == "X" for i, c in enumerate(lists) for j, choice in enumerate(c) if choice is None)
+    numbers = spark.createDataFrame([(i, [draw.randrange(18) for _ in range(n)]) for i, n in enumerate((0, 1, 30, 2, 9, 200))], "id long, tags array<int>").coalesce(1)
+    arcs = parser.heads(F.col("tags"), parser.baseline_parser()).alias("heads")
+    both = {r.id: r.heads for r in numbers.select("id", arcs).collect()}
+    assert both == {i: numbers.filter(F.col("id") == i).select(arcs).first().heads for i in range(6)}
+    assert all(h.count(0) == min(1, len(h)) for h in both.values())

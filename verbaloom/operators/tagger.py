@@ -3,12 +3,10 @@
 *Training* counts tag pairs, tags of forms and tags of word endings in any token table, with
 partial sums; log probabilities become whole thousandths, so that sums are exact.
 
-*Decoding* is the Viterbi recurrence as a fold inside a sentence's row: for each word the best path
-to each of its candidate tags.  Candidates come from the forms table or, for forms it lacks, from
+*Decoding* is the Viterbi recurrence inside a sentence's row: for each word the best path to each of its
+candidate tags; the sentences of a batch go from word to word together.  Candidates come from the forms table or, for forms it lacks, from
 the longest ending that is known; they are found once for each distinct form and brought back to the
-words (``vocabulary``).  The fold itself moves nothing.
-
-Paths are strings of one character per word, so a step copies bytes, not arrays.  A sentence is one row.
+words (``vocabulary``).  Decoding itself moves nothing.  A sentence is one row.
 
 Ties: of equal scores the path whose previous (at the end, last) tag is first in ``UPOS_TAGS`` wins.
 Tags that are not in that list count as ``X``.  In a language without training every word is ``X``.
@@ -18,10 +16,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbaloom.functions.arrays import let
 from verbaloom.operators.lexicon_table import form_keys, with_word_values
 from verbaloom.operators.vocabulary import JOINT, distinct_keys, lang_key, looked_up
 from verbaloom.schemas import UPOS_TAGS, is_nested, require_columns
@@ -33,7 +33,6 @@ ENDING = 4
 PARTS = 1000
 BORDER = len(UPOS_TAGS)  # the tag before the first word and after the last
 STATES = BORDER + 1
-FIRST_CHAR = 65
 CANDIDATES = "array<struct<tag:int,score:bigint>>"
 
 
@@ -85,9 +84,14 @@ def train_tagger(tokens: DataFrame) -> Tagger:
     """A tagger from a sentences table or a flat token table (``sent_ix, tok_ix, FORM, UPOS``; ``doc_id``
     and ``lang`` if there are any).  The counts are written to the shared folder."""
     rows = _training_rows(tokens).select("lang", "forms", F.transform("tags", tag_number).alias("tags"))
+    single = rows.select("lang", F.explode(F.arrays_zip(F.col("forms").alias("form"), F.col("tags").alias("tag"))).alias("w")).select("lang", "w.*")
+    if not is_nested(tokens):  # forms are counted where their tokens are
+        lang = F.col("lang") if "lang" in tokens.columns else F.lit(None).cast("string")
+        upos = F.col("UPOS") if "UPOS" in tokens.columns else F.lit(None).cast("string")
+        single = tokens.select(lang.alias("lang"), F.col("FORM").alias("form"), tag_number(upos).alias("tag"))
     border = F.array(F.lit(BORDER))
     pairs = F.arrays_zip(F.concat(border, "tags").alias("a"), F.concat("tags", border).alias("b"))
-    seen = rows.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    seen = checkpoint(rows.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")))
     seen = seen.withColumn("of", F.sum("n").over(Window.partitionBy("a"))).withColumn("share", (F.col("n") + 1) / (F.col("of") + STATES))
     unseen = seen.select("a", "of").distinct().select("a", log_parts(1 / (F.col("of") + STATES)).alias("score"))
     steps = [0] * (STATES * STATES)
@@ -96,8 +100,7 @@ def train_tagger(tokens: DataFrame) -> Tagger:
     for row in seen.select("a", "b", log_parts(F.col("share")).alias("score")).collect():  # at most STATES squared
         steps[row["a"] * STATES + row["b"]] = row["score"]
 
-    words = rows.select("lang", F.explode(F.arrays_zip(F.col("forms").alias("form"), F.col("tags").alias("tag"))).alias("w"))
-    words = words.select("lang", F.lower(F.coalesce("w.form", F.lit("_"))).alias("form"), F.col("w.tag").alias("tag"))
+    words = single.select("lang", F.lower(F.coalesce("form", F.lit("_"))).alias("form"), "tag")
     counts = checkpoint(words.groupBy("lang", "form", "tag").agg(F.count(F.lit(1)).alias("n")))
     of_tag = counts.groupBy("tag").agg(F.sum("n").alias("of"))
     known = counts.join(F.broadcast(of_tag), "tag").withColumn("key", lang_key(F.col("lang"), F.col("form")))  # one row for each tag
@@ -123,10 +126,10 @@ def _candidates(scored: DataFrame) -> DataFrame:
     return checkpoint(scored.groupBy("key").agg(value.alias("value")))
 
 
-def candidates(rows: DataFrame, keys: Column, tagger: Tagger) -> DataFrame:
-    """``key, value`` for every distinct element of ``keys``: the form's candidate tags, else those of its
-    longest known ending."""
-    vocabulary = checkpoint(distinct_keys(rows, keys).select("key"))
+def candidates(vocabulary: DataFrame, tagger: Tagger) -> DataFrame:
+    """``key, value`` for every ``key`` of a vocabulary: the form's candidate tags, else those of its longest known
+    ending."""
+    vocabulary = vocabulary.select("key")
     known = vocabulary.join(tagger.forms, "key")
     lang, form = F.split_part("key", F.lit(JOINT), F.lit(1)), F.split_part("key", F.lit(JOINT), F.lit(2))
     unknown = vocabulary.join(tagger.forms.select("key"), "key", "left_anti").withColumn("lang_of", lang)
@@ -139,36 +142,78 @@ def candidates(rows: DataFrame, keys: Column, tagger: Tagger) -> DataFrame:
 
 def viterbi(choices: Column, steps: list[int]) -> Column:
     """The best tags for an array of candidate lists; null entries count as ``X``."""
-    table = F.array(*[F.lit(s).cast("bigint") for s in steps])
-    only = F.array(F.struct(F.lit(UPOS_TAGS.index("X")).alias("tag"), F.lit(0).cast("bigint").alias("score"))).cast(CANDIDATES)
-    start = F.array(F.struct(F.lit(BORDER).alias("tag"), F.lit(0).cast("bigint").alias("score"), F.lit("").alias("path")))
-
-    def best(paths: Column, tag: Column) -> Column:
-        return F.array_max(F.transform(paths, lambda p: F.struct(
-            (p["score"] + F.get(table, p["tag"] * STATES + tag)).alias("score"), (-p["tag"]).alias("least"), p["path"].alias("path"))))
-
-    def step(paths: Column, choice: Column) -> Column:
-        return F.transform(F.coalesce(choice, only), lambda c: let(best(paths, c["tag"]), lambda b: F.struct(
-            c["tag"].alias("tag"), (b["score"] + c["score"]).alias("score"), F.concat(b["path"], F.char(c["tag"] + FIRST_CHAR)).alias("path"))))
-    path = F.aggregate(choices, start.cast("array<struct<tag:int,score:bigint,path:string>>"), step,
-                       lambda paths: best(paths, F.lit(BORDER))["path"])
-    names = F.array(*[F.lit(t) for t in UPOS_TAGS])
-    chars = F.filter(F.split(path, ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.get(names, F.ascii(c) - FIRST_CHAR))
+    @F.arrow_udf("array<string>")
+    def best(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten()
+        listed = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        entries = words.flatten()
+        tags = _best_tags(sizes, np.repeat(np.arange(len(words)), listed), entries.field(0).to_numpy(zero_copy_only=False),
+                          entries.field(1).to_numpy(zero_copy_only=False), words.is_null().to_numpy(zero_copy_only=False),
+                          np.array(steps, np.int64).reshape(STATES, STATES))
+        named = pa.array(UPOS_TAGS).take(pa.array(tags))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), named)
+    return best(choices)
+
+
+def _best_tags(sizes: np.ndarray, word_of: np.ndarray, tag: np.ndarray, score: np.ndarray, unknown: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The tags of the words of many sentences, which go from word to word at the same time."""
+    n, never = int(sizes.sum()), np.iinfo(np.int64).min // 4
+    own = np.full((n, BORDER), never, np.int64)
+    own[word_of, tag] = score
+    own[np.flatnonzero(unknown), UPOS_TAGS.index("X")] = 0
+    start = np.cumsum(sizes) - sizes
+    of_length = np.argsort(-sizes, kind="stable")  # those that still have words are the first ones
+    lengths = -sizes[of_length]
+    came, path = np.zeros((n, BORDER), np.int8), np.zeros(n, np.int64)
+    scores = np.full((len(sizes), BORDER), never, np.int64)
+    longest = int(sizes.max(initial=0))
+    for i in range(longest):
+        s = of_length[: np.searchsorted(lengths, -i)]
+        word = start[s] + i
+        if i == 0:
+            best = np.broadcast_to(steps[BORDER, :BORDER], (len(s), BORDER))
+        else:
+            # Tag by tag of the word before, so that of equal ones the first stays.
+            best, back = np.full((len(s), BORDER), 2 * never, np.int64), np.zeros((len(s), BORDER), np.int8)
+            for a in range(BORDER):
+                with_a = scores[s, a][:, None] + steps[a, :BORDER]
+                better = with_a > best
+                best, back = np.where(better, with_a, best), np.where(better, np.int8(a), back)
+            came[word] = back
+        scores[s] = np.where(own[word] > never, best + own[word], never)
+    last = np.argmax(scores + steps[:BORDER, BORDER], axis=1)
+    for i in range(longest - 1, -1, -1):
+        s = of_length[: np.searchsorted(lengths, -i)]
+        path[start[s] + i] = last[s]
+        last[s] = came[start[s] + i, last[s]]
+    return path
 
 
 def tag_sentences(sentences: DataFrame, tagger: Tagger) -> DataFrame:
     """``sentences`` with the tagger's tags."""
-    found = looked_up(sentences, form_keys(), candidates(sentences, form_keys(), tagger), "choices", ["doc_id", "sent_ix"])
-    return with_word_values(found, {"upos": viterbi(F.col("choices"), tagger.steps)}).drop("choices")
+    counted = checkpoint(distinct_keys(sentences, form_keys()))
+    found = looked_up(sentences, form_keys(), candidates(counted, tagger), "choices", ["doc_id", "sent_ix"], counted)
+    return with_word_values(_with_tags(found, tagger), {"upos": F.col("found_tags")}).drop("choices", "found_tags")
+
+
+def _with_tags(rows: DataFrame, tagger: Tagger) -> DataFrame:
+    """Unpacked from a one-element array, so that tags are found once and not in every place that reads them."""
+    return rows.select("*", F.explode(F.array(viterbi(F.col("choices"), tagger.steps))).alias("found_tags"))
 
 
 def tag_tokens(tokens: DataFrame, tagger: Tagger) -> DataFrame:
     """A flat token table's ``doc_id, lang, sent_ix, tok_ix, FORM`` with the tagger's ``UPOS``."""
     rows = sentence_rows(tokens)
-    keys = F.transform("items.FORM", lambda form: lang_key(F.col("lang"), F.lower(F.coalesce(form, F.lit("_")))))
-    found = looked_up(rows, keys, candidates(rows, keys, tagger), "choices", ["doc_id", "lang", "sent_ix"])
-    zipped = F.arrays_zip(F.col("items").alias("item"), viterbi(F.col("choices"), tagger.steps).alias("tag"))
-    out = found.select("doc_id", "lang", "sent_ix", F.explode(zipped).alias("z"))
+
+    def key(form: Column) -> Column:
+        return lang_key(F.col("lang"), F.lower(F.coalesce(form, F.lit("_"))))
+
+    # Distinct forms are found where the tokens are; sentences are put together once.
+    single = tokens if "lang" in tokens.columns else tokens.withColumn("lang", F.lit(None).cast("string"))
+    counted = checkpoint(single.groupBy(key(F.col("FORM")).alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    found = looked_up(rows, F.transform("items.FORM", key), candidates(counted, tagger), "choices", ["doc_id", "lang", "sent_ix"], counted)
+    zipped = F.arrays_zip(F.col("items").alias("item"), F.col("found_tags").alias("tag"))
+    out = _with_tags(found, tagger).select("doc_id", "lang", "sent_ix", F.explode(zipped).alias("z"))
     return out.select("doc_id", "lang", "sent_ix", F.col("z.item.tok_ix").alias("tok_ix"),
                       F.col("z.item.FORM").alias("FORM"), F.col("z.tag").alias("UPOS"))

@@ -46,15 +46,19 @@ def distinct_keys(rows: DataFrame, keys: str | Column) -> DataFrame:
     return rows.select(F.explode(F.array_distinct(keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def looked_up(rows: DataFrame, keys: str | Column, table: DataFrame, into: str, row_key: list[str]) -> DataFrame:
+def looked_up(
+    rows: DataFrame, keys: str | Column, table: DataFrame, into: str, row_key: list[str], counted: DataFrame | None = None
+) -> DataFrame:
     """``rows`` with the column ``into``: the table's value, or null, for each element of ``keys``.
 
     ``keys`` is an array of ``rows`` or an expression for one, which then is not moved with the row.
     ``table`` has ``key, value``, each key once; null elements of ``keys`` find nothing.  ``row_key`` names
-    rows; rows that share it may differ in their keys.
+    rows; rows that share it may differ in their keys.  ``counted`` gives ``distinct_keys`` that are there already;
+    numbers that are larger, as those of places instead of rows, only count more keys as frequent.
     """
     keys = F.col(keys) if isinstance(keys, str) else keys
-    answers = checkpoint(distinct_keys(rows, keys).join(table.select("key", "value"), "key"))
+    counted = distinct_keys(rows, keys) if counted is None else counted
+    answers = checkpoint(counted.join(table.select("key", "value"), "key"))
 
     def common(maps: Column, key: Column) -> Column:
         return F.try_element_at(F.get(maps, _map_of(key)), key)
