@@ -10,6 +10,7 @@ plug-in through ``operators.plugin``, which yields the same table.
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,13 +111,18 @@ def annotate_with_rules(
         named = F.array_contains("numbers", capital) | F.array_contains("numbers", names.index("PROPN"))
         step = step.withColumn("tok_tags", F.when(named, F.when(F.size("form") == F.size("toks"), tags)
                                                   .otherwise(_first_parts(tags))))
+    entities = F.array().cast(T.ArrayType(ENTITY))
+    if "ner" in wanted:
+        entities = F.when(F.array_contains("tok_tags", "PROPN"), _entities(lexicon)).otherwise(entities)
 
+    tokens = step.select("*", entities.alias("entities"), *_places())
+    relations = [RELATION_BY_TAG.get(tag, OTHER_RELATION) for tag in names] if tagged else []
+    lemmas = {key: _text(value) for key, (value, _) in lexicon.tags.items()}
     n = F.size("form")
     strings, ints = F.lit(None).cast("string"), F.lit(None).cast("int")
     missing = F.array_repeat(strings, n)
     lemma, upos, head, deprel = missing, missing, F.array_repeat(ints, n), missing
     if "lemma" in wanted:
-        lemmas = {key: _text(value) for key, (value, _) in lexicon.tags.items()}
         lemma = F.expr(f"transform(low, l -> coalesce({_lookup(lemmas, 'l')}, l))")
     if "pos" in wanted:
         upos = _named(F.col("numbers"), names)
@@ -124,7 +130,7 @@ def annotate_with_rules(
         root = F.col("root")
         head = F.concat(F.array_repeat(root, root - 1), F.array(F.lit(0)),
                         F.array_repeat(root, n - root))
-        relation = _named(F.col("numbers"), [RELATION_BY_TAG.get(tag, OTHER_RELATION) for tag in names])
+        relation = _named(F.col("numbers"), relations)
         deprel = F.concat(F.slice(relation, F.lit(1), root - 1), F.array(F.lit("root")),
                           F.slice(relation, root + 1, n - root))
     words = F.arrays_zip(
@@ -133,32 +139,67 @@ def annotate_with_rules(
         missing.alias("xpos"), missing.alias("feats"), head.alias("head"),
         deprel.alias("deprel"),
     )
-    entities = F.array().cast(T.ArrayType(ENTITY))
-    if "ner" in wanted:
-        entities = F.when(F.array_contains("tok_tags", "PROPN"), _entities(lexicon)).otherwise(entities)
     # Unpacking a one-element array changes nothing but stops the optimizer from moving a
     # later condition on words below the steps above, where it would repeat all of them.
     # Conditions on the keys still reach the scan.
-    step = step.select("doc_id", "lang", "sent_ix", "text", words.alias("words"),
-                       entities.alias("entities"))
+    step = tokens.select("doc_id", "lang", "sent_ix", "text", words.alias("words"), "entities")
     layers = F.array(F.struct("words", "entities"))
     sealed = step.select("doc_id", "lang", "sent_ix", "text", F.explode(layers).alias("layers"))
-    return sealed.select("doc_id", "lang", "sent_ix", "text", "layers.words", "layers.entities")
+    sentences = sealed.select("doc_id", "lang", "sent_ix", "text", "layers.words", "layers.entities")
+
+    # What a word's row says, told from the arrays of its sentence when the words are unpacked.
+    nothing = F.lit(None).cast("string")
+    number, is_root = F.col("w.numbers"), F.col("w.word_id") == F.col("root")
+    told = {"tok_ix": F.col("w.tok_ix"), "tok_form": F.col("w.tok_form"), "lemma": nothing, "upos": nothing,
+            "xpos": nothing, "head": F.lit(None).cast("int"), "deprel": nothing}
+    read = {"tok_ix": {"tok_ix"}, "tok_form": {"tok_form"}}
+    if "lemma" in wanted:
+        told["lemma"] = F.expr(f"coalesce({_lookup(lemmas, 'w.low')}, w.low)")
+        read["lemma"] = {"low"}
+    if "pos" in wanted:
+        told["upos"] = F.get(_entries(names), number)
+        read["upos"] = {"numbers"}
+    if "depparse" in wanted:
+        told["head"] = F.when(is_root, 0).otherwise(F.col("root"))
+        told["deprel"] = F.when(is_root, "root").otherwise(F.get(_entries(relations), number))
+        read |= {"head": {"word_id"}, "deprel": {"word_id", "numbers"}}
+    sentences.unpacked = Unpacked(tokens, told, read, ["root"] if "depparse" in wanted else [])
+    return sentences
 
 
-def _with_words(step: DataFrame, contractions: dict[tuple[str, str], list[str]]) -> DataFrame:
-    """Add one array per word property; a contraction becomes several words."""
-    toks, low = F.col("toks"), F.col("tok_low")
-    n = F.size(toks)
+@dataclass(frozen=True)
+class Unpacked:
+    """The annotation before its words are put together, for views that would take them apart again.
+
+    ``tokens`` has a sentence's arrays, ``told`` the columns of a word in terms of its entries ``w``, 
+    ``read`` the arrays behind each, and ``kept`` the sentence's columns they mention.  It holds for the annotation itself, not for what is selected from it.
+    """
+
+    tokens: DataFrame
+    told: dict[str, Column]
+    read: dict[str, set[str]]
+    kept: list[str]
+
+
+def _places() -> list[Column]:
+    """Where the words of a sentence stand: counted, if no token is a contraction."""
+    n = F.size("toks")
     plain = {
         "tok_ix": F.sequence(F.lit(1).cast("long"), n.cast("long")),
         "part": F.array_repeat(F.lit(1), n),
-        "tok_form": toks,
-        "form": toks,
-        "low": low,
+        "tok_form": F.col("toks"),
     }
+    return [F.when(F.col("split").isNull(), c).otherwise(F.col(f"split.{name}")).alias(name) for name, c in plain.items()]
+
+
+def _with_words(step: DataFrame, contractions: dict[tuple[str, str], list[str]]) -> DataFrame:
+    """Add the words' forms, as they are and in small letters; a contraction becomes several words.
+
+    ``split`` has all of a word's places; it is null where no token is a contraction.
+    """
     if not contractions:
-        return step.select(*step.columns, *[c.alias(name) for name, c in plain.items()])
+        split = F.lit(None).cast("array<struct<tok_ix:bigint,part:int,tok_form:string,form:string,low:string>>")
+        return step.withColumns({"split": split, "form": F.col("toks"), "low": F.col("tok_low")})
     table = {
         key: f"array({', '.join(_text(part) for part in parts)})" for key, parts in contractions.items()
     }
@@ -175,16 +216,14 @@ def _with_words(step: DataFrame, contractions: dict[tuple[str, str], list[str]])
                              t.toks AS tok_form, t.toks AS form, t.tok_low AS low))))) END
     """)
     step = step.withColumn("split", split)
-    kept = [name for name in step.columns if name != "split"]
-    return step.select(*kept, *[
-        F.when(F.col("split").isNull(), column).otherwise(F.col(f"split.{name}")).alias(name)
-        for name, column in plain.items()
-    ])
+    unsplit = F.col("split").isNull()
+    return step.withColumns({name: F.when(unsplit, F.col(plain)).otherwise(F.col(f"split.{name}"))
+                             for name, plain in {"form": "toks", "low": "tok_low"}.items()})
 
 
 def _first_parts(values: Column) -> Column:
     """Values of the words that stand for their token."""
-    pairs = F.arrays_zip(F.col("part"), values.alias("value"))
+    pairs = F.arrays_zip(F.col("split.part").alias("part"), values.alias("value"))
     return F.filter(pairs, lambda pair: pair["part"] == 1)["value"]
 
 
@@ -201,9 +240,13 @@ def _tag_names(lexicon: Lexicon) -> list[str]:
     return [*sorted(SHAPE_TAGS | {tag for _, tag in lexicon.tags.values()}), "PROPN"]
 
 
+def _entries(names: list[str]) -> Column:
+    return F.array(*[F.lit(name) for name in names])
+
+
 def _named(numbers: Column, names: list[str]) -> Column:
     """The entry of a constant list for every number."""
-    entries = F.array(*[F.lit(name) for name in names])
+    entries = _entries(names)
     return F.transform(numbers, lambda number: F.get(entries, number))
 
 
@@ -233,7 +276,7 @@ def _without_opening(names: list[str]) -> Column:
     shaped, opening, n = F.col("shaped"), F.col("opening"), F.size("shaped")
     noun, capital = F.lit(names.index("NOUN")), F.lit(len(names) - 1)
     one_each = F.concat(F.slice(shaped, F.lit(1), opening - 1), F.array(noun), F.slice(shaped, opening + 1, n - opening))
-    opens = F.arrays_zip(shaped.alias("number"), F.col("tok_ix").alias("tok_ix"), F.array_repeat(opening, n).alias("opening"))
+    opens = F.arrays_zip(shaped.alias("number"), F.col("split.tok_ix").alias("tok_ix"), F.array_repeat(opening, n).alias("opening"))
     parts = F.transform(opens, lambda w: F.when((w["number"] == capital) & (w["tok_ix"] == w["opening"]), noun).otherwise(w["number"]))
     return F.when(n != F.size("toks"), parts).when(F.get(shaped, opening - 1) == capital, one_each).otherwise(shaped)
 

@@ -79,28 +79,40 @@ def token_view(sentences: DataFrame, columns: list[str] | None = None) -> DataFr
     """One row per surface token: the token's form with the tags of its first word.
 
     ``columns`` picks from ``TOKEN_COLUMNS``; only the word properties behind the picked
-    ones are read from the file and unpacked.
+    ones are read from the file and unpacked, or worked out if nothing is stored yet.
     """
     columns = columns or TOKEN_COLUMNS
-    word = {name: F.col(f"words.{name}") for name in WORD.fieldNames()}
-    sources = {
-        "tok_ix": word["tok_ix"], "FORM": word["tok_form"], "LEMMA": word["lemma"],
-        "UPOS": word["upos"], "XPOS": word["xpos"], "HEAD": word["head"],
-        "DEPREL": word["deprel"], "NER": F.col("ner_tags"),
-    }
+    properties = {"tok_ix": "tok_ix", "FORM": "tok_form", "LEMMA": "lemma", "UPOS": "upos", "XPOS": "xpos",
+                  "HEAD": "head", "DEPREL": "deprel"}
+    picked = [name for name in columns if name in properties]
+    held = _unpacked(sentences)
+    if held is None:
+        tok_ix, arrays = F.col("words.tok_ix"), {name: F.col(f"words.{properties[name]}") for name in picked}
+        arrays["part"], told, kept = F.col("words.part"), {name: F.col(f"w.{name}") for name in picked}, []
+    else:
+        sentences, tok_ix = held.tokens, F.col("tok_ix")
+        read = {"part"}.union(*[held.read.get(properties[name], ()) for name in picked])
+        arrays = {name: F.sequence(F.lit(1), F.size("part")) if name == "word_id" else F.col(name) for name in sorted(read)}
+        told, kept = {name: held.told[properties[name]] for name in picked}, held.kept
     if "NER" in columns:  # a step of its own, so that the rest is unpacked by generated code
-        sentences = sentences.withColumn("ner_tags", _word_tags(word["tok_ix"]))
-    picked = [name for name in columns if name in sources]
-    zipped = F.arrays_zip(word["part"].alias("part"), *[sources[p].alias(p) for p in picked])
-    exploded = sentences.select("doc_id", "lang", "sent_ix", F.explode(zipped).alias("x"))
-    defaults = {name: value_or(F.col(f"x.{name}")) for name in ("FORM", "LEMMA", "UPOS", "XPOS", "DEPREL")}
-    defaults["HEAD"] = F.coalesce(F.col("x.HEAD"), F.lit(0))
-    return exploded.where(F.col("x.part") == 1).select(
+        sentences = sentences.withColumn("ner_tags", _word_tags(tok_ix))
+        arrays["NER"], told["NER"] = F.col("ner_tags"), F.col("w.NER")
+    zipped = F.arrays_zip(*[values.alias(name) for name, values in arrays.items()])
+    exploded = sentences.select("doc_id", "lang", "sent_ix", *kept, F.explode(zipped).alias("w"))
+    defaults = {name: value_or(told[name]) for name in picked if name in MISSING_TAGS | {"XPOS"}}
+    if "HEAD" in told:
+        defaults["HEAD"] = F.coalesce(told["HEAD"], F.lit(0))
+    return exploded.where(F.col("w.part") == 1).select(
         "doc_id", "lang",
-        *["sent_ix" if c == "sent_ix" else defaults.get(c, F.col(f"x.{c}")).alias(c) for c in columns],
+        *["sent_ix" if c == "sent_ix" else defaults.get(c, told.get(c)).alias(c) for c in columns],
     )
 
 
+def _unpacked(sentences: DataFrame):
+    """The arrays of an annotation that is not kept anywhere (``rules.Unpacked``)."""
+    return None if sentences.is_cached else getattr(sentences, "unpacked", None)
+
+
 def tokens_of(df: DataFrame, *columns: str) -> DataFrame:
     """Token rows with ``columns``, from the sentences table or from a flat token table.
 
