@@ -7,7 +7,7 @@ import pytest
 from golden import brute_pairs, rows
 from pyspark.sql import functions as F
 
-from verbaloom.operators import cooccurrence, views, windows
+from verbaloom.operators import chartdata, cooccurrence, views, windows
 from verbaloom.operators.cooccurrence import WIDE, _ordered_pairs, cooccurrences
 from verbaloom.operators.lexicon import Lexicon
 from verbaloom.plans import annotate
@@ -176,3 +176,15 @@ def test_only_lines_that_would_break_are_rewritten(spark):
     assert "RLIKE" in rows._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, rows.collect())) == [
         (1, "e n", 1, 1, "a b", "l ", "N ", "x ", 0, None, "O"), (2, "en", 1, 1, "a b", "", "N", "x", 0, "d", "O")]
+
+
+def test_lemmas_of_a_word_cloud_are_counted_once_and_chosen_after(spark):
+    docs = spark.createDataFrame([(1, "en", "The cat saw a cat. It saw the dog, the dog saw it. x x x x")], "doc_id long, lang string, text string")
+    cloud = chartdata.wordcloud_weights(annotate(docs, "tokenize,mwt,lemma"), stopwords=["the"], top=3)
+    assert [tuple(r) for r in cloud.collect()] == [("saw", 3, 1.0), ("cat", 2, 2 / 3), ("dog", 2, 2 / 3)]
+    plan = cloud._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") + plan.count("LogicalRDD") == 1 and "scalar-subquery" not in plan
+    below = plan[plan.index("Aggregate [LEMMA"):] if "Aggregate [LEMMA" in plan else plan[plan.index("Aggregate"):]
+    assert "length(" not in below and " NOT " not in below
+    every = chartdata.wordcloud_weights(annotate(docs, "tokenize,mwt,lemma"), stopwords=["the"], top=None)
+    assert {tuple(r) for r in cloud.collect()} <= {tuple(r) for r in every.collect()}

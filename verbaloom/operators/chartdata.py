@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verbaloom.operators.filters import with_min_length, without_terms
@@ -93,10 +94,18 @@ def wordcloud_weights(
     stopwords: Iterable[str] | DataFrame | None = None,
     top: int | None = CLOUD_WORDS,
 ) -> DataFrame:
-    """``LEMMA, count, weight``: lemma counts relative to the most frequent one."""
+    """``LEMMA, count, weight``: lemma counts relative to the most frequent one.
+
+    Lemmas are counted before they are chosen, so conditions are met once for each distinct one, and Spark cannot
+    move them below the annotation, where each would work the lemma out again.  Of a limited table the
+    first row has the most frequent one; there is no second look at the corpus for it.
+    """
     check_top(top)
-    tokens = without_terms(tokens_of(df, "LEMMA"), F.lower("LEMMA"), stopwords)
-    counts = tally(with_min_length(tokens, "LEMMA", min_length), "LEMMA")
-    most = counts.agg(F.max("count")).scalar()
-    ordered = by_count(counts.withColumn("weight", F.col("count") / most))
-    return (ordered if top is None else ordered.limit(top)).select("LEMMA", "count", "weight")
+    counts = tally(tokens_of(df, "LEMMA"), "LEMMA")
+    sealed = counts.select(F.explode(F.array(F.struct("LEMMA", "count"))).alias("counted")).select("counted.*")
+    kept = with_min_length(without_terms(sealed, F.lower("LEMMA"), stopwords), "LEMMA", min_length)
+    if top is None:
+        return by_count(kept.withColumn("weight", F.col("count") / kept.agg(F.max("count")).scalar())).select("LEMMA", "count", "weight")
+    first = by_count(kept).limit(top)
+    most = F.max("count").over(W.partitionBy(F.lit(0)))  # ``top`` rows at most
+    return by_count(first.withColumn("weight", F.col("count") / most)).select("LEMMA", "count", "weight")
