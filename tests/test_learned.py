@@ -188,6 +188,22 @@ def test_names_leftmost_longest(spark):
     assert names.apply_names(sentences_of(spark, texts, "tokenize"), spark.createDataFrame([], "name string, type string")).filter("size(entities) > 0").isEmpty()
 
 
+@pytest.mark.parametrize("seconds", [0, 1, 256])
+def test_stretches_follow_two_tokens(spark, monkeypatch, seconds):
+    monkeypatch.setattr(names, "SECONDS", seconds)
+    table = [("a b", "X"), ("a c d e", "Y"), ("a c", "Z"), ("f", "W"), ("f g", "V"), ("a a", "U")]
+    starts, whole = names.name_tables(spark.createDataFrame(table, "name string, type string"))
+    words = "a b a c d f f g a z a c d e a a b a".split()
+    found = {r.key: r.value for r in starts.collect()}
+    row = spark.createDataFrame([(words, [found.get(w) for w in words])], "words array<string>, " + f"starts array<{starts.schema['value'].dataType.simpleString()}>")
+    told = row.select(names._stretches(F.col("words"), F.col("starts")).alias("s")).first().s
+    named = {r.key for r in whole.collect()}
+    picked = [(r.start, r.length, r.phrase) for r in told if r.phrase in named]
+    assert picked == [(i + 1, n, p) for i in range(len(words)) for n in (4, 3, 2, 1) if i + n <= len(words) and (p := " ".join(words[i:i + n])) in named]
+    # By the longest name alone there would be 4 for every "a", as far as the row goes, and 2 for every "f".
+    assert len(told) < 25 and (seconds < 256 or len(told) <= len(picked) + 2)
+
+
 def test_many_names_do_not_grow_the_plan(spark):
     sentences = sentences_of(spark, [("en", "It is name 77777 x y z here.")], "tokenize")
     plans = []
