@@ -15,11 +15,16 @@ from verbaloom.schemas import WORD, require_columns
 
 
 def with_word_values(sentences: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """``sentences`` with fields of their words replaced; ``values`` are arrays with one value per word."""
+    """``sentences`` with fields of their words replaced; ``values`` are arrays with one value per word.
+
+    The words are unpacked from an array of one, so that a condition on them, such as that there are any, stays
+    above what they are made of instead of making them twice.
+    """
     zipped = F.arrays_zip(F.col("words").alias("word"), *[v.alias(f"new_{name}") for name, v in values.items()])
     words = F.transform(zipped, lambda z: F.struct(*[
         (z[f"new_{name}"] if name in values else z["word"][name]).alias(name) for name in WORD.fieldNames()]))
-    return sentences.withColumn("words", words)
+    sealed = sentences.withColumn("sealed", F.explode(F.array(F.struct(words.alias("words")))))
+    return sealed.withColumn("words", F.col("sealed.words")).drop("sealed")
 
 
 def form_keys() -> Column:
