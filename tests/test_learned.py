@@ -188,6 +188,15 @@ def test_names_leftmost_longest(spark):
     assert names.apply_names(sentences_of(spark, texts, "tokenize"), spark.createDataFrame([], "name string, type string")).filter("size(entities) > 0").isEmpty()
 
 
+def test_words_with_other_values_are_made_once(spark):
+    held = sentences_of(spark, [("en", "Some words here."), ("en", "")], "tokenize")
+    lexicon = spark.createDataFrame([("en", "words", "word", "NOUN")], "lang string, form string, lemma string, upos string")
+    view = views.word_view(lexicon_table.apply_lexicon(held, lexicon))
+    plan = view._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate explode(array(struct(words"), "what is asked of words stays above them"
+    assert [(r.FORM, r.LEMMA, r.UPOS) for r in view.collect()] == [("Some", None, None), ("words", "word", "NOUN"), ("here", None, None), (".", None, None)]
+
+
 @pytest.mark.parametrize("seconds", [0, 1, 256])
 def test_stretches_follow_two_tokens(spark, monkeypatch, seconds):
     monkeypatch.setattr(names, "SECONDS", seconds)
@@ -233,6 +242,25 @@ def test_lemmas_of_unknown_words_follow_their_endings(spark):
     assert right >= 0.97 * len(words)
 
 
+def test_lemmas_of_a_small_model_move_nothing(spark, monkeypatch):
+    rows = [("en", f + e, f, "VERB") for f in ("walk", "talk", "look") for e in ("ed", "ing")] + [("en", "went", "go", "VERB"), (None, "xs", "x", "_"), (None, "ys", "y", "_")]
+    model = lemmatizer.train_lemmatizer(spark.createDataFrame(rows, "lang string, FORM string, LEMMA string, UPOS string"))
+    texts = [("en", "Went Walked jumping s ing x. Ös went"), (None, "zs Xs went"), ("de", "walked"), ("en", None)]
+    held = sentences_of(spark, texts, "tokenize")
+    tagged = lexicon_table.with_word_values(held, {"upos": F.transform("words", lambda w: F.when(w["form"] != "x", F.when(F.col("lang") == "en", "VERB")))})
+    tagged = tagged.withColumn("words", F.transform("words", lambda w: F.when(w["form"] != "s", w)))
+    told = []
+    for entries in (vocabulary.ENTRIES, 0):
+        monkeypatch.setattr(vocabulary, "ENTRIES", entries)
+        lemmas = views.word_view(lemmatizer.apply_lemmas(tagged, model))
+        told.append(sorted(map(str, lemmas.select("doc_id", "sent_ix", "word_id", "FORM", "LEMMA").collect())))
+        if entries:
+            plan = lemmas._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("Join") == plan.count("Range (0, 4096") > 0  # only those inside the two values
+            assert plan.index("Filter") < plan.index("Generate explode(array(struct(words")
+    assert told[0] == told[1] and len(told[0]) == 13
+
+
 def test_abbreviations_and_their_sentences(spark):
     draw = random.Random(9)
     text = " ".join(f"{''.join(draw.choices('abcdefghij', k=6))} Dr. Smith left{'.' if i % 3 == 0 else ' and'} it cost {i}.14 then" for i in range(200))

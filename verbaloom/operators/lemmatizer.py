@@ -5,8 +5,9 @@ ending of a form, up to ``ENDING`` letters, the most frequent script is a rule i
 ``SUPPORT`` different forms.  A known form has its most frequent lemma; of an unknown one the longest
 ending with a rule is rewritten; without any the form in lower case is its lemma.
 
-All of it is counted by language and tag.  Rules and known forms are tables; each distinct word of
-the corpus is solved once and the answers go back to the words (``vocabulary``).
+All of it is counted by language and tag.  Rules and known forms are tables.  Words are solved in their rows
+if these are small; else each distinct word of the corpus is solved once and the answers go back to the
+words (``vocabulary``).
 
 Ties: fewer letters cut, then the added letters, then the lemma, in order.
 """
@@ -18,8 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbaloom.functions.arrays import let
+from verbaloom.operators import vocabulary
 from verbaloom.operators.lexicon_table import with_word_values
-from verbaloom.operators.vocabulary import JOINT, distinct_keys, looked_up, one_value_each
+from verbaloom.operators.vocabulary import JOINT, distinct_keys, looked_up, one_value, one_value_each, value_of
 from verbaloom.schemas import require_columns
 from verbaloom.session import checkpoint
 
@@ -78,8 +81,31 @@ def lemmas_of(rows: DataFrame, keys: Column, lemmatizer: Lemmatizer) -> DataFram
     return known.unionByName(found.select("key", F.struct(F.coalesce(lemma, F.col("form")).alias("lemma")).alias("value")))
 
 
+def _lemmas_in_rows(sentences: DataFrame, lemmatizer: Lemmatizer) -> DataFrame:
+    """``sentences`` with ``lemmas``, those of ``lemmas_of``, from a model that goes as two values."""
+    rows = sentences.withColumns({"form_maps": one_value(lemmatizer.forms), "rule_maps": one_value(lemmatizer.rules)})
+    lang, words, forms, rules = (F.col(name) for name in ("lang", "words", "form_maps", "rule_maps"))
+
+    def rewritten(form: Column, front: Column) -> Column:
+        longest = F.least(F.length(form), F.lit(ENDING))
+        scripts = [F.when(longest >= size, value_of(rules, F.concat(front, F.right(form, F.lit(size))))) for size in range(ENDING, -1, -1)]
+        return let(F.coalesce(*scripts), lambda s: F.coalesce(F.concat(F.left(form, F.length(form) - s["cut"]), s["added"]), form))
+
+    fronts = F.transform(words["upos"], lambda tag: word_key(lang, tag, F.lit("")))
+    pairs = F.arrays_zip(F.transform(words["form"], F.lower).alias("form"), fronts.alias("front"))
+    lemmas = F.transform(pairs, lambda w: F.coalesce(
+        value_of(forms, F.concat(w["front"], w["form"]))["lemma"], rewritten(w["form"], w["front"])))
+    return rows.withColumn("lemmas", lemmas).drop("form_maps", "rule_maps")
+
+
 def apply_lemmas(sentences: DataFrame, lemmatizer: Lemmatizer) -> DataFrame:
-    """``sentences`` with the lemmatizer's lemmas, by the words' forms and tags."""
+    """``sentences`` with the lemmatizer's lemmas, by the words' forms and tags.
+
+    A model of up to ``ENTRIES`` entries goes to the rows as one value and nothing moves; with a larger
+    one each distinct word is solved once and the answers go back to the rows.
+    """
+    if lemmatizer.forms.count() + lemmatizer.rules.count() <= vocabulary.ENTRIES:
+        return with_word_values(_lemmas_in_rows(sentences, lemmatizer), {"lemma": F.col("lemmas")}).drop("lemmas")
     keys = F.transform("words", lambda w: word_key(F.col("lang"), w["upos"], F.lower(w["form"])))
     found = looked_up(sentences, keys, lemmas_of(sentences, keys, lemmatizer), "lemmas", ["doc_id", "sent_ix"])
     return with_word_values(found, {"lemma": F.transform("lemmas", lambda v: v["lemma"])}).drop("lemmas")

@@ -60,25 +60,31 @@ def looked_up(
     counted = distinct_keys(rows, keys) if counted is None else counted
     answers = checkpoint(counted.join(table.select("key", "value"), "key"))
 
-    def common(maps: Column, key: Column) -> Column:
-        return F.try_element_at(F.get(maps, _map_of(key)), key)
-
     maps = F.col("answer_maps")
     if answers.count() <= ENTRIES:
         whole = rows.withColumn("answer_maps", _maps(answers))
-        return whole.withColumn(into, F.transform(keys, lambda k: common(maps, k))).drop("answer_maps")
+        return whole.withColumn(into, F.transform(keys, lambda k: value_of(maps, k))).drop("answer_maps")
     total = rows.count()
     frequent = answers.filter(F.col("n") * SHARE >= total)
     rare = answers.filter(F.col("n") * SHARE < total).select("key", "value")
     named = [F.col(c).alias(f"found_{i}") for i, c in enumerate(row_key)]
     names = [f"found_{i}" for i in range(len(row_key))]
     left = rows.withColumn("answer_maps", _maps(frequent)).select(
-        *named, F.explode(F.filter(F.array_distinct(keys), lambda k: common(maps, k).isNull())).alias("key"))
+        *named, F.explode(F.filter(F.array_distinct(keys), lambda k: value_of(maps, k).isNull())).alias("key"))
     found = left.join(rare, "key").groupBy(*names).agg(F.map_from_entries(F.collect_set(F.struct("key", "value"))).alias("found_map"))
     same = functools.reduce(Column.__and__, [rows[c].eqNullSafe(found[n]) for c, n in zip(row_key, names, strict=True)])
     joined = rows.join(found, same, "left").withColumn("answer_maps", _maps(frequent))
     return joined.withColumn(into, F.transform(
-        keys, lambda k: F.coalesce(common(maps, k), F.try_element_at(F.col("found_map"), k)))).drop(*names, "found_map", "answer_maps")
+        keys, lambda k: F.coalesce(value_of(maps, k), F.try_element_at(F.col("found_map"), k)))).drop(*names, "found_map", "answer_maps")
+
+
+def one_value(table: DataFrame) -> Column:
+    """A table ``key, value`` of up to ``ENTRIES`` rows, each key once, as one value; see ``value_of``."""
+    return _maps(table)
+
+
+def value_of(maps: Column, key: Column) -> Column:
+    return F.try_element_at(F.get(maps, _map_of(key)), key)
 
 
 def _map_of(key: Column) -> Column:
