@@ -7,7 +7,7 @@ import pytest
 from golden import brute_pairs, rows
 from pyspark.sql import functions as F
 
-from verbaloom.operators import chartdata, cooccurrence, views, windows
+from verbaloom.operators import chartdata, cooccurrence, views, vocabulary, windows
 from verbaloom.operators.cooccurrence import WIDE, _ordered_pairs, cooccurrences
 from verbaloom.operators.lexicon import Lexicon
 from verbaloom.plans import annotate
@@ -178,6 +178,27 @@ def test_only_lines_that_would_break_are_rewritten(spark):
         (1, "e n", 1, 1, "a b", "l ", "N ", "x ", 0, None, "O"), (2, "en", 1, 1, "a b", "", "N", "x", 0, "d", "O")]
 
 
+@pytest.mark.parametrize("entries", [50_000, 0])
+def test_a_listed_table_is_excluded_in_the_rows(spark, monkeypatch, entries):
+    """As flat rows would be, also for sentences that share their number and documents without one."""
+    monkeypatch.setattr(vocabulary, "ENTRIES", entries)
+    texts = [(1, "en", "A b c a d. b a c e f b"), (2, "en", "a c b"), (2, "en", "c e a d a"), (None, "en", "e d a. d"), (None, "en", "f a e d"),
+             (4, "en", None), (5, "es", "Voy al b del a c."), (6, "en", "c")]
+    held = annotate(spark.createDataFrame(texts, "doc_id long, lang string, text string"), "tokenize,mwt,lemma")
+    listed = spark.createDataFrame([("C",), ("d",), ("zz",), (None,), ("D",)], "word string")
+    for window, use_lemma in ((1, True), (3, False)):
+        told = cooccurrences(held, window, exclude=listed, top=None, use_lemma=use_lemma)
+        flat = cooccurrences(views.token_view(held, ["sent_ix", "tok_ix", "FORM", "LEMMA"]), window, exclude=listed, top=None, use_lemma=use_lemma)
+        assert rows(told) == rows(flat) != []
+
+
+def test_terms_of_sentences_with_a_listed_table_do_not_move(spark):
+    held = annotate(spark.createDataFrame([(1, "en", "a b c a d.")], "doc_id long, lang string, text string"), "tokenize,mwt,lemma")
+    pairs = cooccurrences(held, exclude=spark.createDataFrame([("b",)], "word string"))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Window" not in plan, "the text is read once, and no token is numbered"
+
+
 def test_lemmas_of_a_word_cloud_are_counted_once_and_chosen_after(spark):
     docs = spark.createDataFrame([(1, "en", "The cat saw a cat. It saw the dog, the dog saw it. x x x x")], "doc_id long, lang string, text string")
     cloud = chartdata.wordcloud_weights(annotate(docs, "tokenize,mwt,lemma"), stopwords=["the"], top=3)

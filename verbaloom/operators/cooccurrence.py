@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from verbaloom.functions.text import value_or
 from verbaloom.operators.filters import term, without_terms
 from verbaloom.operators.frequencies import check_top
 from verbaloom.operators.heaviest import CELLS, heaviest
 from verbaloom.operators.views import token_view
+from verbaloom.operators.vocabulary import looked_up
 from verbaloom.operators.windows import counted_pairs, near_pairs
 from verbaloom.schemas import is_nested, require_columns
+from verbaloom.session import checkpoint, stored
 
 # Positions that one window task takes at a time, and rows of a table of offsets as well.
 BLOCK_BITS = 16
@@ -43,7 +46,8 @@ def cooccurrences(
     On the sentences table, pairs inside a sentence are formed in the sentence's own row
     and only counted pairs move; with ``by_sent=False`` the ends of each sentence move as
     well, as one row, to meet the next one's.  A flat token table has to be put in reading order: see
-    ``_ordered_pairs``.  So has a sentences table whose ``exclude`` is itself a table.  A
+    ``_ordered_pairs``.  With an ``exclude`` that is itself a table, a sentences table is taken from the text
+    once and its terms are stored (``_listed_pairs``), or put in order with ``by_sent=False``.  A
     missing term is ``_`` either way.  No ``top``, or 0, means all.
     """
     if window < 0:
@@ -57,6 +61,8 @@ def cooccurrences(
         pairs = near_pairs(rows.select(F.col("seq").alias("terms"), F.size("seq").alias("firsts")), window)
         if not by_sent and window:
             pairs = pairs.unionByName(_pairs_across(_sentence_ends(rows, window), window, block_bits))
+    elif is_nested(df) and by_sent and window:
+        pairs = _listed_pairs(df, window, block_bits, listed, lowercase, use_lemma)
     else:
         if is_nested(df):
             df = token_view(df, ["sent_ix", "tok_ix", "FORM", "LEMMA"])
@@ -109,6 +115,41 @@ def _sequences(
     return sentences.select("doc_id", "sent_ix", seq.alias("seq"), n.alias("n"))
 
 
+def _listed_pairs(
+    df: DataFrame, window: int, block_bits: int, listed: DataFrame, lowercase: bool, use_lemma: bool
+) -> DataFrame:
+    """``a, b, rows`` inside sentences, without the terms that a table lists.
+
+    Listed terms of the corpus are told in the sentences' rows (``vocabulary``).  Sentences that share
+    their number, or whose tokens are not in order, are put in order as flat rows.
+    """
+    part, tok_ix, value = F.col("words.part"), F.col("words.tok_ix"), F.col("words.lemma" if use_lemma else "words.tok_form")
+    first = F.filter(F.arrays_zip(part.alias("part"), value.alias("value"), tok_ix.alias("tok_ix")), lambda w: w["part"] == 1)
+    # Nothing but ones; a part that is missing makes the second condition null.
+    one_each = (F.array_max(part) == 1) & ~F.array_contains(part, F.lit(2)) & (F.array_min(part) == 1)
+    terms = F.transform(F.when(one_each, value).otherwise(first["value"]), lambda v: F.lower(value_or(v)) if lowercase else value_or(v))
+    tok_ix = F.when(one_each, tok_ix).otherwise(first["tok_ix"])
+    doc = F.col("doc_id") if "doc_id" in df.columns else F.lit(0).alias("doc_id")
+    rows = stored(df.where(F.col("sent_ix").isNotNull()).select(doc, "sent_ix", tok_ix.alias("tok_ix"), terms.alias("terms")), "terms")
+    key = ["doc_id", "sent_ix"]
+    in_order = F.col("tok_ix") == F.array_sort(F.array_distinct("tok_ix"))
+    odd = checkpoint(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce(in_order, F.lit(False))).alias("in_order"))
+                     .where("copies > 1 OR NOT in_order").select(*key))
+
+    excluded = F.col(listed.columns[0])
+    table = listed.select((F.lower(excluded) if lowercase else excluded).alias("key")).where("key IS NOT NULL").distinct()
+    told = looked_up(rows, "terms", table.withColumn("value", F.lit(True)), "listed", key)
+    left = F.filter(F.arrays_zip("tok_ix", "terms", "listed"), lambda w: w["listed"].isNull())
+    told = told.select(*key, left.alias("left"))
+    same = [told[name].eqNullSafe(odd[name]) for name in key]
+    alone, others = (told, None) if odd.isEmpty() else (told.join(odd, same, "left_anti"), told.join(odd, same, "left_semi"))
+    pairs = near_pairs(alone.select(F.col("left.terms").alias("terms"), F.coalesce(F.size("left"), F.lit(0)).alias("firsts")), window)
+    if others is not None:
+        flat = others.select(*key, F.explode("left").alias("w")).select(*key, F.col("w.tok_ix").alias("tok_ix"), F.col("w.terms").alias("term"))
+        pairs = pairs.unionByName(_ordered_pairs(flat, window, block_bits, True))
+    return pairs
+
+
 def _row_pairs(rows: DataFrame, window: int) -> DataFrame:
     """Pairs ``a, b`` from arrays: the sequence beside itself, shifted by each distance."""
     farthest = F.least(F.lit(window), F.size("seq") - 1)
