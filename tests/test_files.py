@@ -14,6 +14,7 @@ from verbaloom.plans import annotate, chart_pack, export_all, stats_pack, store_
 from verbaloom.schemas import TOKEN_COLUMNS
 from verbaloom.session import ensure_checkpoint_dir
 from verbaloom.sinks import (
+    conllu,
     conllu_blocks,
     read_report,
     report_lines,
@@ -277,3 +278,42 @@ def test_stored_annotation_and_tables_are_zstd(spark, sentences, tmp_path):
     write_tables({"t": spark.range(3)}, str(tmp_path / "t"))
     for folder in (tmp_path / "a", tmp_path / "t" / "t"):
         assert all(".zstd." in p.name for p in folder.iterdir() if p.name.startswith("part-"))
+
+
+def _hostile(spark):
+    docs = spark.createDataFrame([(1, "en", "Anna saw it. He saw Anna.\nNo"), (2, "es", "Voy al cine."), (None, "en", "x y")], "doc_id long, lang string, text string")
+    held = annotate(docs)
+    odd = F.transform("words", lambda w: F.when(w["word_id"] == 2, w.withField("lemma", F.lit("a\tb\r\nc\x00")).withField("upos", F.lit(""))
+                                          .withField("head", F.lit(99))).when(w["form"] != "Anna", w))
+    held = held.withColumn("words", F.when(F.col("text") == "No", F.array().cast(held.schema["words"].dataType)).otherwise(odd))
+    return held.withColumn("text", F.when(F.col("doc_id").isNotNull(), F.concat("text", F.lit("\n")))).coalesce(1)
+
+
+def test_rows_of_conllu_files_are_the_blocks(spark, tmp_path):
+    held = store_annotation(_hostile(spark), str(tmp_path / "a"))
+    write_conllu(held, str(tmp_path / "c"))
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "c").glob("part-*")))
+    assert text == "".join(r.block + "\n\n" for r in conllu_blocks(held).collect())
+    assert "transform(" not in conllu._rows(held)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_reports_are_the_report_lines(spark, tmp_path):
+    held = store_annotation(_hostile(spark), str(tmp_path / "a"))
+    lines = report_lines(held).collect()
+    assert "transform(" not in report_lines(held)._jdf.queryExecution().executedPlan().toString()
+    write_report(held, str(tmp_path / "r"))
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "r").glob("part-*")))
+    written = []
+    for r in lines:
+        if r.line_no == 1:
+            written.append("" if r.doc_id is None else f"# doc_id = {r.doc_id}\t{r.sent_ix}")
+        written.append("" if r.line is None else " ".join(x for x in [r.line.replace("\r\n", "\n").replace("\n", " ")]))
+    assert text.split("\n")[:-1] == written and len(written) > 50
+
+
+def test_tokens_are_written_packed(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(entry, "_shared_path", lambda spark, name: str(tmp_path / name))
+    assert entry.queries()["tsv_roundtrip"](spark, entry.SMOKE_DIR).count() > 0
+    assert not list((tmp_path / "tokens").glob("*.csv")) and list((tmp_path / "tokens").glob("*.csv.gz"))
