@@ -106,7 +106,7 @@ def _on_stored(layers: str, operator: Callable[[DataFrame], DataFrame]) -> Query
 def _tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written in the shared folder and read back, so the file is what is compared."""
     path = _shared_path(spark, "tokens")
-    write_tokens(annotate(_documents(spark, sf_dir)), path)
+    write_tokens(annotate(_documents(spark, sf_dir)), path, compression="gzip")
     columns = ["doc_id", "lang", *TOKEN_COLUMNS]
     return read_tokens(spark, path, columns=columns).withColumn("doc_id", F.col("doc_id").cast("long"))
 
