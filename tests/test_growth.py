@@ -209,3 +209,18 @@ def test_lemmas_of_a_word_cloud_are_counted_once_and_chosen_after(spark):
     assert "length(" not in below and " NOT " not in below
     every = chartdata.wordcloud_weights(annotate(docs, "tokenize,mwt,lemma"), stopwords=["the"], top=None)
     assert {tuple(r) for r in cloud.collect()} <= {tuple(r) for r in every.collect()}
+
+
+@pytest.mark.parametrize("by_sent", [True, False])
+def test_few_pairs_are_those_of_all(spark, monkeypatch, by_sent):
+    rng = random.Random(3)
+    texts = [(d, "en", " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz")[: rng.randint(0, 1)] + rng.choice("xyzéß") for _ in range(80)) + ".") for d in range(30)]
+    held = annotate(spark.createDataFrame(texts, "doc_id long, lang string, text string"), "tokenize,mwt,lemma")
+    flat = views.token_view(held, ["sent_ix", "tok_ix", "FORM", "LEMMA"])
+    made = []
+    monkeypatch.setattr(cooccurrence, "heavy_pairs", lambda *given: made.append(windows.heavy_pairs(*given)) or made[-1])
+    for table in [held, flat] if not by_sent else [flat]:
+        every = [tuple(r) for r in cooccurrences(table, 3, by_sent=by_sent, top=None).collect()]
+        for top in (1, 7, 20, 1000):
+            assert [tuple(r) for r in cooccurrences(table, 3, by_sent=by_sent, top=top).collect()] == every[:top]
+        assert made[-4].select(F.least("a", "b"), F.greatest("a", "b")).distinct().count() < len(every) / 2
